@@ -77,5 +77,6 @@ def list_knowledge(knowledge: DataFrame, domain: str | None = None, category: st
     total = wanted.agg(F.count("*").alias("total"))
     return (
         wanted.select("domain", "category", "title", "id", "tags")
-        .join(sizes.join(total), ["domain", "category"]).orderBy("domain", "category", "title", "id")
+        .join(sizes, ["domain", "category"]).withColumn("total", total.scalar())
+        .orderBy("domain", "category", "title", "id")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.functions.classify import severity_class
@@ -182,18 +184,22 @@ def all_problems(periods: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def model_cost_sek(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Cost of a model call; a model without its own price costs as the larger one."""
+    """Cost of a model call; a model without its own price costs as the larger one.
+
+    Prices per token are exact decimals, so the sum is rounded only once.
+    """
 
-    def price(i: int) -> Column:
-        out = F.lit(MODEL_PRICES[OTHER_MODEL][i]).cast("decimal(10,4)")
+    def per_token(i: int) -> Column:
+        def sek(usd: str) -> Column:
+            return F.lit(Decimal(usd) * Decimal(SEK_PER_USD) / 1_000_000).cast("decimal(10,10)")
+
+        out = sek(MODEL_PRICES[OTHER_MODEL][i])
         for name, pair in MODEL_PRICES.items():
-            out = F.when(model == name, F.lit(pair[i]).cast("decimal(10,4)")).otherwise(out)
+            out = F.when(model == name, sek(pair[i])).otherwise(out)
         return out
 
-    usd_micro = tokens_in.cast("decimal(18,0)") * price(0) + tokens_out.cast("decimal(18,0)") * price(1)
-    return (usd_micro * F.lit(SEK_PER_USD).cast("decimal(6,2)") / F.lit(1000000).cast("decimal(7,0)")).cast(
-        "decimal(28,6)"
-    )
+    total = tokens_in.cast("decimal(18,0)") * per_token(0) + tokens_out.cast("decimal(18,0)") * per_token(1)
+    return total.cast("decimal(28,6)")
 
 
 def ocr_cost_usd(pages: Column) -> Column:
