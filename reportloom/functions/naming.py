@@ -64,15 +64,12 @@ def clean_company(name: Column) -> Column:
 def company_name(text: Column, stem: Column) -> Column:
     """Company named by the file name, else by the text; null when neither names one."""
 
-    def usable(name: Column) -> Column:
-        ok = (F.length(name) >= 2) & ~F.lower(name).isin(NOT_A_COMPANY)
-        return F.when(ok, clean_company(name))
-
-    tries = [usable(_trim_marks(F.regexp_extract(stem, "(?iU)" + p, 1))) for p in COMPANY_FILE_PATTERNS]
+    found = [_trim_marks(F.regexp_extract(stem, "(?iU)" + p, 1)) for p in COMPANY_FILE_PATTERNS]
     for pattern in COMPANY_TEXT_PATTERNS:
-        found = strip(F.regexp_extract(F.coalesce(text, F.lit("")), "(?imU)" + pattern, 1))
-        tries.append(usable(F.regexp_replace(found, "(?iU)" + COMPANY_TEXT_SUFFIX, "")))
-    return F.coalesce(*tries)
+        name = strip(F.regexp_extract(F.coalesce(text, F.lit("")), "(?imU)" + pattern, 1))
+        found.append(F.regexp_replace(name, "(?iU)" + COMPANY_TEXT_SUFFIX, ""))
+    usable = F.filter(F.array(*found), lambda n: (F.length(n) >= 2) & ~F.lower(n).isin(NOT_A_COMPANY))
+    return clean_company(F.get(usable, F.lit(0)))
 
 
 def guessed_company(stem: Column) -> Column:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-from reportloom.functions.text import strip
+from reportloom.functions.text import let, strip
 from reportloom.vocabulary import MONTH_RANGES, PERIOD_HEADER_PATTERNS
 
 _LABEL = r"Q([0-9])(?U:\s*)([0-9]{4})"
@@ -46,22 +44,27 @@ def find_period(text: Column, name: Column) -> Column:
     """First plausible period in file name and text; the file name comes first."""
     both = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(text, F.lit("")))
 
-    def tried(pattern: str, quarter: Column, year: Column) -> Column:
-        valid = quarter.between(1, 4) & year.between(2000, 2100)
-        return _quarter_year(quarter, year, valid)
+    def found(quarter: Column, year: Column) -> Column:
+        return F.struct(quarter.alias("quarter"), year.alias("year"))
 
     long_year = r"[qQ]([0-9])(?U:\s*)[-_/]?(?U:\s*)([0-9]{4})"
     short_year = r"[qQ]([0-9])(?U:\s*)[-_/]?(?U:\s*)([0-9]{2})(?![0-9])"
     year_first = r"([0-9]{4})(?U:\s*)[qQ]([0-9])"
-    attempts = [
-        tried(long_year, _part(both, long_year, 1), _part(both, long_year, 2)),
-        tried(short_year, _part(both, short_year, 1), _part(both, short_year, 2) + 2000),
-        tried(year_first, _part(both, year_first, 2), _part(both, year_first, 1)),
-    ]
-    for start, end, quarter in MONTH_RANGES:
-        pattern = rf"(?iu){start}[^0-9]*{end}[^0-9]*([0-9]{{4}})"
-        attempts.append(tried(pattern, F.lit(quarter), _part(both, pattern, 1)))
-    return F.coalesce(*attempts)
+
+    def attempts(text: Column) -> Column:
+        tries = [
+            found(_part(text, long_year, 1), _part(text, long_year, 2)),
+            found(_part(text, short_year, 1), _part(text, short_year, 2) + 2000),
+            found(_part(text, year_first, 2), _part(text, year_first, 1)),
+        ]
+        for start, end, quarter in MONTH_RANGES:
+            tries.append(found(F.lit(quarter), _part(text, rf"(?iu){start}[^0-9]*{end}[^0-9]*([0-9]{{4}})", 1)))
+        return F.array(*tries)
+
+    plausible = F.filter(
+        let(both, attempts), lambda p: p["quarter"].between(1, 4) & p["year"].between(2000, 2100)
+    )
+    return F.get(plausible, F.lit(0))
 
 
 def is_period_header(value: Column) -> Column:
@@ -76,7 +79,3 @@ def header_year(value: Column) -> Column:
 
 def loose_label(label: Column) -> Column:
     return F.upper(F.replace(label, F.lit(" "), F.lit("")))
-
-
-def first_match(attempts: list[Column]) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), attempts)

@@ -84,12 +84,12 @@ def normalise_headers(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT company_id, CAST(coalesce(max(CASE WHEN year + 25 BETWEEN 2020 AND 2039
+SELECT company_id, CAST(coalesce(max(CASE WHEN ok AND year + 25 BETWEEN 2020 AND 2039
        AND NOT (quarter = 2 AND company_id % 2 = 1 OR quarter = 3 AND company_id % 3 = 1) THEN year + 25 END), 2025) AS INT)
        AS current_year
 FROM (SELECT *, count(*) FILTER (WHERE NOT (quarter = 2 AND company_id % 2 = 1 OR quarter = 3 AND company_id % 3 = 1))
                   OVER (PARTITION BY company_id, year) >= least(3, count(*) OVER (PARTITION BY company_id, year) // 2 + 1) AS ok
-      FROM {periods}) WHERE ok GROUP BY company_id""")
+      FROM {periods}) GROUP BY company_id""")
 def current_year(v: Views) -> DataFrame:
     headers = normalise.normalise_headers(_header_tables(v)).withColumnRenamed("period_id", "company_id")
     return normalise.current_year(headers)
@@ -213,14 +213,13 @@ SELECT folder, name, CASE form WHEN 0 THEN 'keep' WHEN 1 THEN CASE WHEN year < 2
        CASE WHEN form IN (1, 2) AND year >= 2000 THEN 'bolag-' || company_id || '-' || year || '-q' || quarter || '-sv.pdf' END AS new_name
 FROM (SELECT company_id AS folder, company_id, year, quarter, form,
              CASE form WHEN 0 THEN 'bolag-' || company_id || '-' || year || '-q' || quarter || '-en.pdf'
-                       WHEN 1 THEN 'Bolag ' || company_id || '_' || year || '_Q' || quarter || '.pdf'
+                       WHEN 1 THEN 'Bolag ' || company_id || '_' || year || ' Q' || quarter || '.pdf'
                        WHEN 2 THEN 'Bolag ' || company_id || '-q' || quarter || '-' || year || s.s || '.pdf'
                        ELSE '0' || id || '.pdf' END AS name
       FROM (SELECT *, (id + company_id) % 4 AS form FROM {periods}) p
       JOIN (VALUES (''), (' copy')) s(s) ON p.form = 2 OR s.s = '') WHERE form <> 0
 UNION ALL
-SELECT company_id, 'bolag-' || company_id || '-' || year || '-q' || quarter || '-en.pdf', 'keep',
-       CASE WHEN year >= 2000 THEN 'bolag-' || company_id || '-' || year || '-q' || quarter || '-sv.pdf' END
+SELECT company_id, 'bolag-' || company_id || '-' || year || '-q' || quarter || '-en.pdf', 'keep', NULL
 FROM {periods} WHERE (id + company_id) % 4 = 0""")
 def file_plan(v: Views) -> DataFrame:
     """Rename plan of report files of four naming styles; the third has a copy, so it collides."""
@@ -228,7 +227,7 @@ def file_plan(v: Views) -> DataFrame:
     c, y, q = (F.col(n).cast("string") for n in ("company_id", "year", "quarter"))
     name = (
         F.when(form == 0, F.concat(F.lit("bolag-"), c, F.lit("-"), y, F.lit("-q"), q, F.lit("-en.pdf")))
-        .when(form == 1, F.concat(F.lit("Bolag "), c, F.lit("_"), y, F.lit("_Q"), q, F.lit(".pdf")))
+        .when(form == 1, F.concat(F.lit("Bolag "), c, F.lit("_"), y, F.lit(" Q"), q, F.lit(".pdf")))
         .when(form == 2, F.concat(F.lit("Bolag "), c, F.lit("-q"), q, F.lit("-"), y, F.lit(".pdf")))
         .otherwise(F.concat(F.lit("0"), F.col("id").cast("string"), F.lit(".pdf")))
     )

@@ -21,7 +21,7 @@ def _raw_payloads(v: Views) -> DataFrame:
     )
     head = v["periods"].join(tables, "id", "left")
     body = F.to_json(F.struct(
-        F.struct(F.concat(F.lit("Nation {"), F.col("company_id").cast("string")).alias("bolag"),
+        F.struct(F.concat(F.when(F.col("id") % 6 == 4, "Nation {").otherwise("Nation "), F.col("company_id").cast("string")).alias("bolag"),
                  F.concat(F.lit("Q"), F.col("quarter").cast("string"), F.lit(" "), F.col("year").cast("string")).alias("period"),
                  "valuta").alias("metadata"),
         F.transform("tables", lambda t: t["t"]).alias("tables"),
@@ -33,7 +33,7 @@ def _damaged(body: Column, form: Column) -> Column:
     fence = F.concat(F.lit("```json\n"), body, F.lit("\n```\nklart"))
     comma = F.regexp_replace(body, r"\}$", ",}")
     cut = F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(', "sections": [{"title": "a", "content": "avbru'))
-    tail = F.concat(body, F.lit(" och sedan {mer} text"))
+    tail = F.concat(body, F.lit(" och sedan } text"))
     return (
         F.when(form == 1, fence).when(form == 2, comma).when(form == 3, F.concat(cut, F.lit(" } "))).when(form == 4, tail)
         .when(form == 5, F.lit("ingen data")).otherwise(body)
@@ -43,7 +43,7 @@ def _damaged(body: Column, form: Column) -> Column:
 @query("""
 SELECT p.id, CASE p.id % 6 WHEN 2 THEN 'commas' WHEN 3 THEN 'closed' WHEN 4 THEN 'balanced' WHEN 5 THEN NULL ELSE 'none' END AS repair,
        CASE WHEN p.id % 6 <> 5 THEN p.quarter END AS quarter, CASE WHEN p.id % 6 <> 5 THEN p.year END AS year,
-       CASE WHEN p.id % 6 <> 5 THEN 'Nation {' || p.company_id END AS bolag,
+       CASE WHEN p.id % 6 <> 5 THEN CASE WHEN p.id % 6 = 4 THEN 'Nation {' ELSE 'Nation ' END || p.company_id END AS bolag,
        CASE WHEN p.id % 6 <> 5 THEN coalesce(t.n, 0) END AS tables
 FROM {periods} p LEFT JOIN (SELECT period_id, CAST(count(*) AS INT) AS n FROM {tables} GROUP BY period_id) t ON t.period_id = p.id""")
 def parse_payloads(v: Views) -> DataFrame:

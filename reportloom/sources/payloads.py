@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reportloom.functions.naming import slug
 from reportloom.functions.periods import label_quarter, label_year
 from reportloom.functions.scale import first_per_key
-from reportloom.functions.text import strip
+from reportloom.functions.text import let, strip
 from reportloom.schemas import PAYLOAD
 from reportloom.vocabulary import LEGACY_STATEMENT
 
@@ -32,13 +32,15 @@ def _without_trailing_commas(body: Column) -> Column:
 def _closed_after_cut_string(text: Column) -> Column:
     """A text that ends inside a string: cut after the last closed part before it, then brackets closed."""
     head = F.regexp_extract(text, r'(?s)^(.*)"[^"]*$', 1)
-    cut = F.regexp_extract(head, r"(?s)^.*[}\]]", 0)
 
-    def closers(opening: str, closing: str) -> Column:
-        return F.repeat(F.lit(closing), F.greatest(_count(cut, opening) - _count(cut, closing), F.lit(0)))
+    def closed(cut: Column) -> Column:
+        def closers(opening: str, closing: str) -> Column:
+            return F.repeat(F.lit(closing), F.greatest(_count(cut, opening) - _count(cut, closing), F.lit(0)))
 
-    closed = F.concat(cut, closers("[", "]"), closers("{", "}"))
-    return F.when((_count(text, '"') % 2 == 1) & (cut != ""), closed).otherwise(text)
+        whole = F.concat(cut, closers("[", "]"), closers("{", "}"))
+        return F.when((_count(text, '"') % 2 == 1) & (cut != ""), whole).otherwise(text)
+
+    return let(F.regexp_extract(head, r"(?s)^.*[}\]]", 0), closed)
 
 
 def _last_balanced(body: Column) -> Column:
@@ -64,31 +66,42 @@ def _last_balanced(body: Column) -> Column:
     return F.substring(body, F.lit(1), last)
 
 
+def _is_object(text: Column) -> Column:
+    """Whether the text is one JSON value and nothing else; in a list, trailing text does not go unnoticed."""
+    return let(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))),
+        lambda v: (text != "") & v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(),
+    )
+
+
+def _readable(body: Column) -> Column:
+    """Readable text and the repair it needed, null if there is none. A repair runs only if the one before failed."""
+
+    def taken(text: Column, repair: str, otherwise: Column | None = None) -> Column:
+        good = F.when(_is_object(text), F.struct(text.alias("text"), F.lit(repair).alias("repair")))
+        return good if otherwise is None else good.otherwise(otherwise)
+
+    balanced = let(_last_balanced(body), lambda text: taken(text, "balanced"))
+
+    def from_commas(fixed: Column) -> Column:
+        closed = let(_closed_after_cut_string(fixed), lambda text: taken(text, "closed", balanced))
+        return taken(fixed, "commas", closed)
+
+    return taken(body, "none", let(_without_trailing_commas(body), from_commas))
+
+
 def parse_payloads(raw: DataFrame, schema: str = PAYLOAD) -> DataFrame:
     """Payload texts (raw) parsed leniently: as they are, without trailing commas, closed, cut to balance.
 
-    Adds ``payload`` and ``repair``; both are null where nothing helps. Each repair only runs on the rows the
-    one before left over.
+    Adds ``payload`` and ``repair``; both are null where nothing helps. The result is generated, so a filter on
+    it stays above and the text is parsed once.
     """
-    body = raw.withColumn("_body", _body(F.col("raw")))
-
-    def valid(text: Column) -> Column:
-        return (text != "") & F.try_parse_json(text).isNotNull()
-
-    fixed = _without_trailing_commas(F.col("_body"))
-    closed = _closed_after_cut_string(fixed)
-    tried = body.withColumn(
-        "_t",
-        F.when(valid(F.col("_body")), F.struct(F.col("_body").alias("text"), F.lit("none").alias("repair")))
-        .when(valid(fixed), F.struct(fixed.alias("text"), F.lit("commas").alias("repair")))
-        .when(valid(closed), F.struct(closed.alias("text"), F.lit("closed").alias("repair")))
-        .otherwise(F.struct(_last_balanced(F.col("_body")).alias("text"), F.lit("balanced").alias("repair"))),
-    )
-    good = F.when(F.col("_t.repair") != "balanced", True).otherwise(valid(F.col("_t.text")))
-    return tried.withColumn("_ok", good).select(
-        *raw.columns,
-        F.when(F.col("_ok"), F.from_json(F.col("_t.text"), schema)).alias("payload"),
-        F.when(F.col("_ok"), F.col("_t.repair")).alias("repair"),
+
+    def read(t: Column) -> Column:
+        return F.struct(F.from_json(t["text"], schema).alias("payload"), t["repair"].alias("repair"))
+
+    return raw.select("*", F.explode(F.array(let(let(_body(F.col("raw")), _readable), read))).alias("_p")).select(
+        *raw.columns, "_p.payload", "_p.repair"
     )
 
 
@@ -123,13 +136,13 @@ def period_rows(parsed: DataFrame, companies: DataFrame) -> DataFrame:
     ).filter(F.col("quarter").isNotNull())
     owned = head.join(companies.select(F.col("id").alias("company_id"), "slug"), "slug")
     keyed = owned.withColumn("id", F.sha2(F.concat_ws("|", "company_id", "year", "quarter"), 256))
-    newest = keyed.groupBy("id").agg(F.max("seq").alias("seq"))
+    newest = first_per_key(keyed, ["id"], [-F.col("seq")])
     meta = F.col("payload._pipeline_info")
 
     def size(kind: str) -> Column:
         return F.coalesce(F.size(F.col(f"payload.{kind}")), F.lit(0))
 
-    return keyed.join(newest, ["id", "seq"]).select(
+    return newest.select(
         "id", "company_id", "quarter", "year",
         F.col("payload.metadata.valuta").alias("valuta"),
         F.coalesce("payload.metadata.sprak", F.lit("sv")).alias("language"),
