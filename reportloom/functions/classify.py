@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from reportloom.functions.text import contains_any, count_contained
+from reportloom.functions.text import contains_any, count_contained, let
 from reportloom.vocabulary import (
     QUARTERLY_TITLE_WORDS,
     SECTION_TYPE_KEYWORDS,
@@ -26,8 +26,10 @@ def _chain(cases: list[tuple[Column, Column]], default: Column) -> Column:
 
 def mapped_table_type(table_type: Column, title: Column) -> Column:
     """Stored type; a quarterly table takes the type its title names."""
-    low = F.lower(_empty(title))
-    by_title = _chain([(contains_any(low, ws), F.lit(t)) for t, ws in QUARTERLY_TITLE_WORDS], F.lit("other"))
+    by_title = let(
+        F.lower(_empty(title)),
+        lambda low: _chain([(contains_any(low, ws), F.lit(t)) for t, ws in QUARTERLY_TITLE_WORDS], F.lit("other")),
+    )
     kind = F.coalesce(table_type, F.lit("other"))
     return F.when(kind == "quarterly", by_title).otherwise(kind)
 
@@ -39,19 +41,22 @@ def table_search_text(title: Column, columns: Column, labels: Column) -> Column:
     return F.lower(F.concat_ws(" ", _empty(title), F.array_join(kept, " "), F.array_join(first, " ")))
 
 
-def table_type_scores(text: Column) -> dict[str, Column]:
-    return {kind: count_contained(text, words) for kind, words in TABLE_TYPE_KEYWORDS.items()}
-
-
 def keyword_table_type(title: Column, columns: Column, labels: Column) -> Column:
-    scores = table_type_scores(table_search_text(title, columns, labels))
-    best = F.greatest(*scores.values())
-    return _chain([((score == best) & (best > 0), F.lit(kind)) for kind, score in scores.items()], F.lit("other"))
+    """Type with most keyword hits; the earlier type on equal scores, ``other`` without a hit."""
+    kinds = F.array(*[F.lit(kind) for kind in TABLE_TYPE_KEYWORDS])
+    scores = let(
+        table_search_text(title, columns, labels),
+        lambda text: F.array(*[count_contained(text, words) for words in TABLE_TYPE_KEYWORDS.values()]),
+    )
+    best = let(scores, lambda s: F.when(F.array_max(s) > 0, F.get(kinds, F.array_position(s, F.array_max(s)).cast("int") - 1)))
+    return F.coalesce(best, F.lit("other"))
 
 
 def keyword_section_type(title: Column, content: Column) -> Column:
     text = F.lower(F.concat(_empty(title), F.lit(" "), F.substring(_empty(content), 1, 500)))
-    return _chain([(contains_any(text, ws), F.lit(t)) for t, ws in SECTION_TYPE_KEYWORDS.items()], F.lit("other"))
+    return let(
+        text, lambda t: _chain([(contains_any(t, ws), F.lit(k)) for k, ws in SECTION_TYPE_KEYWORDS.items()], F.lit("other"))
+    )
 
 
 def severity_class(error_type: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from reportloom.functions.text import count_contained, strip
+from reportloom.functions.text import let, strip
 from reportloom.vocabulary import (
     CANONICAL_FILE_PATTERN,
     COMPANY_FILE_PATTERNS,
@@ -39,17 +39,30 @@ def file_slug(company: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """``sv``, ``no`` or ``en`` by indicator words; Swedish when nothing decides."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    sv, no, en = (count_contained(low, w) for w in (SWEDISH_WORDS, NORWEGIAN_WORDS, ENGLISH_WORDS))
-    strong = count_contained(low, STRONG_ENGLISH_WORDS)
-    only_no, only_sv = count_contained(low, ONLY_NORWEGIAN_WORDS), count_contained(low, ONLY_SWEDISH_WORDS)
-    nordic = (sv > 0) | (no > 0)
-    return (
-        F.when((strong >= 2) | (en > F.greatest(sv, no)), "en")
-        .when(nordic & ((only_no > only_sv) | ((only_no == only_sv) & (no > sv))), "no")
-        .otherwise("sv")
-    )
+    """``sv``, ``no`` or ``en`` by indicator words; Swedish when nothing decides.
+
+    The text is searched once for every word of any list; the lists are then counted among the hits.
+    """
+    lists = [
+        SWEDISH_WORDS, NORWEGIAN_WORDS, ENGLISH_WORDS, STRONG_ENGLISH_WORDS, ONLY_NORWEGIAN_WORDS, ONLY_SWEDISH_WORDS
+    ]
+
+    def words(values: list[str]) -> Column:
+        return F.array(*[F.lit(w) for w in values])
+
+    def decide(n: Column) -> Column:
+        sv, no, en, strong, only_no, only_sv = (n[i] for i in range(len(lists)))
+        nordic = (sv > 0) | (no > 0)
+        return (
+            F.when((strong >= 2) | (en > F.greatest(sv, no)), "en")
+            .when(nordic & ((only_no > only_sv) | ((only_no == only_sv) & (no > sv))), "no")
+            .otherwise("sv")
+        )
+
+    every = words(list(dict.fromkeys(w for values in lists for w in values)))
+    hits = let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(every, lambda w: F.contains(low, w)))
+    counts = let(hits, lambda h: F.array(*[F.size(F.array_intersect(h, words(values))) for values in lists]))
+    return let(counts, decide)
 
 
 def _trim_marks(name: Column) -> Column:

@@ -43,33 +43,42 @@ def _first_rows(rows: DataFrame) -> DataFrame:
     return first_per_key(usable, ["period_id", "canonical"], _ROW_ORDER)
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """Pairs (pair_id, period_1, period_2) as one row per side."""
+    sides = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("side"), F.col(f"period_{n}").alias("period_id")) for n in (1, 2)
+    ])).alias("s")
+    return pairs.select("pair_id", sides).select("pair_id", "s.*")
+
+
+def _beside(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides of each pair next to each other as structs ``r1`` and ``r2``.
+
+    ``rows`` has one row per period and key. One join and one aggregate: the rows are read once for both sides.
+    """
+    row = F.struct(*[c for c in rows.columns if c not in ("period_id", key)])
+    return _sides(pairs).join(rows, "period_id").groupBy("pair_id", key).agg(
+        *[F.max(F.when(F.col("side") == n, row)).alias(f"r{n}") for n in (1, 2)]
+    )
+
+
 def compare_companies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Matched rows of every pair (pair_id, period_1, period_2).
 
     ``rows`` are table rows with ``canonical``. Only the first row per label counts on either side.
     """
-    firsts = _first_rows(rows).withColumn("value", first_value("values"))
-
-    def side(n: int) -> DataFrame:
-        return firsts.select(
-            F.col("period_id").alias(f"period_{n}"),
-            "canonical",
-            F.col("label").alias(f"label_{n}"),
-            F.col("label_en").alias(f"label_en_{n}"),
-            F.col("value").alias(f"value_{n}"),
-        )
-
-    v1, v2 = F.col("value_1"), F.col("value_2")
-    joined = pairs.join(side(1), "period_1").join(side(2), ["period_2", "canonical"])
-    return joined.select(
+    firsts = _first_rows(rows).select("period_id", "canonical", "label", "label_en", first_value("values").alias("value"))
+    both = _beside(firsts, pairs, "canonical").filter("r1 IS NOT NULL AND r2 IS NOT NULL")
+    v1, v2 = F.col("r1.value"), F.col("r2.value")
+    return both.select(
         "pair_id",
         "canonical",
-        F.col("label_en_1").alias("label_en"),
-        F.when(F.col("canonical") != strip(F.lower("label_en_1")), F.col("canonical")).alias("matched_via"),
-        "label_1",
-        "value_1",
-        "label_2",
-        "value_2",
+        F.col("r1.label_en").alias("label_en"),
+        F.when(F.col("canonical") != strip(F.lower("r1.label_en")), F.col("canonical")).alias("matched_via"),
+        F.col("r1.label").alias("label_1"),
+        v1.alias("value_1"),
+        F.col("r2.label").alias("label_2"),
+        v2.alias("value_2"),
         F.round(v1 - v2, 2).alias("difference"),
         F.when(v2 != 0, F.round(F.try_divide(v1, v2), 2)).alias("ratio"),
     )
@@ -104,26 +113,20 @@ def unmatched_rows(rows: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFr
 
 def compare_periods(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both sides of every pair (pair_id, period_1, period_2) under each other, marked by ``side``."""
-    sides = [
-        pairs.select("pair_id", F.col(f"period_{n}").alias("period_id"), F.lit(n).alias("side")) for n in (1, 2)
-    ]
-    return sides[0].unionByName(sides[1]).join(rows, "period_id")
+    return _sides(pairs).join(rows, "period_id")
 
 
 def align_periods(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both sides of every pair row by row, on the normalised row name (row: period_id, row_order, label, value)."""
     keyed = rows.withColumn("row_key", row_key(F.col("label"))).filter(F.col("row_key") != "")
-    firsts = first_per_key(keyed.select("period_id", "row_key", "row_order", "label", "value"),
-                           ["period_id", "row_key"], ["row_order"])
-
-    def side(n: int) -> DataFrame:
-        return (
-            pairs.select("pair_id", F.col(f"period_{n}").alias("period_id"))
-            .join(firsts, "period_id")
-            .select("pair_id", "row_key", F.col("label").alias(f"label_{n}"), F.col("value").alias(f"value_{n}"))
-        )
-
-    return side(1).join(side(2), ["pair_id", "row_key"], "full")
+    firsts = first_per_key(
+        keyed.select("period_id", "row_key", "row_order", "label", "value"), ["period_id", "row_key"], ["row_order"]
+    )
+    both = _beside(firsts.select("period_id", "row_key", "label", "value"), pairs, "row_key")
+    return both.select(
+        "pair_id", "row_key", F.col("r1.label").alias("label_1"), F.col("r1.value").alias("value_1"),
+        F.col("r2.label").alias("label_2"), F.col("r2.value").alias("value_2"),
+    )
 
 
 def missing_items(expected: DataFrame, extracted: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.functions.classify import mapped_table_type
@@ -323,57 +325,66 @@ def latest_notes(notes: DataFrame) -> DataFrame:
 def sheet_plan(
     periods: DataFrame, tables: DataFrame, financial: DataFrame, charts: DataFrame, texts: DataFrame
 ) -> DataFrame:
-    """Sheets of every company's databook in order (company_id, place, sheet).
+    """Sheets of every company's databook (company_id, block, spot, tie, sheet), in order of block, spot and tie.
 
     Number sheets by table type where the company has tables, else legacy statement sheets; then charts; then
     one text sheet per kept section (texts: company_id, section_no, title, page), first title wins a name clash.
+    Every source is reduced to flags per period in one pass; the flags of all sources meet in one aggregate.
     """
+    kind = mapped_table_type(F.col("table_type"), F.col("title"))
+    kinds = [k for k, _ in SHEET_ORDER]
+    legacy = [k for k, _ in LEGACY_SHEETS]
+    flags = ["has_tables", "has_charts", *kinds, *legacy]
+
+    def flagged(df: DataFrame, found: dict[str, Column]) -> DataFrame:
+        return df.groupBy("period_id").agg(*[
+            F.max(F.coalesce(found[f], F.lit(False))).alias(f) if f in found else F.lit(False).alias(f) for f in flags
+        ])
+
+    typed = tables.select("period_id", kind.alias("kind"))
+    sources = [
+        flagged(typed, {"has_tables": F.lit(True), **{k: F.col("kind") == k for k in kinds}}),
+        flagged(charts, {"has_charts": F.lit(True)}),
+        flagged(financial, {k: F.col("statement_type") == k for k in legacy}),
+    ]
     owner = periods.select(F.col("id").alias("period_id"), "company_id")
-    types = (
-        tables.select("period_id", mapped_table_type(F.col("table_type"), F.col("title")).alias("kind")).distinct()
-        .join(owner, "period_id").select("company_id", "kind").distinct()
-    )
-    modern = types.select("company_id").distinct()
-    statements = (
-        financial.select("period_id", "statement_type").distinct().join(owner, "period_id")
-        .select("company_id", F.col("statement_type").alias("kind")).distinct()
+    company = (
+        reduce(DataFrame.unionByName, sources).join(owner, "period_id").groupBy("company_id")
+        .agg(*[F.max(f).alias(f) for f in flags])
     )
+
+    def sheet(when: Column, spot: int, name: str) -> Column:
+        return F.when(when, F.struct(
+            F.lit(0).alias("block"), F.lit(spot).cast("bigint").alias("spot"), F.lit(0).cast("bigint").alias("tie"),
+            F.lit(name).alias("sheet"),
+        ))
+
+    modern = F.col("has_tables")
     # A company counts as legacy by its first two statements only.
-    legacy = statements.join(
-        statements.filter(F.col("kind").isin("resultatrakning", "balansrakning")).select("company_id").distinct(),
-        "company_id", "left_semi",
-    ).join(modern, "company_id", "left_anti")
-
-    def place(kinds: list[tuple[str, str]]) -> tuple[Column, Column]:
-        names = F.create_map(*[F.lit(x) for kind, name in kinds for x in (kind, name)])
-        spots = F.create_map(*[F.lit(x) for i, (kind, _) in enumerate(kinds) for x in (kind, i + 1)])
-        return F.try_element_at(spots, F.col("kind")), F.try_element_at(names, F.col("kind"))
-
-    def part(df: DataFrame, block: int, spot: Column, name: Column) -> DataFrame:
-        return df.select("company_id", F.lit(block).alias("block"), spot.cast("bigint").alias("spot"),
-                         F.lit(0).cast("bigint").alias("tie"), name.alias("sheet"))
-
-    with_charts = charts.select("period_id").distinct().join(owner, "period_id").select("company_id").distinct()
-    known = types.filter(F.col("kind").isin([t for t, _ in SHEET_ORDER]))
-    spot, name = place(SHEET_ORDER)
-    old_spot, old_name = place(LEGACY_SHEETS)
-    texted = texts.join(modern, "company_id", "left_semi")
-    cleaned = texted.withColumn("sheet", sheet_name(F.col("title")))
+    old = ~modern & (F.col(legacy[0]) | F.col(legacy[1]))
+    planned = F.filter(F.array(
+        sheet(modern, 0, NUMBERS_SEPARATOR),
+        *[sheet(modern & F.col(k), i + 1, name) for i, (k, name) in enumerate(SHEET_ORDER)],
+        sheet(modern & F.col("has_charts"), 100, CHART_SHEET),
+        sheet(old, 0, LEGACY_SEPARATOR),
+        *[sheet(old & F.col(k), i + 1, name) for i, (k, name) in enumerate(LEGACY_SHEETS)],
+    ), lambda x: x.isNotNull())
+    known = company.select("company_id", "has_tables", planned.alias("planned"))
+    numbers = known.select("company_id", F.explode("planned").alias("s")).select("company_id", "s.*")
+
+    cleaned = texts.withColumn("sheet", sheet_name(F.col("title")))
     named = first_per_key(
         cleaned.select("company_id", "sheet", "page", "section_no"), ["company_id", "sheet"], ["page", "section_no"]
+    ).join(known.filter("has_tables"), "company_id")
+    free = ~F.array_contains(F.transform("planned", lambda s: s["sheet"]), F.col("sheet")) & (
+        F.col("sheet") != TEXT_SEPARATOR
     )
-    taken = [n for _, n in SHEET_ORDER] + [CHART_SHEET, NUMBERS_SEPARATOR, TEXT_SEPARATOR]
-    numbers = (
-        part(modern, 0, F.lit(0), F.lit(NUMBERS_SEPARATOR)).unionByName(part(known, 0, spot, name))
-        .unionByName(part(with_charts.join(modern, "company_id", "left_semi"), 0, F.lit(100), F.lit(CHART_SHEET)))
-        .unionByName(part(legacy.select("company_id").distinct(), 0, F.lit(0), F.lit(LEGACY_SEPARATOR)))
-        .unionByName(part(legacy, 0, old_spot, old_name))
+    words = named.filter(free).select(
+        "company_id", F.lit(1).alias("block"), F.col("page").cast("bigint").alias("spot"),
+        F.col("section_no").cast("bigint").alias("tie"), "sheet",
     )
-    clash = numbers.filter(F.col("sheet").isin(taken)).select("company_id", "sheet")
-    words = part(texted.select("company_id").distinct(), 1, F.lit(-1), F.lit(TEXT_SEPARATOR)).unionByName(
-        named.join(clash, ["company_id", "sheet"], "left_anti").select(
-            "company_id", F.lit(1).alias("block"), F.col("page").cast("bigint").alias("spot"),
-            F.col("section_no").cast("bigint").alias("tie"), "sheet",
-        )
+    heads = named.select("company_id").distinct().select(
+        "company_id", F.lit(1).alias("block"), F.lit(-1).cast("bigint").alias("spot"), F.lit(0).cast("bigint").alias("tie"),
+        F.lit(TEXT_SEPARATOR).alias("sheet"),
     )
-    return numbers.unionByName(words)
+    return numbers.unionByName(heads).unionByName(words)

@@ -106,13 +106,14 @@ def file_plan(files: DataFrame) -> DataFrame:
     Action: keep (already canonical), rename, collision (the new name is taken or wanted twice), or failed.
     """
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    found = files.select(
-        "folder", "name",
+    facts = F.struct(
         naming.is_canonical_file(F.col("name")).alias("canonical"),
         naming.company_name(F.col("text"), stem).alias("company"),
         find_period(F.col("text"), stem).alias("p"),
         naming.language(F.col("text")).alias("language"),
     )
+    # Generated, so that later filters do not repeat the searches.
+    found = files.select("folder", "name", F.explode(F.array(facts)).alias("f")).select("folder", "name", "f.*")
     named = found.select(
         "folder", "name", "canonical", "company", "p.quarter", "p.year", "language",
         naming.report_file_name(F.col("company"), F.col("p.year"), F.col("p.quarter"), F.col("language")).alias("new_name"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.functions.labels import is_placeholder_label
-from reportloom.functions.text import is_blank
+from reportloom.functions.text import is_blank, let
 from reportloom.schemas import FINDING_COLUMNS
 
 ERROR, WARNING = "error", "warning"
@@ -25,10 +25,11 @@ def _finding(kind: str, message: Column, severity: str, row_index: Column | None
     )
 
 
-def _exploded(df: DataFrame, findings: Column, item: Column, title: Column) -> DataFrame:
-    return df.select(
-        "report", item.alias("item_id"), title.alias("title"), F.explode(F.filter(findings, lambda f: f.isNotNull())).alias("f")
-    ).select("report", "item_id", "title", "f.error_type", "f.message", "f.row_index", "f.severity")
+def _exploded(df: DataFrame, findings: Column, item: Column, title: Column, *more: str) -> DataFrame:
+    found = F.explode(F.filter(findings, lambda f: f.isNotNull())).alias("f")
+    return df.select("report", item.alias("item_id"), title.alias("title"), *more, found).select(
+        "report", "item_id", "title", *more, "f.error_type", "f.message", "f.row_index", "f.severity"
+    )
 
 
 def _text(*parts: str | Column) -> Column:
@@ -82,12 +83,17 @@ def _row_findings(row: Column, index: Column) -> Column:
 
 def table_findings(tables: DataFrame) -> DataFrame:
     """Empty table, placeholder label, wrong width, filled label slot, row without values."""
+    return _on_tables(tables, _row_rules())
+
+
+def _row_rules() -> Column:
     empty = F.array(_finding("empty_table", F.lit("Tabellen har inga rader"), ERROR))
     per_row = F.flatten(F.transform("rows", _row_findings))
-    found = F.when(F.coalesce(F.size("rows"), F.lit(0)) <= 0, empty).otherwise(per_row)
-    return _exploded(
-        tables, found, F.coalesce("id", F.lit("unknown")), F.coalesce("title", F.lit(_UNKNOWN_TABLE))
-    )
+    return F.when(F.coalesce(F.size("rows"), F.lit(0)) <= 0, empty).otherwise(per_row)
+
+
+def _on_tables(tables: DataFrame, found: Column) -> DataFrame:
+    return _exploded(tables, found, F.coalesce("id", F.lit("unknown")), F.coalesce("title", F.lit(_UNKNOWN_TABLE)))
 
 
 def missing_table_findings(expected: DataFrame, tables: DataFrame) -> DataFrame:
@@ -124,28 +130,27 @@ def column_count_findings(expected: DataFrame, tables: DataFrame) -> DataFrame:
 
 def completeness_findings(tables: DataFrame) -> DataFrame:
     """Share of filled data cells: under half is an error, under 70 % a warning."""
+    return _on_tables(tables, _completeness_rule())
+
 
+def _completeness_rule() -> Column:
     def data(row: Column) -> Column:
         return F.when(F.size(row["values"]) > 1, _after_label(row["values"])).otherwise(row["values"])
 
     body = F.filter("rows", lambda r: F.coalesce(r["type"], F.lit("data")) != "header")
     cells = F.flatten(F.transform(body, data))
-    counted = tables.withColumn("cells", F.size(cells)).withColumn(
-        "filled", F.size(F.filter(cells, lambda v: v.isNotNull()))
-    ).filter((F.size("rows") > 0) & (F.size("columns") > 0) & (F.col("cells") > 0))
-    share = F.col("filled") / F.col("cells")
-    percent = _text(F.bround(share * 100, 0).cast("int"), "%")
-    found = F.array(
-        F.when(
-            share < 0.5,
-            _finding("data_completeness_error", _text("Endast ", percent, " dataceller har värden (min 50% krävs)"), ERROR),
-        ),
-        F.when(
-            (share >= 0.5) & (share < 0.7),
-            _finding("data_completeness_warning", _text(percent, " dataceller har värden"), WARNING),
-        ),
-    )
-    return _exploded(counted, found, F.col("id"), F.coalesce("title", F.lit(_UNKNOWN_TABLE)))
+    share = let(cells, lambda c: F.try_divide(F.size(F.filter(c, lambda v: v.isNotNull())), F.size(c)))
+
+    def judged(part: Column) -> Column:
+        percent = _text(F.bround(part * 100, 0).cast("int"), "%")
+        low = _finding(
+            "data_completeness_error", _text("Endast ", percent, " dataceller har värden (min 50% krävs)"), ERROR
+        )
+        thin = _finding("data_completeness_warning", _text(percent, " dataceller har värden"), WARNING)
+        return F.array(F.when(part < 0.5, low).when(part < 0.7, thin))
+
+    checked = (F.size("rows") > 0) & (F.size("columns") > 0)
+    return F.when(checked, let(share, judged)).otherwise(F.array())
 
 
 def section_findings(sections: DataFrame) -> DataFrame:
@@ -153,18 +158,21 @@ def section_findings(sections: DataFrame) -> DataFrame:
     numbered = _text("Section ", F.col("position"))
     title = F.when(F.coalesce("title", F.lit("")) == "", numbered).otherwise(F.col("title"))
     item = F.coalesce("id", _text("section_", F.col("position")))
-    no_content = sections.filter(is_blank(F.col("content")))
-    no_title = sections.filter(is_blank(F.col("title")))
-    return _exploded(
-        no_content, F.array(_finding("empty_content", F.lit("Sektionen har inget innehall"), WARNING)), item, title
-    ).unionByName(
-        _exploded(no_title, F.array(_finding("missing_title", F.lit("Sektionen saknar titel"), WARNING)), item, numbered)
-    )
+    no_content = _finding("empty_content", F.lit("Sektionen har inget innehall"), WARNING)
+    no_title = _finding("missing_title", F.lit("Sektionen saknar titel"), WARNING)
+    found = F.array(F.when(is_blank(F.col("content")), no_content), F.when(is_blank(F.col("title")), no_title))
+    shown = F.when(F.col("error_type") == "missing_title", F.col("_numbered")).otherwise(F.col("title")).alias("title")
+    out = _exploded(sections.withColumn("_numbered", numbered), found, item, title, "_numbered")
+    return out.select(*[shown if c == "title" else F.col(c) for c in FINDING_COLUMNS])
 
 
 def all_findings(tables: DataFrame, sections: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """All rules together; without a structure map the rules that need one are left out."""
-    parts = [table_findings(tables), completeness_findings(tables), section_findings(sections)]
+    """All rules together; without a structure map the rules that need one are left out.
+
+    The rules that look at one table only run in one pass over the tables.
+    """
+    in_table = F.concat(_row_rules(), _completeness_rule())
+    parts = [_on_tables(tables, in_table), section_findings(sections)]
     if expected is not None:
         parts += [missing_table_findings(expected, tables), column_count_findings(expected, tables)]
     out = parts[0]
