@@ -20,10 +20,12 @@ from reportloom.vocabulary import JOB_PROGRESS, REQUEST_LIMIT, REQUEST_WINDOW_SE
 
 def new_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """Text of files as they appear below ``path``, each path once (folder, name, text)."""
+    # The path comes percent-encoded; a plus sign in it is a plus sign.
+    path_text = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     files = (
         spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true").load(path)
-        .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+        .select(F.col("value").alias("text"), path_text.alias("path"))
     )
     parts = F.split("path", "/")
     return files.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "text")
