@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from reportloom.operators import knowledge, lookup, stats, status
+from reportloom.operators import compare, knowledge, lookup, stats, status
 from reportloom.plans.catalog import double, query
 from reportloom.plans.views import Views
+from reportloom.sources import sinks
 
 _GLOBAL = """
 SELECT c.id AS company_id, c.name AS company_name, c.slug AS company_slug, count(p.id) AS reports_count,
@@ -246,3 +247,49 @@ FROM {knowledge}""")
 def list_knowledge(v: Views) -> DataFrame:
     entries = v["knowledge"].withColumn("tags", F.array("category"))
     return knowledge.list_knowledge(entries).drop("tags")
+
+
+@query(f"""
+SELECT p.company_id, c.name, 'Q' || p.quarter || ' ' || p.year AS period, p.tables_status, p.sections_status, p.charts_status,
+       CAST(p.cost_sek AS DOUBLE) AS cost_sek
+FROM (SELECT *, tables || '/' || CASE WHEN id % 7 = 0 THEN '?' ELSE CAST(tables_count AS VARCHAR) END AS tables_status,
+             sections || '/' || CASE WHEN id % 7 = 0 THEN '?' ELSE CAST(warning_count AS VARCHAR) END AS sections_status,
+             charts || '/' || CASE WHEN id % 7 = 0 OR quarter = 2 THEN '?' ELSE CAST(charts_count AS VARCHAR) END AS charts_status
+      FROM ({_CHILDREN})) p JOIN {{companies}} c ON c.id = p.company_id""")
+def extraction_report(v: Views) -> DataFrame:
+    out = sinks.extraction_report(v["companies"], v["meta_periods"], v["report_tables"], v["sections"], v["charts"])
+    return out.select("company_id", "name", "period", "tables_status", "sections_status", "charts_status", double("cost_sek"))
+
+
+@query("""
+SELECT report, 'm' || report AS metadata, CAST(sum(((input_tokens * CASE model WHEN 'haiku' THEN 80 ELSE 300 END
+         + output_tokens * CASE model WHEN 'haiku' THEN 400 ELSE 1500 END) * 1050 + 5000) // 10000) AS DOUBLE) / 1000000
+         AS total_cost_sek
+FROM (SELECT id AS report, 'haiku' AS model, CAST(floor(cost_sek) AS BIGINT) AS input_tokens, open_count AS output_tokens FROM {periods}
+      UNION ALL SELECT id, 'sonnet', error_count, warning_count FROM {periods}
+      UNION ALL SELECT id, 'sonnet', tables_count, charts_count FROM {periods}) GROUP BY report""")
+def merge_passes(v: Views) -> DataFrame:
+    def one(model: str, tokens_in: str, tokens_out: str, *data: str) -> DataFrame:
+        value = F.concat(F.lit("m"), F.col("id").cast("string"))
+        return v["periods"].select(
+            F.col("id").alias("report"), F.lit(model).alias("model"), F.expr(tokens_in).alias("input_tokens"),
+            F.expr(tokens_out).alias("output_tokens"), F.struct(*[value.alias(d) for d in data]).alias("data"),
+        )
+
+    merged = stats.merge_passes(
+        one("haiku", "cast(floor(cost_sek) as bigint)", "open_count", "metadata"),
+        one("sonnet", "error_count", "warning_count", "tables", "charts"),
+        one("sonnet", "tables_count", "charts_count", "sections"),
+    )
+    return merged.select("report", "metadata", double("total_cost_sek"))
+
+
+@query("""
+SELECT id, title, page_number, table_type, CAST(NULL AS VARCHAR) AS section_type FROM {tables}
+UNION ALL SELECT id, title, page_number, NULL, section_type FROM {sections}""")
+def one_shape(v: Views) -> DataFrame:
+    """Rows of two producers under one set of columns."""
+    return compare.one_shape([
+        v["report_tables"].select("id", "title", "page_number", "table_type"),
+        v["sections"].select("id", "title", "page_number", "section_type"),
+    ])

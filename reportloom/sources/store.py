@@ -11,7 +11,17 @@ import uuid
 import warnings
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from reportloom.session import cut_lineage
+from reportloom.sources.payloads import (
+    chart_table_rows,
+    financial_rows,
+    parse_payloads,
+    period_rows,
+    report_table_rows,
+    section_rows,
+)
 
 _PARTITION = ["year", "quarter"]
 MANDATORY = ["financial_data", "sections", "report_tables"]
@@ -41,13 +51,13 @@ def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children
     with the same input changes nothing. Runs jobs.
     """
     stage = f"{root}/_staging/{uuid.uuid4().hex}"
-    keys = periods.select(F.col("id").alias("period_id"), "company_id", *_PARTITION)
-    touched = keys.select(*_PARTITION).distinct()
-
-    old = _read(spark, f"{root}/periods", periods).join(touched, _PARTITION, "left_semi")
     same = ["company_id", *_PARTITION]
+    keys = cut_lineage(periods.select(F.col("id").alias("period_id"), *same))
+    touched = _touched(keys)
+
+    old = _read(spark, f"{root}/periods", periods).filter(touched)
     replaced = old.join(keys.select(*same), same, "left_semi").select(F.col("id").alias("period_id"))
-    gone = replaced.unionByName(keys.select("period_id")).distinct()
+    gone = cut_lineage(replaced.unionByName(keys.select("period_id")).distinct())
     merged = old.join(keys.select(*same), same, "left_anti").unionByName(periods)
     merged.write.mode("overwrite").partitionBy(*_PARTITION).parquet(f"{stage}/periods")
 
@@ -56,10 +66,7 @@ def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children
         if name not in children:
             continue
         placed = children[name].join(keys.select("period_id", *_PARTITION), "period_id")
-        kept = (
-            _read(spark, f"{root}/{name}", placed).join(touched, _PARTITION, "left_semi")
-            .join(gone, "period_id", "left_anti")
-        )
+        kept = _read(spark, f"{root}/{name}", placed).filter(touched).join(gone, "period_id", "left_anti")
         try:
             kept.unionByName(placed).write.mode("overwrite").partitionBy(*_PARTITION).parquet(f"{stage}/{name}")
         except PySparkException as error:
@@ -74,5 +81,26 @@ def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children
     _publish(spark, f"{stage}/periods", f"{root}/periods", periods)
 
 
+def _touched(keys: DataFrame) -> Column:
+    """Filter on the partitions of the keys, known before the scan, so that no other partition is read.
+
+    The list goes through the driver: a year has four digits and a quarter one, so it is short by its nature.
+    """
+    rows = keys.select(*_PARTITION).distinct().collect()
+    return (F.col("year") * 10 + F.col("quarter")).isin([r["year"] * 10 + r["quarter"] for r in rows])
+
+
+def ingest(spark: SparkSession, root: str, raw: DataFrame, companies: DataFrame) -> None:
+    """Store the readable payload texts (seq, pdf_hash, raw) of known companies. Parses each text once. Runs jobs."""
+    periods = cut_lineage(period_rows(parse_payloads(raw), companies))
+    children = {
+        "financial_data": financial_rows(periods),
+        "sections": section_rows(periods),
+        "report_tables": report_table_rows(periods),
+        "charts": chart_table_rows(periods),
+    }
+    replace_periods(spark, root, periods.drop("payload"), children)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)

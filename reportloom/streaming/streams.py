@@ -50,8 +50,12 @@ _JOB_STATE = "last_ts timestamp, last_id long, status string, progress int, prog
 _JOB_OUTPUT = "job_id string, status string, progress int, cost_sek double, updated_at timestamp"
 
 
-def _later(ts: Any, event_id: int, than_ts: Any, than_id: int) -> bool:
-    return than_ts is None or (ts, event_id) > (than_ts, than_id)
+def _newest(frame: pd.DataFrame, ts: Any, event_id: int) -> pd.Series | None:
+    """Last row of the frame in time order if it is later than (ts, event_id)."""
+    if frame.empty:
+        return None
+    row = frame.sort_values(["ts", "event_id"]).iloc[-1]
+    return row if ts is None or (row.ts, row.event_id) > (ts, event_id) else None
 
 
 def _fold_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,14 +64,12 @@ def _fold_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         None, 0, None, 0, None, 0, None, None, 0
     )
     for frame in frames:
-        for ts, event_id, new_status, new_cost in zip(frame.ts, frame.event_id, frame.status, frame.cost_sek):
-            event_id = int(event_id)
-            if _later(ts, event_id, last_ts, last_id):
-                last_ts, last_id, status = ts, event_id, new_status
-            if new_status in JOB_PROGRESS and _later(ts, event_id, p_ts, p_id):
-                progress, p_ts, p_id = JOB_PROGRESS[new_status], ts, event_id
-            if not pd.isna(new_cost) and _later(ts, event_id, c_ts, c_id):
-                cost, c_ts, c_id = float(new_cost), ts, event_id
+        if (row := _newest(frame, last_ts, last_id)) is not None:
+            last_ts, last_id, status = row.ts, int(row.event_id), row.status
+        if (row := _newest(frame[frame.status.isin(JOB_PROGRESS)], p_ts, p_id)) is not None:
+            progress, p_ts, p_id = JOB_PROGRESS[row.status], row.ts, int(row.event_id)
+        if (row := _newest(frame[frame.cost_sek.notna()], c_ts, c_id)) is not None:
+            cost, c_ts, c_id = float(row.cost_sek), row.ts, int(row.event_id)
     state.update((last_ts, last_id, status, progress, p_ts, p_id, cost, c_ts, c_id))
     yield pd.DataFrame(
         {"job_id": [key[0]], "status": [status], "progress": [progress], "cost_sek": [cost], "updated_at": [last_ts]}

@@ -15,6 +15,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as contract  # noqa: E402
 from reportloom.plans.views import BASE  # noqa: E402
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def plain(value):
     if isinstance(value, Decimal):

@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from check_queries import connect, differences
-from conftest import DATA
+from check_queries import DATA, connect, differences
 
 
 @pytest.fixture(scope="module")

@@ -103,6 +103,14 @@ def test_replace_periods(spark, companies, tmp_path):
         assert stored(spark, root, "charts").count() == 2
 
 
+def test_ingest(spark, companies, tmp_path):
+    raw = parse(spark, [GOOD, "trasig"]).select("seq", "pdf_hash", "raw")
+    for _ in range(2):
+        store.ingest(spark, str(tmp_path / "s"), raw, companies)
+    counts = {n: stored(spark, str(tmp_path / "s"), n).count() for n in ("periods", "sections", "report_tables", "charts", "financial_data")}
+    assert counts == {"periods": 1, "sections": 2, "report_tables": 1, "charts": 1, "financial_data": 2}
+
+
 def test_failed_child_leaves_store(spark, companies, tmp_path):
     root = str(tmp_path / "store")
     one = payloads.period_rows(parse(spark, [GOOD]), companies)
