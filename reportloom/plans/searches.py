@@ -161,7 +161,7 @@ def update_knowledge(v: Views) -> DataFrame:
 
 @query("SELECT id FROM {knowledge} WHERE id % 10 <> 4")
 def delete_knowledge(v: Views) -> DataFrame:
-    gone = v["documents"].filter("doc_id % 10 = 4").select(F.col("doc_id").alias("id"))
+    gone = v["embeddings"].filter("vec_id % 10 = 4").select(F.col("vec_id").alias("id"))
     return knowledge.delete_entries(v["knowledge"], gone).select("id")
 
 

@@ -6,6 +6,10 @@ import __spark_entry__ as contract
 from check_queries import DATA, connect, differences
 
 
+# Both sides agree on no rows at the smallest scale: it has fewer documents than vectors.
+EMPTY_HERE = {"missing_vectors", "unknown_knowledge_ids"}
+
+
 @pytest.fixture(scope="module")
 def connection():
     return connect(DATA)
@@ -14,9 +18,7 @@ def connection():
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, connection, name):
     problem = differences(spark, DATA, name, connection)
-    if name in ("resumable_batches", "report_heuristics") and problem == "no rows":
-        return
-    assert problem == ""
+    assert problem == "" or (problem == "no rows" and name in EMPTY_HERE)
 
 
 def test_entry(spark):
