@@ -6,6 +6,7 @@ map task keeps only its best rows per query before the one small shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,21 +36,29 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; null for a zero vector."""
-    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+def _with_vector(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows that have a vector, with it in double precision (_v) and its length (_n), computed once for all queries."""
+    usable = df.filter(F.col(vector).isNotNull()).withColumn("_v", F.col(vector).cast("array<double>"))
+    return usable.withColumn("_n", F.sqrt(_dot(F.col("_v"), F.col("_v"))))
 
 
-def _per_query(df: DataFrame, scores: list[Column]) -> DataFrame:
-    """Rows times queries with a score; a null score is no hit."""
-    hits = F.filter(F.array(*scores), lambda s: s["score"].isNotNull())
-    return df.select("*", F.explode(hits).alias("_hit")).select("*", "_hit.query_id", "_hit.score").drop("_hit")
+def _cosine(query: Vector) -> Column:
+    """Cosine similarity of ``_v`` and the query; null for a zero vector."""
+    length = math.sqrt(sum(float(x) * float(x) for x in query))
+    return F.try_divide(_dot(F.col("_v"), _literal(query)), F.col("_n") * F.lit(length))
 
 
-def _best(hits: DataFrame, k: int, tie: str = "id") -> DataFrame:
-    """Best ``k`` rows per query. The rank limit is applied by every map task before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(tie).asc())
-    return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+def _best(df: DataFrame, scored: DataFrame, scores: list[Column], k: int) -> DataFrame:
+    """Rows of ``df`` that are among the best ``k`` of a query; a null score is no hit.
+
+    Only id, query and score are ranked, never contents or vectors, and every map task applies the rank limit
+    before the shuffle. The winners, at most ``k`` per query of the request, are then broadcast to fetch their rows.
+    """
+    hits = F.filter(F.array(*scores), lambda s: s["score"].isNotNull())
+    narrow = scored.select("id", F.explode(hits).alias("h")).select("id", "h.query_id", "h.score")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
+    best = narrow.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return df.join(F.broadcast(best), "id")
 
 
 def _scored(query: Query, score: Column) -> Column:
@@ -58,11 +67,8 @@ def _scored(query: Query, score: Column) -> Column:
 
 def vector_top_k(df: DataFrame, queries: list[Query], k: int, vector: str = "embedding") -> DataFrame:
     """Nearest rows by cosine similarity per query; rows without a vector are skipped."""
-    usable = df.filter(F.col(vector).isNotNull()).withColumn("_v", F.col(vector).cast("array<double>"))
-    scores = [
-        _scored(q, F.when(_company(df, q), cosine(F.col("_v"), _literal(q.vector)))) for q in queries if q.vector is not None
-    ]
-    return _best(_per_query(usable, scores).drop("_v"), k)
+    scores = [_scored(q, F.when(_company(df, q), _cosine(q.vector))) for q in queries if q.vector is not None]
+    return _best(df, _with_vector(df, vector), scores, k)
 
 
 def _company(df: DataFrame, query: Query) -> Column:
@@ -104,27 +110,30 @@ def search_knowledge_text(
     return wanted.filter(hit).orderBy("id").limit(k)
 
 
-def text_score(content: Column, query: str) -> Column:
-    """Share of the query's distinct words that occur as words in the content."""
-    words = sorted(set(w for w in query.lower().split() if w))
-    if not words:
+def _words(content: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\w]+"))
+
+
+def _text_score(words: Column, query: str) -> Column:
+    """Share of the query's distinct words that are among the words of the content."""
+    wanted = sorted(set(query.lower().split()))
+    if not wanted:
         return F.lit(0.0)
-    have = F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\w]+")
-    return F.size(F.array_intersect(F.array(*[F.lit(w) for w in words]), have)) / F.lit(float(len(words)))
+    return F.size(F.array_intersect(F.array(*[F.lit(w) for w in wanted]), words)) / F.lit(float(len(wanted)))
 
 
 def hybrid_top_k(
     sections: DataFrame, queries: list[Query], k: int = 10, text_weight: float = 0.3, semantic_weight: float = 0.7
 ) -> DataFrame:
     """Sections with a vector by weighted text and vector score."""
-    usable = sections.filter(F.col("embedding").isNotNull()).withColumn("_v", F.col("embedding").cast("array<double>"))
+    usable = _with_vector(sections).withColumn("_w", _words(F.col("content")))
     scores = []
     for q in queries:
         if q.vector is None:
             continue
-        both = text_weight * text_score(F.col("content"), q.text) + semantic_weight * cosine(F.col("_v"), _literal(q.vector))
+        both = text_weight * _text_score(F.col("_w"), q.text) + semantic_weight * _cosine(q.vector)
         scores.append(_scored(q, F.when(_company(sections, q), both)))
-    return _best(_per_query(usable, scores).drop("_v"), k)
+    return _best(sections, usable, scores, k)
 
 
 def text_hits(sections: DataFrame, queries: list[Query], k: int = 10) -> DataFrame:
@@ -133,7 +142,7 @@ def text_hits(sections: DataFrame, queries: list[Query], k: int = 10) -> DataFra
     for q in queries:
         hit = F.ilike(F.col("content"), F.lit(f"%{q.text}%")) & _company(sections, q)
         scores.append(_scored(q, F.when(hit, 0.0)))
-    hits = _best(_per_query(sections, scores), k)
+    hits = _best(sections, sections, scores, k)
     shown = F.lit(None).cast("string")
     for q in queries:
         shown = F.when(F.col("query_id") == q.query_id, excerpt(F.col("content"), F.lit(q.text))).otherwise(shown)
