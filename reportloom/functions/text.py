@@ -51,8 +51,3 @@ def line_kind(line: Column) -> Column:
     words = F.size(F.split(line, r"(?U)\s+"))
     short_title = (F.length(line) <= 50) & (words <= 6) & ~line.rlike(r"[.,]$")
     return F.when(marked | numbered, "bullet").when(short_title, "subheader").otherwise("text")
-
-
-def like_any_part(text: Column, term: Column) -> Column:
-    """``text ILIKE '%term%'`` where % and _ inside the term stay wild cards."""
-    return F.ilike(text, F.concat(F.lit("%"), term, F.lit("%")))

@@ -210,8 +210,3 @@ def financial_rows(periods: DataFrame) -> DataFrame:
         )
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def latest_payloads(parsed: DataFrame, key: list[str]) -> DataFrame:
-    """Newest parsed payload per key."""
-    return first_per_key(parsed, key, [-F.col("seq")])
