@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportloom.llm import bpe, exact_dedup, mixing, sharding
+from reportloom.llm import bpe, exact_dedup, html_text, mixing, sharding, url_filter
 from reportloom.llm.common import read
 
 SHARDS = 40
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
 
 
 def tokenizer_path() -> str:
@@ -22,6 +25,10 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.tokenize(read(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read(spark, folder, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, folder, "documents"))
 
@@ -36,6 +43,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read(spark, folder, "pages"), url_filter.rules_table(spark, URL_RULES)).drop("component")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(read(spark, folder, "documents"), power=0.5, seed=10).select(
         "doc_id", "source", "copy", "copies", "order_key", "text"
@@ -44,8 +55,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_html": op3_html,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
 
@@ -57,6 +70,43 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op9_url_filter": r"""
+        WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+            ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        tags AS (
+            SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url LIKE '%://%'
+        ), links AS (
+            SELECT DISTINCT url, replace(target, '&amp;', '&') AS target FROM (
+                SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags
+                WHERE regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b')
+                UNION ALL
+                SELECT url, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
+                WHERE regexp_matches(tag, '(?is)^<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b')
+            ) WHERE contains(target, '://')
+        ), urls AS (
+            SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM (SELECT url FROM pages WHERE url LIKE '%://%' UNION SELECT target FROM links)
+        ), nodes AS (
+            SELECT u.*, CASE WHEN u.host <> '' THEN regexp_replace(u.host, '^(www|m)\.', '')
+                     || regexp_replace(u.path, '(/index)?(\.html?)?/*$', '') END AS address,
+                   (SELECT max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path))
+                    FROM rules r WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)) AS best
+            FROM urls u
+        ), edges AS (
+            SELECT a.address AS a, b.address AS b FROM links l JOIN nodes a ON a.url = l.url JOIN nodes b ON b.url = l.target
+        ), reach AS (
+            SELECT DISTINCT address AS a, address AS b FROM nodes WHERE address IS NOT NULL
+            UNION
+            SELECT r.a, CASE WHEN e.a = r.b THEN e.b ELSE e.a END FROM reach r JOIN edges e ON r.b IN (e.a, e.b)
+        ), blocked AS (
+            SELECT DISTINCT r.a FROM reach r JOIN nodes n ON n.address = r.b WHERE n.best.verdict = 'block'
+        )
+        SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, n.best.rule AS rule,
+               CASE WHEN n.best.verdict IS NOT NULL THEN n.best.verdict
+                    WHEN n.address IN (SELECT a FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
+        FROM pages p LEFT JOIN nodes n ON n.url = p.url""",
     "op10_mixing": """
         WITH sizes AS (
             SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source
