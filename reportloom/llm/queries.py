@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reportloom.llm import bpe, exact_dedup, html_text, mixing, sharding, url_filter
+from reportloom.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, sharding, url_filter
 from reportloom.llm.common import read
 
 SHARDS = 40
@@ -29,6 +29,21 @@ def op3_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(read(spark, folder, "pages"))
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """Rows a language may be learned from: crc32 of the id as text is not 2 modulo 4."""
+    return docs.filter(~held_out())
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    parsers = language_id.fit(learnable(docs))
+    return language_id.predict(docs, parsers).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, folder, "documents"))
 
@@ -43,6 +58,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, folder, "documents"), percent=85)
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read(spark, folder, "pages"), url_filter.rules_table(spark, URL_RULES)).drop("component")
 
@@ -56,8 +75,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_html": op3_html,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
