@@ -23,21 +23,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a folder only in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one, in local mode only."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+        return configured.rstrip("/")
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="reportloom-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so an iteration starts from stored rows."""
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
