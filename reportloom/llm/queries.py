@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reportloom.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, sharding, url_filter
+from reportloom.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality, sharding, url_filter, vector_search
 from reportloom.llm.common import read
 
 SHARDS = 40
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(read(spark, folder, "documents"))
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.tokenize(read(spark, folder, "documents"), tokenizer_path())
 
@@ -29,6 +33,10 @@ def op3_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(read(spark, folder, "pages"))
 
 
+def op4_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.top_inner_products(read(spark, folder, "embeddings"), every=50, k=5, scale=256)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """Rows a language may be learned from: crc32 of the id as text is not 2 modulo 4."""
     return docs.filter(~held_out())
@@ -72,20 +80,40 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_html": op3_html,
+    "op4_vector_search": op4_vector_search,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op4_vector_search": """
+        WITH v AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS z FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.z, c.z)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.z) = len(c.z)
+        )
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
