@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of the decoded text."""
-    return bpe.tokenize(docs, tokenizer_path(), with_ids=True).drop("decoded")
+    return bpe.tokenize(docs, tokenizer_path(), outputs=("ids",))
 
 
 STAGES = [

@@ -24,7 +24,8 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 # The splitting pattern of the tokenizer file.
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+"
 _PYTHON_ONLY_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_CACHED = 1 << 19
+_CACHED = 1 << 18
+_ROWS = 256  # the ids of a batch weigh several times its text
 
 
 def byte_symbols() -> list[str]:
@@ -152,34 +153,46 @@ def load(path: str) -> Bpe:
         return Bpe(json.load(file))
 
 
-def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+_OUTPUTS = {"ids": "array<int>", "decoded": "string"}
+
+
+def tokenize(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ()
+) -> DataFrame:
     """One row for each document: the id column, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
-    ``path`` is a tokenizer file on the driver; Spark ships it to every executor. ``with_ids`` adds the real outputs,
-    ``ids`` (array<bigint>) and ``decoded``. A null text counts as empty: no tokens. Repeated rows stay repeated.
+    ``path`` is a tokenizer file on the driver; Spark ships it to every executor. ``outputs`` adds the real outputs,
+    ``ids`` (array<int>) and ``decoded``. A null text counts as empty: no tokens. Repeated rows stay repeated.
     """
     name = path.rsplit("/", 1)[-1]
     docs.sparkSession.sparkContext.addFile(path)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        schema += ", ids array<bigint>, decoded string"
+    schema += "".join(f", {name} {_OUTPUTS[name]}" for name in outputs)
+
+    def encoded(bpe: Bpe, text: str | None) -> dict:
+        ids = bpe.encode(text)
+        decoded = bpe.decode(ids)
+        row = {
+            "n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(),
+            "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest(),
+        }
+        if "ids" in outputs:
+            row["ids"] = np.frombuffer(ids, "<i4")
+        if "decoded" in outputs:
+            row["decoded"] = decoded
+        return row
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(SparkFiles.get(name))
-        for batch in batches:
-            rows = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-            for text in batch["text"]:
-                ids = bpe.encode(text)
-                decoded = bpe.decode(ids)
-                rows["n_tokens"].append(len(ids) // 4)
-                rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    rows["ids"].append(np.frombuffer(ids, "<u4").astype(np.int64))
-                    rows["decoded"].append(decoded)
-            kept = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-            yield pd.DataFrame({id_col: batch["id"]} | {c: rows[c] for c in kept})
+        for whole in batches:
+            for start in range(0, len(whole), _ROWS):
+                batch = whole.iloc[start:start + _ROWS]
+                rows = [encoded(bpe, text) for text in batch["text"]]
+                columns = ["n_tokens", "ids_sha256", "decoded_sha256", *outputs]
+                yield pd.DataFrame({id_col: batch["id"].to_numpy()} | {c: [r[c] for r in rows] for c in columns})
+        bpe.words.clear()  # the worker lives on, other work needs its memory
+        bpe.chunks.clear()
 
     selected = docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text")
     return selected.mapInPandas(run, schema)

@@ -125,7 +125,7 @@ def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path())
-    got = {r.doc_id: r for r in bpe.tokenize(table(spark, TEXTS), tokenizer_path(), with_ids=True).collect()}
+    got = {r.doc_id: r for r in bpe.tokenize(table(spark, TEXTS), tokenizer_path(), outputs=("ids", "decoded")).collect()}
     for i, text in enumerate(TEXTS):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert got[i].ids == ids and got[i].n_tokens == len(ids)
