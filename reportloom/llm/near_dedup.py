@@ -2,8 +2,9 @@
 
 1. Every text becomes its shingle set, a signature of the set and a sketch of one byte per coordinate.
 2. Texts with one set are one class; only the class with its smallest id goes on.
-3. Bands of the sketch put classes into buckets. Every class is linked to the smallest class of the bucket set it shares
-   most bands with, if the full sets confirm it. Most groups are one component after that.
+3. Bands of the sketch put classes into buckets. The pivot of a bucket is its most central class, the one that meets most
+   others over all buckets. Every class is linked to the pivot it shares most bands with and to its most central one, if
+   the full sets confirm it. Most groups are one component after that.
 4. Buckets that still hold several components compare their sketches block by block across components; pairs above the
    estimate are confirmed on the full sets. Pairs inside a component need no test, so nothing is lost.
 """
@@ -47,13 +48,15 @@ def _features(docs: DataFrame, width: int, size: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), width)
-            yield pd.DataFrame({
-                "id": batch["id"], "n": [s.size for s in sets],
-                "signature": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "sketch": [short_sketch(s, size) if s.size else b"" for s in sets],
-            })
+        for whole in batches:
+            for start in range(0, len(whole), 1024):
+                batch = whole.iloc[start:start + 1024]
+                sets = shingle_sets(batch["text"].tolist(), width)
+                yield pd.DataFrame({
+                    "id": batch["id"], "n": [s.size for s in sets],
+                    "signature": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "sketch": [short_sketch(s, size) if s.size else b"" for s in sets],
+                })
 
     return docs.mapInPandas(run, f"id {kind}, n bigint, signature binary, sketch binary")
 
@@ -168,11 +171,18 @@ def near_duplicates(
         F.sequence(F.lit(0), F.lit(size // rows - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * rows + 1, F.lit(rows)))
     ))
     keys = classes.select("id", band.alias("band", "key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut_lineage(attach(keys, buckets, ["key"]))
-
-    best = members.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("bands"))
-    best = best.groupBy("id").agg(F.max_by("pivot", F.struct("bands", -F.col("pivot"))).alias("pivot"))
+    central = members.groupBy("id").agg(F.sum("n").alias("met"))
+    met = cut_lineage(members.join(central, "id"))
+    rank = F.struct("met", -F.col("id"))
+    pivots = met.groupBy("key").agg(F.max_by("id", rank).alias("pivot"), F.max("met").alias("pivot_met"))
+    stars = attach(met.select("key", "id"), pivots, ["key"]).filter("id <> pivot")
+    stars = stars.groupBy("id", "pivot").agg(F.count("*").alias("bands"), F.max("pivot_met").alias("met"))
+    best = stars.groupBy("id").agg(
+        F.max_by("pivot", F.struct("bands", "met", -F.col("pivot"))).alias("closest"),
+        F.max_by("pivot", F.struct("met", -F.col("pivot"))).alias("hub"),
+    ).select("id", F.explode(F.array_distinct(F.array("closest", "hub"))).alias("pivot"))
     links = _confirmed(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), plain, percent, width)
     found = components(links)
 
