@@ -25,7 +25,8 @@ from reportloom.llm.shingles import shared, shingle_sets
 from reportloom.llm.sketch import agreement, short_sketch
 from reportloom.session import cut_lineage
 
-_BLOCK = 256
+_BLOCK = 1024
+_LEFT = 64  # rows of a block compared at a time
 _BROADCAST_IDS = 2_000_000
 _MISSED = 1e-6
 _DEVIATIONS = 5
@@ -114,7 +115,7 @@ def _across(members: DataFrame, size: int, rows: int, estimate: float) -> DataFr
     """Pairs of one bucket and different components whose sketches agree enough; each in its first common band only.
 
     ``members`` has ``key``, ``band``, ``id``, ``component``, ``n`` (rows of the bucket) and ``sketch``. A bucket is dealt
-    into blocks of about 256 rows, a task group is two blocks at most.
+    into blocks of about 1024 rows, a task group is two blocks at most.
     """
     kind = members.schema["id"].dataType.simpleString()
     blocks = F.ceil(F.col("n") / F.lit(_BLOCK)).cast("int")
@@ -133,17 +134,20 @@ def _across(members: DataFrame, size: int, rows: int, estimate: float) -> DataFr
             right = left if g["i"][0] == g["j"][0] else np.flatnonzero(g["own"] == g["j"])
             if not left.size or not right.size:
                 continue
-            near = (agreement(sketches[left], sketches[right]) >= estimate) & (g["component"][left][:, None] != g["component"][right][None])
-            x, y = np.nonzero(near)
-            x, y = left[x], right[y]
-            if right is left:
-                x, y = x[x < y], y[x < y]
-            if not x.size:
-                continue
-            same = (sketches[x] == sketches[y])[:, : bands * rows].reshape(-1, bands, rows).all(axis=2)
-            first = same.argmax(axis=1) == g["band"][0]
-            a, b = g["id"][x][first], g["id"][y][first]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            for start in range(0, left.size, _LEFT):
+                some = left[start:start + _LEFT]
+                near = agreement(sketches[some], sketches[right]) >= estimate
+                near &= g["component"][some][:, None] != g["component"][right][None]
+                x, y = np.nonzero(near)
+                x, y = some[x], right[y]
+                if right is left:
+                    x, y = x[x < y], y[x < y]
+                if not x.size:
+                    continue
+                same = (sketches[x] == sketches[y])[:, : bands * rows].reshape(-1, bands, rows).all(axis=2)
+                first = same.argmax(axis=1) == g["band"][0]
+                a, b = g["id"][x][first], g["id"][y][first]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, f"a {kind}, b {kind}")
 
