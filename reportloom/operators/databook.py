@@ -125,14 +125,21 @@ def _clean(header: Column) -> Column:
     return strip(F.lower(F.coalesce(header, F.lit("none"))))
 
 
-def table_dump(tables: DataFrame) -> DataFrame:
-    """Cells of the sheet tables: unit and note columns out, values clipped to the header width.
+def table_dump(tables: DataFrame, known_types_only: bool = False, clip: bool = False) -> DataFrame:
+    """Cells of the sheet tables, unit and note columns out.
 
-    ``tables``: company_id, period, period_no, id, table_type, title, page_number, columns, rows.
+    ``tables``: company_id, period, period_no, id, table_type, title, page_number, columns, rows. A type without a sheet
+    of its own goes to ``other``; ``known_types_only`` leaves such tables out. Values beyond the headers have a null
+    header; ``clip`` leaves them out. A table without rows has its headers as cells with null ``row_no`` and ``value``. A
+    missing title becomes that of the sheet.
     """
     units, skipped = UNIT_COLUMNS, UNIT_COLUMNS + NOTE_COLUMNS
-    typed = tables.withColumn("sheet_type", mapped_table_type(F.col("table_type"), F.col("title"))).filter(
-        F.col("sheet_type").isin([t for t, _ in SHEET_ORDER])
+    kind = mapped_table_type(F.col("table_type"), F.col("title"))
+    known = kind.isin([t for t, _ in SHEET_ORDER])
+    wanted = tables.filter(known) if known_types_only else tables
+    sheet_titles = F.create_map(*[F.lit(x) for pair in SHEET_ORDER for x in pair])
+    typed = wanted.withColumn("sheet_type", F.when(known, kind).otherwise("other")).withColumn(
+        "title", F.coalesce(F.when(F.col("title") != "", F.col("title")), sheet_titles[F.col("sheet_type")])
     )
     label_first = (F.size("columns") > 0) & _clean(F.get("columns", F.lit(0))).isin(["", *units])
     all_columns = F.coalesce(F.col("columns"), F.array().cast("array<string>"))
@@ -154,14 +161,16 @@ def table_dump(tables: DataFrame) -> DataFrame:
     ).otherwise(F.col("title"))
     rows = step2.select(
         "company_id", "period", "period_no", "id", "sheet_type", shown.alias("table_title"), kept.alias("headers"),
-        "_skip", "_drop", F.posexplode("rows").alias("row_no", "row"),
+        "_skip", "_drop", F.posexplode_outer("rows").alias("row_no", "row"),
     )
     tail = F.slice(F.col("row.values"), F.lit(2), F.greatest(F.size("row.values") - 1, F.lit(0)))
     values = F.when(F.col("_drop"), F.filter(tail, lambda v, i: ~F.array_contains(F.col("_skip"), i))).otherwise(tail)
+    shown_values = F.slice(values, F.lit(1), F.size("headers")) if clip else values
+    heads = F.transform("headers", lambda _: F.lit(None).cast("string"))
     cells = rows.select(
         "company_id", "period", "period_no", "id", "sheet_type", "table_title", "row_no",
         F.col("row.label").alias("label"), F.col("row.type").alias("row_type"), "headers",
-        F.posexplode_outer(F.slice(values, F.lit(1), F.size("headers"))).alias("cell_no", "value"),
+        F.posexplode_outer(F.when(F.col("row_no").isNull(), heads).otherwise(shown_values)).alias("cell_no", "value"),
     )
     return cells.withColumn("header", F.get("headers", F.col("cell_no"))).drop("headers")
 

@@ -100,10 +100,11 @@ def parse_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def file_plan(files: DataFrame) -> DataFrame:
+def file_plan(files: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Rename plan for report files (folder, name, text of the first pages).
 
-    Action: keep (already canonical), rename, collision (the new name is taken or wanted twice), or failed.
+    Action: keep (already canonical), rename, collision (the new name is taken or wanted twice), or failed. ``others``
+    (folder, name) are further names that are taken.
     """
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
     facts = F.struct(
@@ -121,7 +122,9 @@ def file_plan(files: DataFrame) -> DataFrame:
     # Counts by aggregation, not by a window: a folder or name with very many files is reduced on the map side.
     moving = named.filter(~F.col("canonical") & F.col("new_name").isNotNull())
     wanted = moving.groupBy("folder", "new_name").agg(F.count("*").alias("_wanted"))
-    taken = files.select("folder", F.col("name").alias("new_name"), F.lit(True).alias("_taken")).distinct()
+    names = files.select("folder", "name")
+    names = names if others is None else names.union(others.select("folder", "name"))
+    taken = names.select("folder", F.col("name").alias("new_name"), F.lit(True).alias("_taken")).distinct()
     action = (
         F.when(F.col("canonical"), "keep").when(F.col("new_name").isNull(), "failed")
         .when(F.col("new_name") == F.col("name"), "keep")

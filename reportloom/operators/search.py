@@ -52,13 +52,13 @@ def _best(df: DataFrame, scored: DataFrame, scores: list[Column], k: int) -> Dat
     """Rows of ``df`` that are among the best ``k`` of a query; a null score is no hit.
 
     Only id, query and score are ranked, never contents or vectors, and every map task applies the rank limit
-    before the shuffle. The winners, at most ``k`` per query of the request, are then broadcast to fetch their rows.
+    before the shuffle. The winners are then joined with their rows; whether they are broadcast is left to their size.
     """
     hits = F.filter(F.array(*scores), lambda s: s["score"].isNotNull())
     narrow = scored.select("id", F.explode(hits).alias("h")).select("id", "h.query_id", "h.score")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     best = narrow.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-    return df.join(F.broadcast(best), "id")
+    return df.join(best, "id")
 
 
 def _scored(query: Query, score: Column) -> Column:
@@ -204,7 +204,10 @@ def fill_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def encode(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], batch: int = 10) -> DataFrame:
-    """Vectors from a caller's encoder, in batches; a batch that fails yields none, so its rows stay due."""
+    """Vectors from a caller's encoder, in batches (id, vector, error).
+
+    The rows of a batch that fails have no vector but the error, so they stay due.
+    """
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,9 +215,11 @@ def encode(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]],
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
                 try:
-                    vectors = encoder(list(part["text"]))
-                except Exception:
-                    continue
-                yield pd.DataFrame({"id": part["id"].values, "vector": vectors})
-
-    return texts.select("id", "text").mapInPandas(run, f"id {id_type}, vector array<float>")
+                    vectors, error = list(encoder(list(part["text"]))), None
+                    if len(vectors) != len(part):
+                        raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                except Exception as failure:  # any fault of the caller's encoder is a result of these rows
+                    vectors, error = [None] * len(part), f"{type(failure).__name__}: {failure}"
+                yield pd.DataFrame({"id": part["id"].values, "vector": vectors, "error": [error] * len(part)})
+
+    return texts.select("id", "text").mapInPandas(run, f"id {id_type}, vector array<float>, error string")

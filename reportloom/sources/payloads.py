@@ -106,10 +106,10 @@ def parse_payloads(raw: DataFrame, schema: str = PAYLOAD) -> DataFrame:
 
 
 def rejected_payloads(parsed: DataFrame) -> DataFrame:
-    """Payloads that hold no readable object, or no period."""
+    """Payloads that hold no readable object, no period, or no company name."""
     reason = F.when(F.col("repair").isNull(), "no readable JSON object").when(
         label_quarter(F.col("payload.metadata.period")).isNull(), "no period"
-    )
+    ).when(F.coalesce(slug(F.col("payload.metadata.bolag")), F.lit("")) == "", "no company")
     return parsed.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("payload")
 
 
@@ -125,18 +125,19 @@ def new_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
 def period_rows(parsed: DataFrame, companies: DataFrame) -> DataFrame:
     """Readable payloads as period rows with their counts; of two for one period the later (seq) wins.
 
-    ``parsed`` has seq and pdf_hash besides the parsed columns. The payload stays on the row for the child
-    tables.
+    ``parsed`` has seq and pdf_hash besides the parsed columns. Of equal seq, the smaller pdf_hash wins, then the
+    smaller digest of the text. The payload stays on the row for the child tables. A company that is not in ``companies``
+    gives no row: add ``new_companies`` first, as ``store.ingest`` does.
     """
     head = parsed.filter(F.col("repair").isNotNull()).select(
-        "seq", "pdf_hash", "payload",
+        "seq", "pdf_hash", "payload", F.sha2("raw", 256).alias("raw_hash"),
         slug(F.col("payload.metadata.bolag")).alias("slug"),
         label_quarter(F.col("payload.metadata.period")).alias("quarter"),
         label_year(F.col("payload.metadata.period")).alias("year"),
     ).filter(F.col("quarter").isNotNull())
     owned = head.join(companies.select(F.col("id").alias("company_id"), "slug"), "slug")
     keyed = owned.withColumn("id", F.sha2(F.concat_ws("|", "company_id", "year", "quarter"), 256))
-    newest = first_per_key(keyed, ["id"], [-F.col("seq")])
+    newest = first_per_key(keyed, ["id"], [-F.col("seq"), "pdf_hash", "raw_hash"])
     meta = F.col("payload._pipeline_info")
 
     def size(kind: str) -> Column:

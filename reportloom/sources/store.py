@@ -2,7 +2,8 @@
 
 Periods and children lie under ``root/<table>`` partitioned by year and quarter. A replacement touches only the
 partitions of its periods: their surviving rows and the new rows are staged first, then published by dynamic
-partition overwrite.
+partition overwrite; a partition that has no row left is overwritten with an empty file. The staged rows go once all
+tables are published.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ import warnings
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from reportloom.functions.periods import label_quarter
+from reportloom.schemas import MODEL_TABLES
 from reportloom.session import cut_lineage
 from reportloom.sources.payloads import (
     chart_table_rows,
     financial_rows,
+    new_companies,
     parse_payloads,
     period_rows,
     report_table_rows,
@@ -28,34 +33,47 @@ MANDATORY = ["financial_data", "sections", "report_tables"]
 OPTIONAL = ["charts"]
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Stored rows; none where nothing is stored yet."""
     try:
-        return spark.read.schema(like.schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], like.schema)
+        return spark.createDataFrame([], schema)
 
 
-def _publish(spark: SparkSession, staged: str, target: str, like: DataFrame) -> None:
-    (
-        spark.read.schema(like.schema).parquet(staged)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTITION).parquet(target)
-    )
+def _partitions(rows: DataFrame) -> set[tuple[int, int]]:
+    """The (year, quarter) pairs of the rows: four digits and one, so the set is short by its nature."""
+    return {(r["year"], r["quarter"]) for r in rows.select(*_PARTITION).distinct().collect()}
+
+
+def _publish(spark: SparkSession, staged: str, target: str, like: DataFrame, touched: Column) -> None:
+    rows = read_or_empty(spark, staged, like.schema)
+    emptied = _partitions(read_or_empty(spark, target, like.schema).filter(touched)) - _partitions(rows)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTITION).parquet(target)
+    for year, quarter in emptied:
+        none = spark.createDataFrame([], like.drop(*_PARTITION).schema)
+        none.write.mode("overwrite").parquet(f"{target}/year={year}/quarter={quarter}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children: dict[str, DataFrame]) -> None:
     """Replace periods by (company, quarter, year) together with all their children.
 
-    A failing mandatory child leaves the stored tables as they were; failing charts only warn. Running it again
-    with the same input changes nothing. Runs jobs.
+    A failing mandatory child leaves the stored tables as they were; failing charts only warn, and the charts of the
+    replaced periods are gone. Running it again with the same input changes nothing. Runs jobs.
     """
     stage = f"{root}/_staging/{uuid.uuid4().hex}"
     same = ["company_id", *_PARTITION]
     keys = cut_lineage(periods.select(F.col("id").alias("period_id"), *same))
     touched = _touched(keys)
 
-    old = _read(spark, f"{root}/periods", periods).filter(touched)
+    old = read_or_empty(spark, f"{root}/periods", periods.schema).filter(touched)
     replaced = old.join(keys.select(*same), same, "left_semi").select(F.col("id").alias("period_id"))
     gone = cut_lineage(replaced.unionByName(keys.select("period_id")).distinct())
     merged = old.join(keys.select(*same), same, "left_anti").unionByName(periods)
@@ -66,33 +84,46 @@ def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children
         if name not in children:
             continue
         placed = children[name].join(keys.select("period_id", *_PARTITION), "period_id")
-        kept = _read(spark, f"{root}/{name}", placed).filter(touched).join(gone, "period_id", "left_anti")
+        old = read_or_empty(spark, f"{root}/{name}", placed.schema).filter(touched)
+        kept = old.join(gone, "period_id", "left_anti")
+
+        def put(rows: DataFrame, path: str = f"{stage}/{name}") -> None:
+            rows.write.mode("overwrite").partitionBy(*_PARTITION).parquet(path)
+
         try:
-            kept.unionByName(placed).write.mode("overwrite").partitionBy(*_PARTITION).parquet(f"{stage}/{name}")
+            put(kept.unionByName(placed))
         except PySparkException as error:
             if name in MANDATORY:
                 raise
             warnings.warn(f"{name} were not stored: {error.getCondition()}", stacklevel=2)
-            continue
+            put(kept)
         staged[name] = placed
 
     for name, like in staged.items():
-        _publish(spark, f"{stage}/{name}", f"{root}/{name}", like)
-    _publish(spark, f"{stage}/periods", f"{root}/periods", periods)
+        _publish(spark, f"{stage}/{name}", f"{root}/{name}", like, touched)
+    _publish(spark, f"{stage}/periods", f"{root}/periods", periods, touched)
+    _remove(spark, stage)
 
 
 def _touched(keys: DataFrame) -> Column:
-    """Filter on the partitions of the keys, known before the scan, so that no other partition is read.
-
-    The list goes through the driver: a year has four digits and a quarter one, so it is short by its nature.
-    """
-    rows = keys.select(*_PARTITION).distinct().collect()
-    return (F.col("year") * 10 + F.col("quarter")).isin([r["year"] * 10 + r["quarter"] for r in rows])
+    """Filter on the partitions of the keys, known before the scan, so that no other partition is read."""
+    return (F.col("year") * 10 + F.col("quarter")).isin([year * 10 + quarter for year, quarter in _partitions(keys)])
 
 
 def ingest(spark: SparkSession, root: str, raw: DataFrame, companies: DataFrame) -> None:
-    """Store the readable payload texts (seq, pdf_hash, raw) of known companies. Parses each text once. Runs jobs."""
-    periods = cut_lineage(period_rows(parse_payloads(raw), companies))
+    """Store the readable payload texts (seq, pdf_hash, raw). Parses each text once. Runs jobs.
+
+    A report of a company that is neither in ``companies`` nor in ``root/companies`` adds the company there first.
+    """
+    parsed = cut_lineage(parse_payloads(raw))
+    given = companies.select(F.col("id").cast("string").alias("id"), "slug")
+    stored = read_or_empty(spark, f"{root}/companies", MODEL_TABLES["companies"]).select("id", "slug")
+    known = given.unionByName(stored.join(given.select("slug"), "slug", "left_anti"))
+    dated = parsed.filter(F.col("repair").isNotNull() & label_quarter(F.col("payload.metadata.period")).isNotNull())
+    added = cut_lineage(new_companies(dated.select(F.col("payload.metadata.bolag").alias("name")), known))
+    if not added.isEmpty():
+        append(added, f"{root}/companies")
+    periods = cut_lineage(period_rows(parsed, known.unionByName(added.select("id", "slug"))))
     children = {
         "financial_data": financial_rows(periods),
         "sections": section_rows(periods),

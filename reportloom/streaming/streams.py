@@ -5,17 +5,14 @@ Each has the same meaning as its batch twin in ``operators``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reportloom.operators.normalise import file_plan
-from reportloom.sources.store import append
-from reportloom.vocabulary import JOB_PROGRESS, REQUEST_LIMIT, REQUEST_WINDOW_SECONDS
+from reportloom.operators.status import latest_job_state
+from reportloom.sources.store import read_or_empty
+from reportloom.vocabulary import REQUEST_LIMIT, REQUEST_WINDOW_SECONDS
 
 
 def new_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
@@ -32,10 +29,20 @@ def new_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
 
 
 def plan_new_files(files: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Rename plan of every micro-batch of new files, appended to ``target``."""
+    """Rename plan of every micro-batch of new files, each in its own partition ``batch`` of ``target``.
+
+    Names of files of earlier batches, and new names planned for them, are taken. A batch that runs again overwrites its
+    own partition, so the plan holds every file once.
+    """
 
-    def plan(batch: DataFrame, _: int) -> None:
-        append(file_plan(batch.select("folder", "name", "text")), target)
+    def plan(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("folder", "name", "text")
+        stored = StructType([*file_plan(new).schema.fields, StructField("batch", LongType())])
+        earlier = read_or_empty(spark, target, stored).filter(F.col("batch") < number)
+        planned = earlier.filter("action = 'rename'").select("folder", F.col("new_name").alias("name"))
+        taken = earlier.select("folder", "name").union(planned)
+        file_plan(new, taken).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(plan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -45,42 +52,12 @@ def first_file_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path"])
 
 
-_JOB_STATE = "last_ts timestamp, last_id long, status string, progress int, progress_ts timestamp, progress_id long, " \
-    "cost_sek double, cost_ts timestamp, cost_id long"
-_JOB_OUTPUT = "job_id string, status string, progress int, cost_sek double, updated_at timestamp"
-
-
-def _newest(frame: pd.DataFrame, ts: Any, event_id: int) -> pd.Series | None:
-    """Last row of the frame in time order if it is later than (ts, event_id)."""
-    if frame.empty:
-        return None
-    row = frame.sort_values(["ts", "event_id"]).iloc[-1]
-    return row if ts is None or (row.ts, row.event_id) > (ts, event_id) else None
-
-
-def _fold_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of one job: latest status, last known progress, last cost; order within a batch does not matter."""
-    last_ts, last_id, status, progress, p_ts, p_id, cost, c_ts, c_id = state.getOption or (
-        None, 0, None, 0, None, 0, None, None, 0
-    )
-    for frame in frames:
-        if (row := _newest(frame, last_ts, last_id)) is not None:
-            last_ts, last_id, status = row.ts, int(row.event_id), row.status
-        if (row := _newest(frame[frame.status.isin(JOB_PROGRESS)], p_ts, p_id)) is not None:
-            progress, p_ts, p_id = JOB_PROGRESS[row.status], row.ts, int(row.event_id)
-        if (row := _newest(frame[frame.cost_sek.notna()], c_ts, c_id)) is not None:
-            cost, c_ts, c_id = float(row.cost_sek), row.ts, int(row.event_id)
-    state.update((last_ts, last_id, status, progress, p_ts, p_id, cost, c_ts, c_id))
-    yield pd.DataFrame(
-        {"job_id": [key[0]], "status": [status], "progress": [progress], "cost_sek": [cost], "updated_at": [last_ts]}
-    )
-
-
 def job_states(events: DataFrame) -> DataFrame:
-    """Current state of each job whenever it changes (events: job_id, event_id, status, cost_sek, ts)."""
-    return events.groupBy("job_id").applyInPandasWithState(
-        _fold_job, _JOB_OUTPUT, _JOB_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    """Current state of each job whenever it changes, in update mode (events: job_id, event_id, status, cost_sek, ts).
+
+    The fold of the batch twin as a streaming aggregate, so the order of events does not matter.
+    """
+    return latest_job_state(events)
 
 
 def log_rows(logs: DataFrame, limit: int = 2000) -> DataFrame:

@@ -140,9 +140,16 @@ def test_table_dump(spark):
         (1, "Q1 2024", 0, 4, "other", "D", 0, ["2024"], [("v", [], "data")]),
         (1, "Q1 2024", 0, 5, "other", "E", 2, ["MSEK", "TSEK", "2024"], [("u", [None, "5"], "data")]),
     ]
-    out = databook.table_dump(spark.createDataFrame(rows, schema)).orderBy("id", "row_no", "cell_no").collect()
-    got = [(r["id"], r["table_title"], r["label"], r["header"], r["value"]) for r in out]
-    assert got == [
+    def dump(rows, **options):
+        out = databook.table_dump(spark.createDataFrame(rows, schema), **options).orderBy("id", "row_no", "cell_no").collect()
+        return [(r["id"], r["table_title"], r["label"], r["header"], r["value"]) for r in out]
+
+    whole = dump(rows)
+    assert (2, "B", "y", None, "9") in whole and (3, "C (s. 1)", "w", "2024", "1") in whole
+    bare = [(1, "Q1 2024", 0, 6, "kpi", None, 4, ["", "2024", "2023"], []), (1, "Q1 2024", 0, 7, "annat", "", None, None, None)]
+    assert dump(bare) == [
+        (6, "Nyckeltal (s. 4)", None, "2024", None), (6, "Nyckeltal (s. 4)", None, "2023", None), (7, "Övrigt", None, None, None)]
+    assert dump(rows, known_types_only=True, clip=True) == [
         (1, "A (s. 3)", "x", "2024", "5"), (1, "A (s. 3)", "x", "2023", "6"),
         (2, "B", "y", "2024", "8"), (2, "B", "z", None, None),
         (4, "D", "v", None, None),

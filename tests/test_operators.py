@@ -226,6 +226,8 @@ def test_search_chain(spark):
     def failing(texts):
         raise RuntimeError("nere")
 
-    assert search.encode(due, failing).count() == 0
+    assert [(r["id"], r["vector"], r["error"]) for r in search.encode(due, failing).collect()] == [(2, None, "RuntimeError: nere")]
+    short = search.encode(due, lambda texts: []).first()
+    assert short["vector"] is None and short["error"].startswith("ValueError")
     filled = search.fill_vectors(sections, search.encode(due, encoder)).orderBy("id").collect()
     assert filled[1]["embedding"] == [28.0, 1.0] and filled[0]["embedding"] == [1.0, 0.0]

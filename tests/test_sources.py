@@ -27,6 +27,10 @@ def parse(spark, texts):
     return payloads.parse_payloads(spark.createDataFrame(rows, "id int, seq int, pdf_hash string, raw string"), PAYLOAD)
 
 
+def raw_texts(spark, texts):
+    return parse(spark, texts).select("seq", "pdf_hash", "raw")
+
+
 def test_repairs(spark):
     texts = [
         GOOD,
@@ -43,7 +47,9 @@ def test_repairs(spark):
     out = parse(spark, texts).orderBy("id").collect()
     assert [r["repair"] for r in out] == ["none", "none", "commas", "closed", "balanced", None, None, "none", None, None]
     assert out[3]["payload"]["tables"][0]["id"] == "a"
-    assert payloads.rejected_payloads(parse(spark, texts)).count() == 4
+    rejected = {r["id"]: r["reason"] for r in payloads.rejected_payloads(parse(spark, texts)).collect()}
+    unreadable = dict.fromkeys([5, 6, 8, 9], "no readable JSON object")
+    assert rejected == unreadable | dict.fromkeys([2, 3, 4], "no company")
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +115,40 @@ def test_ingest(spark, companies, tmp_path):
         store.ingest(spark, str(tmp_path / "s"), raw, companies)
     counts = {n: stored(spark, str(tmp_path / "s"), n).count() for n in ("periods", "sections", "report_tables", "charts", "financial_data")}
     assert counts == {"periods": 1, "sections": 2, "report_tables": 1, "charts": 1, "financial_data": 2}
+    assert list((tmp_path / "s" / "_staging").iterdir()) == []
+
+
+def test_last_row_of_a_partition_goes(spark, companies, tmp_path):
+    root = str(tmp_path / "store")
+    store.ingest(spark, root, raw_texts(spark, [GOOD]), companies)
+    other = json.dumps(dict(REPORT, metadata=dict(REPORT["metadata"], period="Q4 2024")))
+    store.ingest(spark, root, raw_texts(spark, [other]), companies)
+    bare = json.dumps({"metadata": REPORT["metadata"]})
+    for _ in range(2):
+        store.ingest(spark, root, raw_texts(spark, [bare]), companies)
+        for name in ("sections", "report_tables", "charts", "financial_data"):
+            assert {(r["year"], r["quarter"]) for r in stored(spark, root, name).collect()} == {(2024, 4)}, name
+    assert stored(spark, root, "periods").count() == 2
+
+
+def test_unknown_company_is_added(spark, tmp_path):
+    root = str(tmp_path / "store")
+    none = spark.createDataFrame([], MODEL_TABLES["companies"])
+    for _ in range(2):
+        store.ingest(spark, root, raw_texts(spark, [GOOD, "trasig"]), none)
+        (company,) = stored(spark, root, "companies").collect()
+        (period,) = stored(spark, root, "periods").collect()
+        assert company["slug"] == "åhléns-co-ab" and period["company_id"] == company["id"]
+
+
+def test_equal_seq_has_one_winner(spark, companies):
+    low, high = (json.dumps(dict(REPORT, metadata=dict(REPORT["metadata"], valuta=v))) for v in ("SEK", "EUR"))
+    rows = [(1, "h", low), (1, "h", high)]
+    winners = set()
+    for order in (rows, rows[::-1]):
+        raw = spark.createDataFrame(order, "seq int, pdf_hash string, raw string")
+        winners.add(payloads.period_rows(payloads.parse_payloads(raw), companies).first()["valuta"])
+    assert len(winners) == 1
 
 
 def test_failed_child_leaves_store(spark, companies, tmp_path):
@@ -125,6 +165,7 @@ def test_failed_child_leaves_store(spark, companies, tmp_path):
     with pytest.warns(UserWarning, match="charts"):
         store.replace_periods(spark, root, one.drop("payload").withColumn("valuta", F.lit("Y")), only_charts)
     assert stored(spark, root, "periods").first()["valuta"] == "Y"
+    assert stored(spark, root, "charts").count() == 0 and stored(spark, root, "sections").count() == 2
 
 
 def test_markdown_table(spark):

@@ -63,19 +63,26 @@ def test_vector_counts_and_logs(spark, tmp_path):
 def test_new_files_once(spark, tmp_path):
     source = tmp_path / "in" / "acme"
     source.mkdir(parents=True)
-    (source / "Acme 2024 Q3.txt").write_text("Delårsrapport, nettoomsättning och styrelsen")
-    target, checkpoint = str(tmp_path / "plan"), str(tmp_path / "cp")
+    text = "Delårsrapport, nettoomsättning och styrelsen"
+    (source / "Acme 2024 Q3.txt").write_text(text)
+    target = str(tmp_path / "plan")
 
-    def run():
-        finish(streams.plan_new_files(streams.new_files(spark, str(tmp_path / "in")), target, checkpoint))
+    def run(checkpoint="cp"):
+        finish(streams.plan_new_files(streams.new_files(spark, str(tmp_path / "in")), target, str(tmp_path / checkpoint)))
 
-    run()
+    run("lost")
+    run()  # the first batch again
+    assert spark.read.parquet(target).count() == 1
     (source / "okänd.txt").write_text("1: 2")
     run()
     run()
     rows = {r["name"]: (r["action"], r["new_name"]) for r in spark.read.parquet(target).collect()}
     assert spark.read.parquet(target).count() == 2
     assert rows["Acme 2024 Q3.txt"] == ("rename", "acme-2024-q3-sv.pdf")
+    (source / "Acme Q3 2024.txt").write_text(text)
+    run()
+    rows = {r["name"]: (r["action"], r["new_name"]) for r in spark.read.parquet(target).collect()}
+    assert len(rows) == 3 and rows["Acme Q3 2024.txt"] == ("collision", "acme-2024-q3-sv.pdf")
 
 
 def test_duplicates_and_windows(spark, tmp_path):
