@@ -68,18 +68,33 @@ def wide_matrix(v: Views) -> DataFrame:
     return wide.select("company_id", "statement", "row_key", double("`Q1 1996`").alias("Q1 1996"), double("`Q2 1996`").alias("Q2 1996"))
 
 
-@query("""
+_DUMPED = """
 SELECT table_id AS id, CASE WHEN table_type = 'quarterly' THEN 'cash_flow' ELSE coalesce(table_type, 'other') END AS sheet_type,
        title || CASE WHEN page_number IS NULL THEN '' ELSE ' (s. ' || page_number || ')' END AS table_title,
        CAST(row_number() OVER (PARTITION BY table_id ORDER BY row_order) - 1 AS INT) AS row_no, label, row_type,
-       'Q' || quarter || ' ' || year AS header, v1 AS value
-FROM {table_cells}""")
-def table_dump(v: Views) -> DataFrame:
+       'Q' || quarter || ' ' || year AS header, v1 AS value, n_values
+FROM {table_cells}"""
+_DUMP_COLUMNS = ["id", "sheet_type", "table_title", "row_no", "label", "row_type", "header", "value"]
+
+
+def _dumped(v: Views) -> DataFrame:
     number = (F.col("year") - 1995) * 4 + F.col("quarter") - 1
-    tables = v["report_tables"].withColumn("period_no", number).withColumn("period", F.get("columns", F.lit(1)))
-    return databook.table_dump(tables).select(
-        "id", "sheet_type", "table_title", "row_no", "label", "row_type", "header", "value"
-    )
+    return v["report_tables"].withColumn("period_no", number).withColumn("period", F.get("columns", F.lit(1)))
+
+
+# A row of three values has one beyond the headers.
+@query(f"""
+SELECT * EXCLUDE (n_values) FROM ({_DUMPED})
+UNION ALL
+SELECT * EXCLUDE (n_values) REPLACE (NULL AS header, 'n' AS value) FROM ({_DUMPED}) WHERE n_values = 3""")
+def table_dump(v: Views) -> DataFrame:
+    return databook.table_dump(_dumped(v)).select(*_DUMP_COLUMNS)
+
+
+@query(f"SELECT * EXCLUDE (n_values) FROM ({_DUMPED})")
+def clipped_table_dump(v: Views) -> DataFrame:
+    """The six sheet types, values up to the width of the headers."""
+    return databook.table_dump(_dumped(v), known_types_only=True, clip=True).select(*_DUMP_COLUMNS)
 
 
 def _company_sections(v: Views) -> DataFrame:
