@@ -84,8 +84,8 @@ def compare_companies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_rows(rows: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFrame:
-    """First ``limit`` rows of side 1 of each pair that found no partner, repeats of a label included."""
+def unmatched_rows(rows: DataFrame, pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows of side 1 of each pair that found no partner, repeats of a label included; with ``limit`` the first of them."""
     firsts = _first_rows(rows).select("period_id", "canonical", *[F.col(c).alias(f"f_{c}") for c in _ROW_ORDER])
     side1 = (
         rows.filter((F.col("canonical") != "") & (F.coalesce("label_en", F.lit("")) != ""))
@@ -104,11 +104,8 @@ def unmatched_rows(rows: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFr
         .filter(repeat | F.col("found").isNull())
     )
     order = Window.partitionBy("pair_id").orderBy(F.col("page_number").asc_nulls_last(), "table_id", "row_no")
-    return (
-        candidates.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= limit)
-        .select("pair_id", "place", "label_en")
-    )
+    placed = candidates.withColumn("place", F.row_number().over(order)).select("pair_id", "place", "label_en")
+    return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 
 def compare_periods(rows: DataFrame, pairs: DataFrame) -> DataFrame:

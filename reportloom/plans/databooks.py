@@ -56,16 +56,18 @@ def period_matrix(v: Views) -> DataFrame:
     )
 
 
-@query("""
-SELECT company_id, statement, row_key, max(value) FILTER (WHERE period = 'Q1 1996') AS "Q1 1996",
-       max(value) FILTER (WHERE period = 'Q2 1996') AS "Q2 1996" FROM (%s) GROUP BY company_id, statement, row_key""" % _STATEMENT_ROWS)
+_PERIODS = [f"Q{quarter} {year}" for year in range(1995, 2002) for quarter in range(1, 5)]
+_PERIOD_COLUMNS = ", ".join(f"max(value) FILTER (WHERE period = '{p}') AS \"{p}\"" for p in _PERIODS)
+
+
+@query(f"SELECT company_id, statement, row_key, {_PERIOD_COLUMNS} FROM ({_STATEMENT_ROWS}) GROUP BY company_id, statement, row_key")
 def wide_matrix(v: Views) -> DataFrame:
     rows = _statement_rows(v)
     order = rows.groupBy("company_id", "statement", F.lower("name").alias("row_key")).agg(
         F.min("name").alias("label"), F.min("row_no").alias("position")
     )
-    wide = databook.wide_matrix(databook.period_matrix(rows, order), ["Q1 1996", "Q2 1996"])
-    return wide.select("company_id", "statement", "row_key", double("`Q1 1996`").alias("Q1 1996"), double("`Q2 1996`").alias("Q2 1996"))
+    wide = databook.wide_matrix(databook.period_matrix(rows, order), _PERIODS)
+    return wide.select("company_id", "statement", "row_key", *[double(f"`{p}`").alias(p) for p in _PERIODS])
 
 
 _DUMPED = """
@@ -177,13 +179,13 @@ def chart_rows(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT company_id, brand_no AS number, arg_min(p_brand || ' ' || (year * 10 + quarter), year * 10 + quarter) AS title,
+SELECT company_id, flag_no * 1000 + brand_no AS number, arg_min(p_brand || ' ' || (year * 10 + quarter), year * 10 + quarter) AS title,
        CAST(arg_max(value, year * 10 + quarter) AS DOUBLE) AS body, max(year * 10 + quarter) AS period_no
-FROM {brand_values} WHERE flag_no = 1 GROUP BY company_id, brand_no""")
+FROM {brand_values} GROUP BY company_id, flag_no * 1000 + brand_no""")
 def latest_notes(v: Views) -> DataFrame:
     number = F.col("year") * 10 + F.col("quarter")
-    notes = v["brand_values"].filter("flag_no = 1").select(
-        "company_id", F.col("brand_no").alias("number"), number.alias("period_no"), F.col("value").alias("body"),
+    notes = v["brand_values"].select(
+        "company_id", (F.col("flag_no") * 1000 + F.col("brand_no")).alias("number"), number.alias("period_no"), F.col("value").alias("body"),
         F.concat("p_brand", F.lit(" "), number.cast("string")).alias("title"),
     )
     return databook.latest_notes(notes).withColumn("body", double("body"))

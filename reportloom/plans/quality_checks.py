@@ -126,9 +126,10 @@ def verdict(v: Views) -> DataFrame:
 @query("""
 SELECT report, item_id, title, error_type, message, severity FROM (
   WITH r AS (SELECT p.id AS report, p.id % 14 AS pages, greatest(1, (p.id % 14) // 4) AS want,
-                    (SELECT count(*) FROM {tables} t WHERE t.period_id = p.id AND t.table_type = 'kpi') AS n,
+                    (SELECT count(*) FROM {tables} t WHERE t.period_id = p.id) AS n,
                     (SELECT count(*) FROM {sections} s WHERE s.period_id = p.id AND length(s.content) < 50) AS short,
-                    p.quarter FROM {periods} p)
+                    p.quarter
+             FROM (SELECT id, quarter FROM {periods} UNION ALL SELECT id + 5, NULL FROM {periods}) p)
   SELECT report, NULL AS item_id, NULL AS title, 'few_tables' AS error_type, 'warning' AS severity,
          'Få tabeller extraherade: ' || n || ' (förväntade minst ' || want || ' för ' || pages || ' sidor)' AS message
   FROM r WHERE n < want
@@ -138,10 +139,12 @@ SELECT report, item_id, title, error_type, message, severity FROM (
   UNION ALL SELECT report, NULL, NULL, 'no_tables', 'error', 'Inga tabeller extraherade från ett flersidigt dokument'
   FROM r WHERE n = 0 AND pages > 2
   UNION ALL SELECT period_id, CAST(id AS VARCHAR), title, 'thin_table', 'warning',
-         'Tabell ''' || title || ''' har bara ' || n_rows || ' rad(er)' FROM {tables} WHERE table_type = 'kpi' AND n_rows < 2)""")
+         'Tabell ''' || title || ''' har bara ' || n_rows || ' rad(er)' FROM {tables} WHERE n_rows < 2)""")
 def report_heuristics(v: Views) -> DataFrame:
-    reports = v["periods"].select(F.col("id").alias("report"), (F.col("id") % 14).alias("pages"))
-    tables = v["report_tables"].filter("table_type = 'kpi'").withColumnRenamed("period_id", "report")
+    """Every period twice: as it is, and as a report of which nothing was extracted."""
+    ids = v["periods"].select("id").union(v["periods"].select(F.col("id") + 5))
+    reports = ids.select(F.col("id").alias("report"), (F.col("id") % 14).alias("pages"))
+    tables = v["report_tables"].withColumnRenamed("period_id", "report")
     charts = v["charts"].select(F.col("period_id").alias("report"), F.when(F.col("quarter") != 3, F.col("title")).alias("title"))
     sections = v["sections"].withColumnRenamed("period_id", "report")
     return quality.report_heuristics(reports, tables, sections, charts).drop("row_index")

@@ -107,6 +107,23 @@ def search_sections(v: Views) -> DataFrame:
     return hits.select("query_id", "search_type", "id", "place", "score")
 
 
+@query(f"""
+SELECT query_id, search_type, id, place, round(score, 3) AS score FROM (
+  SELECT query_id, 'hybrid' AS search_type, id, score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place FROM (
+    SELECT q.vec_id AS query_id, e.id, 0.3 * ({_TEXT_SCORE}) + 0.7 * {_SIM} AS score
+    FROM (SELECT id, embedding, string_split_regex(lower(content), '[^\\pL\\pN\\pM_]+') AS words
+          FROM {{section_vectors}} WHERE embedding IS NOT NULL) e JOIN {{embeddings}} q ON q.vec_id < 5 AND q.vec_id <> 2)
+  UNION ALL
+  SELECT q.vec_id, 'text', e.id, NULL, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY e.id) AS INT)
+  FROM {{section_vectors}} e JOIN {{embeddings}} q ON q.vec_id = 2 AND e.content ILIKE '%' || {_QUERY_WORDS} || '%')
+WHERE place <= 10""")
+def search_sections_hybrid(v: Views) -> DataFrame:
+    """All stages: queries with a vector stay with the hybrid stage, the one without falls through to text."""
+    queries = [Query(q.query_id, q.text, q.vector if q.query_id != 2 else None) for q in _queries(v)]
+    return search.search_sections(v["section_vectors"], queries, 10).select("query_id", "search_type", "id", "place", "score")
+
+
 @query("""
 SELECT id, length(title) + 2 + length(content) AS chars, (length(title) + 2 + length(content)) // 4 AS token_estimate
 FROM {section_vectors} WHERE embedding IS NULL""")

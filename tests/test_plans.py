@@ -39,7 +39,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint,company_id:bigint,quarter:int,year:int>" in text
 
 
-@pytest.mark.parametrize("name", ["search_knowledge", "hybrid_sections", "text_hits", "unmatched_rows"])
+@pytest.mark.parametrize("name", ["search_knowledge", "hybrid_sections", "text_hits", "first_unmatched_rows"])
 def test_rank_limit_before_shuffle(spark, name):
     text = plan(contract.queries()[name](spark, str(DATA)))
     assert text.count("WindowGroupLimit") >= 2
