@@ -104,7 +104,10 @@ def is_canonical_file(name: Column) -> Column:
     return name.rlike("(?U)" + CANONICAL_FILE_PATTERN)
 
 
-def sheet_name(title: Column) -> Column:
-    """Title as a sheet name: forbidden characters out, single blanks, 31 characters."""
+SPREADSHEET_LIMIT = 31
+
+
+def sheet_name(title: Column, limit: int | None = None) -> Column:
+    """Title as a sheet name: forbidden characters out, single blanks; ``limit`` cuts it as spreadsheets do."""
     clean = strip(F.regexp_replace(F.regexp_replace(title, r"[/\\*?:\[\]]", " "), r"(?U)\s+", " "))
-    return F.when(F.coalesce(title, F.lit("")) == "", "Sheet").otherwise(F.substring(clean, 1, 31))
+    return F.when(F.coalesce(title, F.lit("")) == "", "Sheet").otherwise(clean if limit is None else F.substring(clean, 1, limit))

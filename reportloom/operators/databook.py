@@ -332,12 +332,14 @@ def latest_notes(notes: DataFrame) -> DataFrame:
 
 
 def sheet_plan(
-    periods: DataFrame, tables: DataFrame, financial: DataFrame, charts: DataFrame, texts: DataFrame
+    periods: DataFrame, tables: DataFrame, financial: DataFrame, charts: DataFrame, texts: DataFrame,
+    name_limit: int | None = None,
 ) -> DataFrame:
     """Sheets of every company's databook (company_id, block, spot, tie, sheet), in order of block, spot and tie.
 
     Number sheets by table type where the company has tables, else legacy statement sheets; then charts; then
-    one text sheet per kept section (texts: company_id, section_no, title, page), first title wins a name clash.
+    one text sheet per kept section (texts: company_id, section_no, title, page), first title wins a name clash. Names
+    are whole unless ``name_limit`` cuts them, as a spreadsheet does at 31 characters; a cut makes more names clash.
     Every source is reduced to flags per period in one pass; the flags of all sources meet in one aggregate.
     """
     kind = mapped_table_type(F.col("table_type"), F.col("title"))
@@ -381,7 +383,7 @@ def sheet_plan(
     known = company.select("company_id", "has_tables", planned.alias("planned"))
     numbers = known.select("company_id", F.explode("planned").alias("s")).select("company_id", "s.*")
 
-    cleaned = texts.withColumn("sheet", sheet_name(F.col("title")))
+    cleaned = texts.withColumn("sheet", sheet_name(F.col("title"), name_limit))
     named = first_per_key(
         cleaned.select("company_id", "sheet", "page", "section_no"), ["company_id", "sheet"], ["page", "section_no"]
     ).join(known.filter("has_tables"), "company_id")

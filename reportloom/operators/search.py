@@ -90,11 +90,12 @@ def search_knowledge(
 
 
 def search_knowledge_text(
-    knowledge: DataFrame, query: str, k: int = 5, domain: str | None = None, category: str | None = None
+    knowledge: DataFrame, query: str, k: int = 5, domain: str | None = None, category: str | None = None,
+    max_terms: int | None = None,
 ) -> DataFrame:
-    """Entries with one of the first three terms in title or content; a single term is used as it is.
+    """Entries with one of the terms in title or content; a single term is used as it is.
 
-    An empty query matches every entry.
+    An empty query matches every entry. ``max_terms`` takes the first terms only.
     """
     wanted = knowledge
     if domain is not None:
@@ -102,7 +103,7 @@ def search_knowledge_text(
     if category is not None:
         wanted = wanted.filter(F.col("category") == category)
     terms = query.replace("/", " ").split()
-    used = terms[:3] if len(terms) > 1 else [query]
+    used = terms[:max_terms] if len(terms) > 1 else [query]
     hit = F.lit(False)
     for term in used:
         pattern = F.lit(f"%{term}%")

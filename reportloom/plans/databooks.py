@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from reportloom.functions.naming import SPREADSHEET_LIMIT
 from reportloom.operators import databook
 from reportloom.plans.catalog import double, query
 from reportloom.plans.views import Views
@@ -191,7 +192,7 @@ def latest_notes(v: Views) -> DataFrame:
     return databook.latest_notes(notes).withColumn("body", double("body"))
 
 
-@query("""
+_SHEETS = """
 SELECT company_id, block, CAST(spot AS BIGINT) AS spot, sheet FROM (
   SELECT DISTINCT company_id, 0 AS block, CASE k WHEN 'income_statement' THEN 1 WHEN 'balance_sheet' THEN 2 WHEN 'cash_flow' THEN 3
            WHEN 'kpi' THEN 4 ELSE 6 END AS spot,
@@ -208,13 +209,28 @@ SELECT company_id, block, CAST(spot AS BIGINT) AS spot, sheet FROM (
               ELSE 'Kassaflöde' END FROM {financial_data} WHERE company_id = 11
   UNION ALL SELECT company_id, 1, page, sheet FROM (
     SELECT company_id, page, sheet, row_number() OVER (PARTITION BY company_id, sheet ORDER BY page, id) AS rn FROM (
-      SELECT company_id, page_number AS page, id, 'Del ' || id % 7 || ' av' AS sheet FROM {sections} WHERE company_id <> 11)) WHERE rn = 1)""")
-def sheet_plan(v: Views) -> DataFrame:
+      SELECT company_id, page_number AS page, id, %s AS sheet FROM {sections} WHERE company_id <> 11)) WHERE rn = 1)"""
+_LONG_NAME = "'Del ' || id % 7 || ' av rapporten, avsnitt nummer ' || id % 11"
+
+
+def _sheets(v: Views, name_limit: int | None = None) -> DataFrame:
     """Sheets of all databooks; company 11 has only legacy statements."""
     tables = v["report_tables"].filter("company_id <> 11")
     texts = v["sections"].select(
         "company_id", F.col("id").alias("section_no"), F.col("page_number").alias("page"),
-        F.concat(F.lit("Del: "), (F.col("id") % 7).cast("string"), F.lit("/av ")).alias("title"),
+        F.concat(F.lit("Del: "), (F.col("id") % 7).cast("string"), F.lit("/av rapporten,  avsnitt nummer "),
+                 (F.col("id") % 11).cast("string")).alias("title"),
     )
-    plan = databook.sheet_plan(v["periods"], tables, v["financial_data"], v["charts"], texts)
+    plan = databook.sheet_plan(v["periods"], tables, v["financial_data"], v["charts"], texts, name_limit)
     return plan.select("company_id", "block", "spot", "sheet")
+
+
+@query(_SHEETS % _LONG_NAME)
+def sheet_plan(v: Views) -> DataFrame:
+    return _sheets(v)
+
+
+@query(_SHEETS % f"substring({_LONG_NAME}, 1, 31)")
+def short_sheet_plan(v: Views) -> DataFrame:
+    """With names as short as a spreadsheet wants them."""
+    return _sheets(v, SPREADSHEET_LIMIT)

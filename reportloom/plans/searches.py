@@ -46,7 +46,16 @@ def search_knowledge_filtered(v: Views) -> DataFrame:
 SELECT id, title FROM {knowledge} WHERE domain = 'redovisning' AND (title ILIKE '%entry%' OR content ILIKE '%entry%'
   OR title ILIKE '%7%' OR content ILIKE '%7%' OR title ILIKE '%zzz%' OR content ILIKE '%zzz%') ORDER BY id LIMIT 20""")
 def search_knowledge_text(v: Views) -> DataFrame:
-    return search.search_knowledge_text(v["knowledge"], "entry/7 zzz more", 20, "redovisning").select("id", "title")
+    """The first three terms."""
+    hits = search.search_knowledge_text(v["knowledge"], "entry/7 zzz more", 20, "redovisning", max_terms=3)
+    return hits.select("id", "title")
+
+
+@query("""
+SELECT id, title FROM {knowledge} WHERE title ILIKE '%zzz%' OR content ILIKE '%zzz%' OR title ILIKE '%17%' OR content ILIKE '%17%'
+  OR title ILIKE '%xyz%' OR content ILIKE '%xyz%' OR title ILIKE '%48%' OR content ILIKE '%48%' ORDER BY id LIMIT 20""")
+def search_knowledge_all_terms(v: Views) -> DataFrame:
+    return search.search_knowledge_text(v["knowledge"], "zzz 17/xyz 48", 20).select("id", "title")
 
 
 @query(f"""

@@ -90,7 +90,9 @@ def test_labels(spark):
 def test_slugs(spark):
     assert each(spark, naming.slug(X), ["Åhléns & Co AB", " A_b  C- "]) == ["åhléns-co-ab", "a-b-c"]
     assert each(spark, naming.ascii_slug(X), ["Åhléns & Co AB"]) == ["ahlens-co-ab"]
-    assert each(spark, naming.sheet_name(X), ["VD: ord/och  mer", "", "x" * 40]) == ["VD ord och mer", "Sheet", "x" * 31]
+    titles = ["VD: ord/och  mer", "", "x" * 40]
+    assert each(spark, naming.sheet_name(X), titles) == ["VD ord och mer", "Sheet", "x" * 40]
+    assert each(spark, naming.sheet_name(X, naming.SPREADSHEET_LIMIT), titles) == ["VD ord och mer", "Sheet", "x" * 31]
 
 
 def test_language(spark):
