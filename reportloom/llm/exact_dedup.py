@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reportloom.llm.common import ascii_lower, attach
+from reportloom.llm.common import ascii_lower, attach, told_apart, without_rows
 from reportloom.session import cut_lineage
 
 _HASHES = 2
@@ -75,7 +75,11 @@ def duplicate_groups(
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were. Runs jobs."""
-    groups = duplicate_groups(docs, id_col, text_col)
-    gone = groups.filter("not kept").select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")), "left_anti")
+    """One row of every group of equal texts, all columns as they were: of the largest id, a null id being the smallest.
+
+    Rows that share an id, or have none, are decided one by one, so one of several rows with the same id and text stays
+    and other texts of their id are not touched. Runs jobs.
+    """
+    rows, key = told_apart(docs, id_col, nulls_first=True)
+    gone = duplicate_groups(rows, key, text_col).filter("not kept").select(F.col(key).alias("_gone"))
+    return without_rows(rows, key, gone, docs.columns)

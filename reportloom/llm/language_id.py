@@ -7,7 +7,7 @@ language that needs the fewest phrases, normalised to bits per character, wins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 UNDETERMINED = "und"
 _PIECE = 256
+_BATCH = 2048
 _GAP = 0  # symbol of white space, digits, signs
 
 
@@ -113,6 +114,23 @@ class Parsers:
             found[:, column] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return found
 
+    def judge(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of every text, as ``predict`` gives them."""
+        names = np.array(self.languages, object)
+        bits = np.log2(np.maximum(2, self.sizes))
+        coded = [self.symbols(t) if isinstance(t, str) else np.empty(0, np.uint8) for t in texts]
+        spoken = np.array([bool((t != _GAP).any()) for t in coded], bool)
+        best = np.full(len(coded), UNDETERMINED, object)
+        score = np.zeros(len(coded))
+        if names.size and spoken.any():
+            cost = self.phrases(coded) * bits
+            order = np.argsort(cost, axis=1, kind="stable")
+            first = np.take_along_axis(cost, order, 1)
+            best[spoken] = names[order[:, 0]][spoken]
+            margin = 1 - first[:, 0] / np.maximum(first[:, 1], 1) if names.size > 1 else np.ones(len(coded))
+            score[spoken] = np.clip(margin, 0, 1)[spoken]
+        return best, score
+
 
 def train(samples: dict[str, list[str]], sample_chars: int) -> Parsers:
     """Parsers of the languages; every language is cut to ``sample_chars`` letters and gaps."""
@@ -209,31 +227,25 @@ def predict(docs: DataFrame, parsers: Parsers, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        names = np.array(known.languages, object)
-        bits = np.log2(np.maximum(2, known.sizes))
         for whole in batches:
-            for start in range(0, len(whole), 2048):
-                batch = whole.iloc[start:start + 2048]
-                texts = [known.symbols(t) if isinstance(t, str) else np.empty(0, np.uint8) for t in batch["text"]]
-                spoken = np.array([bool((t != _GAP).any()) for t in texts], bool)
-                best = np.full(len(batch), UNDETERMINED, object)
-                score = np.zeros(len(batch))
-                if names.size and spoken.any():
-                    cost = known.phrases(texts) * bits
-                    order = np.argsort(cost, axis=1, kind="stable")
-                    first = np.take_along_axis(cost, order, 1)
-                    best[spoken] = names[order[:, 0]][spoken]
-                    margin = 1 - first[:, 0] / np.maximum(first[:, 1], 1) if names.size > 1 else np.ones(len(batch))
-                    score[spoken] = np.clip(margin, 0, 1)[spoken]
+            for start in range(0, len(whole), _BATCH):
+                batch = whole.iloc[start:start + _BATCH]
+                best, score = shared.value.judge(batch["text"])
                 yield pd.DataFrame({id_col: batch["id"], "lang_pred": best, "score": score})
 
     selected = docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text")
     return selected.mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def in_known_language(docs: DataFrame, parsers: Parsers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a predicted language; those without any letter go. All columns as they were."""
-    rejected = predict(docs, parsers, id_col, text_col).filter(F.col("lang_pred") == UNDETERMINED)
-    gone = rejected.select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")), "left_anti")
+def in_known_language(docs: DataFrame, parsers: Parsers, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a predicted language; those without any letter go. All columns as they were.
+
+    Every row is judged by its own text; ids play no part.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(parsers)
+
+    def known(texts: pd.Series) -> pd.Series:
+        parts = [shared.value.judge(texts.iloc[i:i + _BATCH])[0] for i in range(0, len(texts), _BATCH)]
+        return pd.Series(np.concatenate(parts) != UNDETERMINED if parts else np.empty(0, bool))
+
+    return docs.filter(F.pandas_udf(known, "boolean")(F.col(text_col).cast("string")))

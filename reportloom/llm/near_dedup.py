@@ -19,7 +19,7 @@ import pandas as pd
 
 from pyspark.sql import DataFrame, functions as F
 
-from reportloom.llm.common import attach
+from reportloom.llm.common import attach, told_apart, without_rows
 from reportloom.llm.components import components
 from reportloom.llm.shingles import shared, shingle_sets
 from reportloom.llm.sketch import agreement, short_sketch
@@ -209,7 +209,10 @@ def near_duplicates(
 
 
 def without_near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component; all columns as they were. Runs jobs."""
-    decided = near_duplicates(docs, percent, width, id_col=id_col, text_col=text_col)
-    gone = decided.filter("not kept").select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")), "left_anti")
+    """One row of each component, all columns as they were: of the smallest id, a null id coming last.
+
+    Rows that share an id, or have none, are documents of their own. Rows without a word all stay. Runs jobs.
+    """
+    rows, key = told_apart(docs, id_col, nulls_first=False)
+    decided = near_duplicates(rows, percent, width, id_col=key, text_col=text_col)
+    return without_rows(rows, key, decided.filter("not kept").select(F.col(key).alias("_gone")), docs.columns)
