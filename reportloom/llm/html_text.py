@@ -40,16 +40,21 @@ _INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# A class or id counts if all parts of the whole name are known: ``cookie-notice`` does, ``has-sidebar`` does not.
 _NAMES = re.compile(
-    r"^(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|"
-    r"sidebars?|menus?|nav\w*|breadcrumbs?|comments?|commentlist|respond|replies|reply|disqus|discussion|footers?|masthead|"
-    r"topbar|share|sharing|social|related|recommended|newsletter|subscri\w+|signup|login|widgets?|pagination|pager|copyright|legal)$"
+    r"^(ads?|advert|adverts|advertisements?|advertising|adsense|banner|sponsor|sponsors|sponsored|promos?|promotions?|cookies?|"
+    r"consent|gdpr|notices?|alerts?|popups?|modal|overlay|sidebars?|menus?|nav|navs|navbar|navigation|breadcrumbs?|comments?|"
+    r"commentlist|respond|replies|reply|disqus|footers?|masthead|topbar|share|sharing|social|related|recommended|newsletter|"
+    r"subscribe|subscription|signup|login|widgets?|pagination|pager|copyright|legal)$"
 )
-_NOT_MAIN = re.compile(r"^(ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|recommended)$")
+_NOT_MAIN = re.compile(r"^(ads?|advert|adverts|advertisements?|sponsor|sponsors|sponsored|promos?|comments?|reply|replies|related|recommended)$")
+_BESIDE = frozenset("site page main top bottom bar area list box block body links buttons posts".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+# What says so for certain; a nested article or main resets the other marks.
+_FIRM = _BOILERPLATE - {"form"}
 
 
 @dataclass
@@ -61,39 +66,45 @@ class Block:
     place: int
 
 
-def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in _BOILERPLATE or tag == "header" and not in_main:
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag == "body":
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[\s_-]+", value.strip("\"'").lower())
-        if name.lower() == "role":
-            if _ROLES.intersection(words):
-                return True
-        elif any(map((_NOT_MAIN if tag in _MAIN else _NAMES).match, words)) or "header" in words and not in_main:
+def _named(value: str, names: re.Pattern, in_main: bool) -> bool:
+    """Whether a whole class or id of the value is made of known names and words that go beside them."""
+    for name in value.lower().split():
+        rest = [w for w in re.split(r"[_-]+", name) if w and w not in _BESIDE]
+        if rest and all(names.match(w) or w == "header" and not in_main for w in rest):
             return True
     return False
 
 
+def _mark(tag: str, attributes: str, in_main: bool) -> int:
+    """0, 1 for likely boilerplate or 2 for certain boilerplate."""
+    found = {}
+    for name, value in _ATTRIBUTE.findall(attributes or ""):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    if tag in _FIRM or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(found.get("style", "")):
+        return 2
+    if tag in _BOILERPLATE or tag == "header" and not in_main:
+        return 1
+    if tag == "body":
+        return 0
+    names = _NOT_MAIN if tag in _MAIN else _NAMES
+    named = any(_named(found.get(a, ""), names, in_main or tag in _MAIN) for a in ("class", "id"))
+    return int(named or bool(_ROLES.intersection(found.get("role", "").lower().split())))
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order. Unclosed and misnested tags, comments and cut-off pages are tolerated."""
     blocks: list[Block] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, in the main part, boilerplate, place
-    main, boilerplate, place, places = False, False, 0, 0
+    stack: list[tuple[str, bool, int, int]] = []  # tag, in the main part, boilerplate, place
+    main, boilerplate, place, places = False, 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(text, min(linked, len(text)), main, boilerplate, place))
+            blocks.append(Block(text, min(linked, len(text)), main, boilerplate > 0, place))
         parts.clear()
         linked = 0
 
@@ -134,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[i:]
                         break
             elif not attributes.endswith("/"):
-                marked = _is_boilerplate(tag, attributes, main)
+                marked = _mark(tag, attributes, main)
                 if tag in ("p", "li", "td", "span") and not marked:
                     continue  # often left open, and of no weight
                 if tag in _INLINE:
@@ -143,7 +154,9 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in _MAIN or marked:
                     places += 1
                     place = places
-                main, boilerplate = main or tag in _MAIN, boilerplate or marked
+                if tag in _MAIN and boilerplate == 1:
+                    boilerplate = 0
+                main, boilerplate = main or tag in _MAIN, max(boilerplate, marked)
     close()
     return blocks
 
