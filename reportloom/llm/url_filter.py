@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reportloom.llm.common import ascii_lower
@@ -48,14 +52,20 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("url").agg(best).select("url", "best.*")
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Address that the usual redirects lead to: no scheme, ``www.`` or ``m.``, query, fragment, ``.html`` or last slash."""
-    bare = F.regexp_replace(host, r"^(www|m)\.", "")
-    return F.concat(bare, F.regexp_replace(path, r"(/index)?(\.html?)?/*$", ""))
+def query_of(url: Column) -> Column:
+    """After the first ``?`` that follows the host, up to ``#`` or the end; empty without one."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
+def canonical(url: Column) -> Column:
+    """The URL without what names no other page: scheme, ``www.``, last slash, fragment and a query without any ``=``."""
+    bare = F.regexp_replace(host_of(url), r"^www\.", "")
+    query = F.when(F.contains(query_of(url), F.lit("=")), F.concat(F.lit("?"), query_of(url))).otherwise("")
+    return F.concat(bare, F.regexp_replace(path_of(url), r"/\z", ""), query)
 
 
 def declared_targets(html: Column) -> Column:
-    """Absolute URLs that a page names as its canonical address or redirects to at once."""
+    """URLs, absolute or relative, that a page names as its canonical address or redirects to at once."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     link = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b"))
@@ -64,26 +74,48 @@ def declared_targets(html: Column) -> Column:
         F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
     found = F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda u: F.contains(u, F.lit("://")))
+    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda u: u != "")
+
+
+def _join(url: str, base: str, target: str) -> str | None:
+    try:
+        return urljoin(urljoin(url, base), target)
+    except ValueError:
+        return None
+
+
+def _resolved(url: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([_join(*each) for each in zip(url, base, target)], dtype=object)
+
+
+def declared_links(pages: DataFrame, url: Column, html: Column) -> DataFrame:
+    """Distinct ``url`` and ``target``, both absolute; a relative target starts from ``<base href>`` or the page's URL."""
+    found = pages.select(url.alias("url"), html.alias("html")).filter("url like '%://%'")
+    found = found.select("url", declared_targets(F.col("html")).alias("targets"), "html").filter("size(targets) > 0")
+    base = F.coalesce(F.regexp_extract("html", r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
+    links = cut_lineage(found.select("url", base.alias("base"), F.explode("targets").alias("target")).distinct())
+    whole = F.col("target").rlike(r"(?i)^[a-z][a-z0-9+.-]*://")
+    relative = links.filter(~whole).select("url", F.pandas_udf(_resolved, "string")("url", "base", "target").alias("target"))
+    return links.filter(whole).select("url", "target").union(relative.filter("target like '%://%'")).distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """``id_col``, ``host``, ``path``, ``rule``, ``verdict`` and ``component`` for every page.
 
     A rule of the page's own decides. Otherwise the page is blocked if an alias is: aliases are the pages and targets in
-    one connected component of redirects (a URL to its canonical address) and of canonical or refresh links in the HTML.
+    one connected component of spellings of one URL (``canonical``) and of canonical or refresh links in the HTML, relative
+    ones too. URLs that differ in a query with a value, in ``.html``, ``/index`` or ``m.`` are pages of their own.
     An allow rule protects the page it fits and is not handed on; pages that nothing blocks are allowed. A null or
     hostless URL has no alias. Repeated URLs share a verdict, every row is returned. Runs jobs.
     """
     asked = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     html = F.col(html_col).cast("string") if html_col else F.lit(None).cast("string")
-    links = pages.select(F.col(url_col).cast("string").alias("url"), F.explode(declared_targets(html)).alias("target")).distinct()
-    links = cut_lineage(links.filter("url like '%://%'"))
+    links = cut_lineage(declared_links(pages, F.col(url_col).cast("string"), html))
 
     urls = asked.filter("url like '%://%'").select("url").union(links.select("target")).distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = urls.join(fitting_rules(urls, rules), "url", "left")
-    nodes = cut_lineage(ruled.withColumn("address", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path")))))
+    nodes = cut_lineage(ruled.withColumn("address", F.when(F.col("host") != "", canonical(F.col("url")))))
 
     named = nodes.select("url", "address")
     edges = (
