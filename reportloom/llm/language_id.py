@@ -173,24 +173,37 @@ def train(samples: dict[str, list[str]], sample_chars: int) -> Parsers:
 
 
 def labelled_sample(docs: DataFrame, sample_chars: int, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[str]]:
-    """About three times ``sample_chars`` characters of each language, texts in the order of their hash.
+    """The first distinct texts of each language by hash that have three times ``sample_chars`` characters together.
 
-    Whether a text is in depends on its hash alone; copies of a text are in once. Runs two jobs.
+    A text starts at its first letter and counts up to ``sample_chars``; every language with a letter gives one at least.
+    Hashes are counted by their number of leading zeros first, so only about twice what is taken is fetched. Runs two jobs.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()
-    shares = {r["lang"]: min(1.0, 3.0 * sample_chars / r["chars"]) for r in sizes if r["chars"]}
-    if not shares:
-        return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
     place = (F.xxhash64("text").cast("double") / F.lit(float(1 << 63)) + 1.0) / 2.0
-    rows = (
-        labelled.withColumn("place", place).filter(F.col("place") <= share)
-        .select("lang", "place", F.substring("text", 1, sample_chars).alias("text")).distinct().collect()
-    )
+    placed = labelled.select("lang", place.alias("place"), F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, sample_chars).alias("text"))
+    zeros = F.least(F.lit(60), F.floor(-F.log2(F.greatest(F.col("place"), F.lit(2.0**-60))))).cast("int")
+    placed = placed.filter("text <> ''").withColumn("zeros", zeros)
+    distinct = placed.groupBy("lang", "zeros", "place").agg(F.max(F.length("text")).alias("chars"))
+    sizes: dict[str, dict[int, int]] = {}
+    for row in distinct.groupBy("lang", "zeros").agg(F.sum("chars").alias("chars")).collect():
+        sizes.setdefault(row["lang"], {})[row["zeros"]] = row["chars"]
+    if not sizes:
+        return {}
+    least = {}
+    for language, chars in sizes.items():
+        total = 0
+        for least[language] in sorted(chars, reverse=True):
+            total += chars[least[language]]
+            if total >= 3 * sample_chars:
+                break
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang"))
+    rows = placed.filter(F.col("zeros") >= bound).select("lang", "place", "text").distinct().collect()
     out: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):
-        out.setdefault(row["lang"], []).append(row["text"])
+    taken = dict.fromkeys(least, 0)
+    for row in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
+        if taken[row["lang"]] < 3 * sample_chars:
+            taken[row["lang"]] += len(row["text"])
+            out.setdefault(row["lang"], []).append(row["text"])
     return out
 
 
@@ -208,11 +221,11 @@ def unshared_lines(samples: dict[str, list[str]]) -> dict[str, list[str]]:
             lines = [line for line in text.split("\n") if line.strip().lower() in left]
             left.difference_update(line.strip().lower() for line in lines)
             out.setdefault(language, []).append("\n".join(lines))
-    return {language: out[language] if any(out[language]) else texts for language, texts in samples.items()}
+    return {language: out[language] if any(map(str.isalpha, "".join(out[language]))) else texts for language, texts in samples.items()}
 
 
 def fit(docs: DataFrame, sample_chars: int = 1 << 15, lang_col: str = "lang", text_col: str = "text") -> Parsers:
-    """Learn from labelled rows. ``sample_chars`` bounds what is kept of each language. Runs jobs."""
+    """Learn from labelled rows. ``sample_chars`` bounds what is kept of each language, none is left out. Runs jobs."""
     return train(unshared_lines(labelled_sample(docs, sample_chars, lang_col, text_col)), sample_chars)
 
 
