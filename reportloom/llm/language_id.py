@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 UNDETERMINED = "und"
 _PIECE = 256
 _BATCH = 2048
+_DENSE = 256
 _GAP = 0  # symbol of white space, digits, signs
 
 
@@ -66,16 +67,54 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 @dataclass
-class Parsers:
-    """One table of moves for each language.
-
-    A table is flat: row offset of a state plus symbol gives the row offset of the next state, or, where the phrase ends,
-    the bitwise complement of the one that the symbol leads to from the start. The last symbol pads and moves nothing.
+class Moves:
+    """Moves of one language's automaton over its own letters.
+
+    ``place`` gives for every symbol of a text the own one: the gap, own letters, one for all other letters, padding.
+    A dense table is flat: row offset of a state plus symbol gives the row offset of the next state, or, where the phrase
+    ends, the bitwise complement of the one that the symbol leads to from the start. Over many letters the moves are
+    sorted ``keys`` of state and symbol with their ``targets`` and the states ``first`` after the start instead.
+    Padding moves nothing; the ``silent`` state knows no phrase.
     """
 
+    place: np.ndarray
+    width: int
+    silent: int
+    table: np.ndarray | None
+    keys: np.ndarray | None = None
+    targets: np.ndarray | None = None
+    first: np.ndarray | None = None
+
+    def ended(self, steps: np.ndarray) -> np.ndarray:
+        """Phrases that end in each column of ``steps``."""
+        count = np.zeros(steps.shape[1], np.int32)
+        if self.table is not None:
+            state = np.full(steps.shape[1], self.silent * self.width, np.int32)
+            for row in steps:
+                state = self.table.take(state + self.place.take(row))
+                over = state >> 31
+                count -= over
+                state ^= over
+            return count
+        state = np.full(steps.shape[1], self.silent, np.int64)
+        for row in steps:
+            symbol = self.place.take(row)
+            key = state * self.width + symbol
+            at = np.searchsorted(self.keys, key)
+            goes_on = self.keys.take(at) == key
+            text = symbol != self.width - 1
+            count += text & ~goes_on
+            state = np.where(text, np.where(goes_on, self.targets.take(at), self.first.take(symbol)), state)
+        return count
+
+
+@dataclass
+class Parsers:
+    """The letters of all languages together and the moves of each."""
+
     alphabet: np.ndarray
     languages: list[str]
-    tables: list[np.ndarray]
+    tables: list[Moves]
     sizes: list[int]
 
     @property
@@ -86,32 +125,24 @@ class Parsers:
         codes = letters_and_gaps(text)
         place = np.searchsorted(self.alphabet, codes)
         known = self.alphabet[np.minimum(place, self.alphabet.size - 1)] == codes if self.alphabet.size else codes < 0
-        return np.where(codes == 0, _GAP, np.where(known, place + 1, self.alphabet.size + 1)).astype(np.uint8)
+        return np.where(codes == 0, _GAP, np.where(known, place + 1, self.alphabet.size + 1)).astype(np.min_scalar_type(self.width))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of every text in every language.
 
         Texts are parsed in pieces of 256 symbols, a phrase ends with its piece; all pieces take a step together.
         """
-        pad = self.width - 1
         pieces = np.array([-(-t.size // _PIECE) for t in texts], np.int64)
         ends = np.cumsum(pieces)
-        grid = np.full(int(ends[-1]) * _PIECE if len(texts) else 0, pad, np.uint8)
+        grid = np.full(int(ends[-1]) * _PIECE if len(texts) else 0, self.width - 1, np.min_scalar_type(self.width))
         for t, end, count in zip(texts, ends, pieces):
             at = int(end - count) * _PIECE
             grid[at:at + t.size] = t
         steps = np.ascontiguousarray(grid.reshape(-1, _PIECE).T)
         owner = np.repeat(np.arange(len(texts)), pieces)
         found = np.zeros((len(texts), len(self.tables)), np.int64)
-        for column, table in enumerate(self.tables):
-            state = np.full(owner.size, table.size - self.width, np.int32)  # the last state knows no phrase
-            count = np.zeros(owner.size, np.int32)
-            for row in steps:
-                state = table.take(state + row)
-                ended = state >> 31
-                count -= ended
-                state ^= ended
-            found[:, column] = np.bincount(owner, count, len(texts)).astype(np.int64)
+        for column, moves in enumerate(self.tables):
+            found[:, column] = np.bincount(owner, moves.ended(steps), len(texts)).astype(np.int64)
         return found
 
     def judge(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,33 +176,42 @@ def train(samples: dict[str, list[str]], sample_chars: int) -> Parsers:
                 break
     coded = {language: texts for language, texts in coded.items() if any((t != 0).any() for t in texts)}
     every = np.concatenate([t for texts in coded.values() for t in texts]) if coded else np.empty(0, np.uint32)
-    letters, counts = np.unique(every[every != 0], return_counts=True)
-    if letters.size > 250:  # a symbol is one byte; the rarest letters are read as the other letter
-        letters = np.sort(letters[np.argsort(-counts, kind="stable")[:250]])
+    letters = np.unique(every[every != 0])
     parsers = Parsers(letters, [], [], [])
-    width = parsers.width
     for language, texts in coded.items():
+        own = np.unique(np.concatenate(texts))
+        own = own[own != 0]
         symbols: list[int] = []
         for codes in texts:
-            place = np.searchsorted(letters, codes)
-            known = letters[np.minimum(place, letters.size - 1)] == codes
-            symbols += np.where(codes == 0, _GAP, np.where(known, place + 1, -1)).tolist() + [-2]
-        moves = suffix_automaton(symbols)
-        silent = len(moves)
-        table = np.full((silent + 1, width), -1, np.int64)
-        for state, to in enumerate(moves):
-            for symbol, target in to.items():
-                if symbol >= 0:
-                    table[state, symbol] = target
-        start = np.where(table[0] >= 0, table[0], silent)
-        table = np.where(table >= 0, table * width, ~(start * width))
-        table[:, -1] = np.arange(silent + 1) * width
+            symbols += np.where(codes == 0, _GAP, np.searchsorted(own, codes) + 1).tolist() + [-2]
+        width = own.size + 3
+        place = np.full(parsers.width, own.size + 1, np.min_scalar_type(width))
+        place[np.searchsorted(letters, own) + 1] = np.arange(own.size) + 1
+        place[_GAP], place[-1] = _GAP, width - 1
         parsers.languages.append(language)
-        parsers.tables.append(table.astype(np.int32).ravel())
+        parsers.tables.append(_moves(suffix_automaton(symbols), place, width))
         parsers.sizes.append(len(symbols))
     return parsers
 
 
+def _moves(automaton: list[dict[int, int]], place: np.ndarray, width: int) -> Moves:
+    """A dense table for up to ``_DENSE`` symbols, sorted keys for more."""
+    silent = len(automaton)
+    known = [(state * width + symbol, target) for state, to in enumerate(automaton) for symbol, target in to.items() if symbol >= 0]
+    keys, targets = np.array(known, np.int64).reshape(-1, 2).T
+    order = np.argsort(keys)
+    keys, targets = keys[order], targets[order]
+    first = np.full(width, silent, np.int64)
+    start = keys < width
+    first[keys[start]] = targets[start]
+    if width > _DENSE or (silent + 1) * width >= 1 << 31:
+        return Moves(place, width, silent, None, np.append(keys, np.iinfo(np.int64).max), np.append(targets, silent), first)
+    table = np.tile(~(first * width), (silent + 1, 1))
+    table.reshape(-1)[keys] = targets * width
+    table[:, -1] = np.arange(silent + 1) * width
+    return Moves(place, width, silent, table.astype(np.int32).ravel())
+
+
 def labelled_sample(docs: DataFrame, sample_chars: int, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[str]]:
     """The first distinct texts of each language by hash that have three times ``sample_chars`` characters together.
 
