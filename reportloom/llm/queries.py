@@ -58,11 +58,9 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = read(spark, folder, "documents").select(
-        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    return sharding.into_shards(sized, SHARDS, seed=7).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    return sharding.into_shards(read(spark, folder, "documents"), SHARDS, seed=7).select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
