@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,10 @@ STOP_WORDS = frozenset(
     "al como con de del el ella en es esta este la las lo los más no o para pero por que se sin su sus un una y".split()
 )
 
+# Letters of the languages above besides a to z, and the share of other letters from which a text is none of them.
+_OWN_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzàâæçèéêëîïôœùûüÿäößáíñóúªº")
+FOREIGN = 0.01
+
 LONG, SHORT = 200, 70
 MANY_STOP_WORDS, SOME_STOP_WORDS = 0.30, 0.10
 LINK_DENSITY = 0.4
@@ -161,15 +166,32 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def first_pass(block: Block) -> str:
-    """``good``, ``bad``, ``near`` (doubtful) or ``short``."""
+def unlisted(text: str) -> bool:
+    """Whether the letters of a text show that none of the languages with stop words fits it."""
+    letters = list(filter(str.isalpha, text.lower()))
+    return sum(c not in _OWN_LETTERS for c in letters) > FOREIGN * len(letters)
+
+
+def stop_word_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()%*#$&\"'") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(block: Block, foreign: bool = False) -> str:
+    """``good``, ``bad``, ``near`` (doubtful) or ``short``.
+
+    On a ``foreign`` page no list of stop words fits, so length and links decide; a wide letter counts as two.
+    """
     length = len(block.text)
     if block.boilerplate or block.linked / length > LINK_DENSITY:
         return "bad"
+    if foreign:
+        length += sum(unicodedata.east_asian_width(c) in "WF" for c in block.text)
     if length < SHORT:
         return "short" if not block.linked or block.main else "bad"
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?()%*#$&\"'") in STOP_WORDS for w in words) / len(words)
+    if foreign:
+        return "good" if length > LONG else "near"
+    density = stop_word_density(block.text)
     if density >= MANY_STOP_WORDS and length > LONG:
         return "good"
     if density >= SOME_STOP_WORDS or block.main:
@@ -177,6 +199,12 @@ def first_pass(block: Block) -> str:
     return "bad"
 
 
+def foreign_page(blocks: list[Block]) -> bool:
+    """Whether the unmarked text of a page has few stop words and letters of other languages than those with lists."""
+    text = " ".join(b.text for b in blocks if not b.boilerplate)
+    return stop_word_density(text) < SOME_STOP_WORDS and unlisted(text)
+
+
 def second_pass(blocks: list[Block], kinds: list[str]) -> list[bool]:
     """Whether each block is kept.
 
@@ -206,7 +234,8 @@ def second_pass(blocks: list[Block], kinds: list[str]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """Kept blocks joined by a line feed; empty for a null, empty or text-free page."""
     blocks = blocks_of(page or "")
-    kept = second_pass(blocks, [first_pass(b) for b in blocks])
+    foreign = foreign_page(blocks)
+    kept = second_pass(blocks, [first_pass(b, foreign) for b in blocks])
     return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 

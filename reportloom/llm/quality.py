@@ -18,7 +18,7 @@ import pandas as pd
 
 from pyspark.sql import DataFrame, functions as F
 
-from reportloom.llm.html_text import STOP_WORDS
+from reportloom.llm.html_text import STOP_WORDS, unlisted
 
 BAD, GOOD, SILENT = 0, 1, 2
 _BITS = 15
@@ -63,10 +63,11 @@ def _variety(f: Facts) -> int:
 
 
 def _stop_words(f: Facts) -> int:
+    """Silent on a text whose letters show that no list of stop words fits it."""
     if len(f.words) < 10:
         return SILENT
     share = sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in f.words) / len(f.words)
-    return GOOD if share >= 0.12 else BAD if share <= 0.04 else SILENT
+    return GOOD if share >= 0.12 else BAD if share <= 0.04 and not unlisted(f.text) else SILENT
 
 
 def _sentences(f: Facts) -> int:
