@@ -1,7 +1,7 @@
 """Training-data pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-``ORACLE_SQL`` is None: language identification, mixing after it and BPE have no SQL form; ``tests/llm/test_pipeline.py``
-compares the result with a plain Python version.
+``ORACLE_SQL`` is None: language identification, mixing after it and BPE have no SQL form;
+``tests/llm/test_pipeline_rows.py`` compares the rows of ``run`` with a plain Python version.
 """
 
 from __future__ import annotations
