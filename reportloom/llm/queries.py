@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reportloom.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality, sharding, url_filter, vector_search
+from reportloom.llm import (
+    bpe, compression, exact_dedup, html_text, importance, language_id, mixing, near_dedup, quality, sharding, url_filter,
+    vector_search, whitening,
+)
 from reportloom.llm.common import read
 
 SHARDS = 40
@@ -78,6 +81,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return compression.judge(read(spark, folder, "documents"))
+
+
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark"), percent=10, max_run=1, buckets=10_000
+    ).drop("n_words")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"), components=4, scale=256)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_importance": op12_importance,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 
@@ -176,4 +196,40 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, source, copy, copies, md5('order 10|' || doc_id || '|' || copy) AS order_key, text
         FROM counts, range(1, copies + 1) t(copy)""",
+    "op12_importance": r"""
+        WITH table_of_bytes AS (
+            SELECT list(list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+            FROM (SELECT unnest(range(0, 256))::BIGINT AS b)
+        ), texts AS (
+            SELECT 0 AS side, row_number() OVER () AS n, doc_id, text FROM documents
+            UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark
+        ), words AS (
+            SELECT side, n, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+        ), counted AS (
+            SELECT side, n, word, count(*) AS times FROM words GROUP BY ALL
+        ), hashed AS (
+            SELECT word, xor(list_reduce(
+                [4294967295::BIGINT] || [('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT FOR i IN range(0, octet_length(encode(word)))],
+                lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT word FROM counted), table_of_bytes
+        ), buckets AS (
+            SELECT bucket, coalesce(sum(times) FILTER (WHERE side = 0), 0)::DOUBLE AS s,
+                   coalesce(sum(times) FILTER (WHERE side = 1), 0)::DOUBLE AS t
+            FROM counted JOIN hashed USING (word) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM buckets) + 10000)
+                                           / ((s + 1) * ((SELECT sum(t) FROM buckets) + 10000))))::BIGINT AS gain FROM buckets
+        ), weighed AS (
+            SELECT n, sum(times)::BIGINT AS n_features, floor(sum(times * gain)::DOUBLE / sum(times))::BIGINT AS weight
+            FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY n
+        ), scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM texts LEFT JOIN weighed USING (n) WHERE side = 0
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= fit * 10 // 100 THEN place END AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+                     count(*) FILTER (WHERE n_features >= 20) OVER () AS fit FROM scored)""",
 }
