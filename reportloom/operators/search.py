@@ -1,22 +1,31 @@
-"""Search over sections and knowledge: vector, text, hybrid, and the chain of them.
+"""Search over sections and knowledge for a table of queries: vector, text, hybrid, and the chain of them.
 
-The queries of a request are few and known to the driver, so they travel as literals inside the scan; each
-map task keeps only its best rows per query before the one small shuffle.
+Rows and queries meet as blocks of a matrix product, in which every task keeps the best rows of each query. The queries
+travel with the tasks while they are few; a larger table is cut into blocks that meet parts of the rows by a key.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.text import cut, excerpt
+from reportloom.operators.text_search import first_hits, matches
+from reportloom.session import cut_lineage
 
 Vector = Sequence[float]
 
+_CELLS = 1 << 22  # scores computed at once, 32 MB
+_QUERY_BYTES = 1 << 25  # queries that travel with the tasks
+_ROW_BYTES = 1 << 26  # rows that one task holds against a block of queries
+
 
 @dataclass(frozen=True)
 class Query:
@@ -28,65 +37,286 @@ class Query:
     company_slug: str | None = None
 
 
-def _literal(vector: Vector) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
+def query_table(rows: DataFrame, queries: list[Query] | DataFrame) -> DataFrame:
+    """Queries as a table (query_id, text, vector, company_slug); one that is given as a table stays as it is."""
+    if isinstance(queries, DataFrame):
+        return queries
+    values = [(q.query_id, q.text, None if q.vector is None else [float(x) for x in q.vector], q.company_slug) for q in queries]
+    return rows.sparkSession.createDataFrame(values, "query_id bigint, text string, vector array<double>, company_slug string")
 
-def _with_vector(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Rows that have a vector, with it in double precision (_v) and its length (_n), computed once for all queries."""
-    usable = df.filter(F.col(vector).isNotNull()).withColumn("_v", F.col(vector).cast("array<double>"))
-    return usable.withColumn("_n", F.sqrt(_dot(F.col("_v"), F.col("_v"))))
-
-
-def _cosine(query: Vector) -> Column:
-    """Cosine similarity of ``_v`` and the query; null for a zero vector."""
-    length = math.sqrt(sum(float(x) * float(x) for x in query))
-    return F.try_divide(_dot(F.col("_v"), _literal(query)), F.col("_n") * F.lit(length))
 
+def _words(content: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\w]+"))
 
-def _best(df: DataFrame, scored: DataFrame, scores: list[Column], k: int) -> DataFrame:
-    """Rows of ``df`` that are among the best ``k`` of a query; a null score is no hit.
 
-    Only id, query and score are ranked, never contents or vectors, and every map task applies the rank limit
-    before the shuffle. The winners are then joined with their rows; whether they are broadcast is left to their size.
+def _wanted_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Positions and unit vectors of each length; a zero vector or one with a null is not a number."""
+    lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    found = {}
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        found[int(n)] = at, _unit_rows(_matrix(vectors.take(pa.array(at))))
+    return found
+
+
+class _Best:
+    """The best ``k`` rows of each query so far: higher score first, then smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.query, self.score, self.id = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object)
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of ``queries`` by ``ids``; what is not a finite number is no hit."""
+        hit = np.isfinite(scores) & (scores >= self.floor[queries][:, None])
+        if scores.shape[1] > self.k:
+            low = np.partition(np.where(hit, scores, -np.inf), -self.k, axis=1)[:, -self.k]
+            hit &= scores >= low[:, None]
+        q, r = np.nonzero(hit)
+        if not len(q):
+            return
+        query = np.concatenate([self.query, queries[q]])
+        score = np.concatenate([self.score, scores[q, r]])
+        ids = np.concatenate([self.id, ids[r]])
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        start = np.append(True, query[1:] != query[:-1])
+        place = np.arange(len(query)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+        stays = place < self.k
+        full = place == self.k - 1
+        self.floor[query[full]] = score[full]
+        self.query, self.score, self.id = query[stays], score[stays], ids[stays]
+
+
+class _Queries:
+    """A block of queries, prepared for blocks of rows."""
+
+    def __init__(self, table: pa.Table, filters: list[str], weights: tuple[float, float] | None) -> None:
+        table = table.combine_chunks()
+        columns = {name: table[name].combine_chunks() for name in table.column_names}
+        self.ids, self.filters, self.weights = columns["query_id"], filters, weights
+        self.vectors = _by_length(columns["vector"])
+        groups: dict[tuple[int, ...], dict[tuple, list[int]]] = {}
+        given = list(zip(*[columns[f].to_pylist() for f in filters])) if filters else [()] * len(table)
+        for i, values in enumerate(given):
+            pattern = tuple(j for j, v in enumerate(values) if v is not None)
+            groups.setdefault(pattern, {}).setdefault(tuple(values[j] for j in pattern), []).append(i)
+        self.groups = {p: {key: np.array(at) for key, at in by_key.items()} for p, by_key in groups.items()}
+        if weights is not None:
+            words = columns["words"]
+            self.counts = np.maximum(1, words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            flat = words.flatten().dictionary_encode()
+            owner = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            self.vocabulary, self.holders = flat.dictionary, owner[order]
+            self.bounds = np.searchsorted(code[order], np.arange(len(flat.dictionary) + 1))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def shared_words(self, words: pa.Array) -> np.ndarray:
+        """How many of a query's words each text has, queries by rows."""
+        rows = len(words)
+        counts = np.zeros(len(self) * rows, dtype=np.int64)
+        code = pc.index_in(words.flatten(), value_set=self.vocabulary)
+        row = np.repeat(np.arange(rows), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        code, row = code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), row[known]
+        size = self.bounds[code + 1] - self.bounds[code]
+        ends = np.cumsum(size)
+        first = 0
+        while first < len(code):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + _CELLS, "right")))
+            own = size[first:last]
+            within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            holder = self.holders[np.repeat(self.bounds[code[first:last]], own) + within]
+            np.add.at(counts, holder * rows + np.repeat(row[first:last], own), 1)
+            first = last
+        return counts.reshape(len(self), rows)
+
+    def meet(self, batch: pa.RecordBatch | pa.Table, best: _Best) -> None:
+        """Scores of all rows of a batch (id, v, words, filters) go into ``best``, a block of rows at a time."""
+        height = max(1, _CELLS // max(1, len(self)))
+        for start in range(0, batch.num_rows, height):
+            part = batch.slice(start, height)
+            columns = {n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in zip(part.schema.names, part.columns)}
+            ids = np.array(columns["id"].to_pylist(), dtype=object)
+            shared = self.shared_words(columns["words"]) if self.weights is not None else None
+            rows_of = _by_length(columns["v"])
+            given = [columns[f].to_pylist() for f in self.filters]
+            for pattern, by_key in self.groups.items():
+                for key, rows in _grouped(given, pattern, by_key, len(ids)):
+                    self._score(by_key[key], rows, rows_of, shared, ids, best)
+
+    def _score(
+        self, queries: np.ndarray, rows: np.ndarray | None, rows_of: dict[int, tuple[np.ndarray, np.ndarray]],
+        shared: np.ndarray | None, ids: np.ndarray, best: _Best,
+    ) -> None:
+        """One product for each length of vectors; ``rows`` None takes all rows."""
+        for n, (at, unit) in rows_of.items():
+            if n not in self.vectors:
+                continue
+            with_vector, query_unit = self.vectors[n]
+            q, from_q = _both(queries, with_vector)
+            r, from_r = (at, np.arange(len(at))) if rows is None else _both(rows, at)
+            if not len(q) or not len(r):
+                continue
+            scores = query_unit[from_q] @ unit[from_r].T
+            if shared is not None:
+                text = shared[np.ix_(q, r)] / self.counts[q][:, None]
+                scores = self.weights[0] * text + self.weights[1] * scores
+            best.add(q, ids[r], scores)
+
+    def result(self, best: _Best, schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [self.ids.take(pa.array(best.query)), pa.array(best.id.tolist(), schema.field("id").type), pa.array(best.score)],
+            schema=schema,
+        )
+
+
+def _both(wanted: np.ndarray, sorted_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``wanted`` that occur in ``sorted_at``, and where."""
+    spot = np.minimum(np.searchsorted(sorted_at, wanted), len(sorted_at) - 1)
+    found = sorted_at[spot] == wanted
+    return wanted[found], spot[found]
+
+
+def _grouped(
+    given: list[list], pattern: tuple[int, ...], by_key: dict[tuple, np.ndarray], rows: int
+) -> Iterator[tuple[tuple, np.ndarray | None]]:
+    """Each wanted key that occurs in the rows, and its rows; the empty pattern takes all."""
+    if not pattern:
+        yield (), None
+        return
+    found: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*[given[j] for j in pattern])):
+        if key in by_key:
+            found.setdefault(key, []).append(i)
+    for key, at in found.items():
+        yield key, np.array(at)
+
+
+def _scores(
+    rows: DataFrame, queries: DataFrame, k: int, vector: str, filters: dict[str, str], weights: tuple[float, float] | None,
+    query_bytes: int, row_bytes: int,
+) -> DataFrame:
+    """``query_id``, ``id``, ``score`` of rows that a task finds among the best ``k`` of a query."""
+    names = [f"f{i}" for i in range(len(filters))]
+    asked = queries.filter(F.col("vector").isNotNull()).select(
+        "query_id", F.col("vector").cast("array<double>").alias("vector"),
+        *[F.col(column).cast("string").alias(n) for n, column in zip(names, filters)],
+        *([_wanted_words(F.col("text")).alias("words")] if weights else []),
+    )
+    usable = rows.filter(F.col(vector).isNotNull()).select(
+        "id", F.col(vector).alias("v"), *[F.col(column).cast("string").alias(n) for n, column in zip(names, filters.values())],
+        *([_words(F.col("content")).alias("words")] if weights else []),
+    )
+    id_type, query_type = usable.schema["id"].dataType, asked.schema["query_id"].dataType
+    schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double"
+    arrow = rows.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def best_of(block: _Queries, parts: Iterator[pa.RecordBatch | pa.Table]) -> pa.RecordBatch:
+        best = _Best(len(block), k)
+        for part in parts:
+            block.meet(part, best)
+        return block.result(best, arrow)
+
+    text_bytes = F.octet_length(F.coalesce("text", F.lit(""))) if weights else F.lit(0)
+    size = queries.filter(F.col("vector").isNotNull()).agg(F.sum(F.size("vector") * 8 + 64 + 2 * text_bytes).alias("n")).first()["n"] or 0
+    if size <= query_bytes:
+        sink = pa.BufferOutputStream()
+        table = asked.toArrow()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        shared = rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield best_of(_Queries(pa.ipc.open_stream(shared.value).read_all(), names, weights), batches)
+
+        return usable.mapInArrow(run, schema)
+
+    blocks = -(-size // query_bytes)
+    row_size = F.size("v") * 8 + 64 + (F.size("words") * 12 if weights else F.lit(0))
+    parts = -(-(usable.agg(F.sum(row_size).alias("n")).first()["n"] or 1) // row_bytes)
+    # Hashed apart from the ids' own order, so copies of a row spread as other rows do.
+    cut_rows = usable.withColumns({
+        "part": F.pmod(F.xxhash64("id"), F.lit(parts)), "block": F.explode(_numbers(blocks)),
+    })
+    cut_queries = asked.withColumns({
+        "block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "part": F.explode(_numbers(parts)),
+    })
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], arrow)
+        return pa.Table.from_batches([best_of(_Queries(right, names, weights), iter([left]))])
+
+    return cut_rows.groupBy("block", "part").cogroup(cut_queries.groupBy("block", "part")).applyInArrow(pair, schema)
+
+
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
+def top_k(
+    rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", filters: dict[str, str] | None = None,
+    weights: tuple[float, float] | None = None, query_bytes: int = _QUERY_BYTES, row_bytes: int = _ROW_BYTES,
+) -> DataFrame:
+    """``query_id``, ``id``, ``score``, ``place`` of the best ``k`` rows of each query; ties go to the smaller id.
+
+    ``queries``: query_id (distinct), vector, text. The score is the cosine, or with ``weights`` (text, vector) the
+    weighted share of the query's words among those of ``content`` plus the weighted cosine. A row or query without a
+    vector, with a null or no finite component, with a zero vector, or of another length than its counterpart scores
+    nothing. ``filters`` maps a column of the queries to one of the rows: where the query's value is not null, only equal
+    rows count. Queries of up to ``query_bytes`` travel with the tasks, one pass over the rows; beyond, blocks of that
+    size meet parts of the rows of ``row_bytes``. Every task sends at most ``k`` rows a query. Runs a job.
     """
-    hits = F.filter(F.array(*scores), lambda s: s["score"].isNotNull())
-    narrow = scored.select("id", F.explode(hits).alias("h")).select("id", "h.query_id", "h.score")
+    scored = _scores(rows, queries, k, vector, filters or {}, weights, query_bytes, row_bytes)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    best = narrow.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-    return df.join(best, "id")
-
-
-def _scored(query: Query, score: Column) -> Column:
-    return F.struct(F.lit(query.query_id).alias("query_id"), score.cast("double").alias("score"))
+    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def vector_top_k(df: DataFrame, queries: list[Query], k: int, vector: str = "embedding") -> DataFrame:
-    """Nearest rows by cosine similarity per query; rows without a vector are skipped."""
-    scores = [_scored(q, F.when(_company(df, q), _cosine(q.vector))) for q in queries if q.vector is not None]
-    return _best(df, _with_vector(df, vector), scores, k)
+def _company_filter(rows: DataFrame, queries: DataFrame) -> dict[str, str]:
+    return {"company_slug": "slug"} if "slug" in rows.columns and "company_slug" in queries.columns else {}
 
 
-def _company(df: DataFrame, query: Query) -> Column:
-    if query.company_slug is None or "slug" not in df.columns:
-        return F.lit(True)
-    return F.col("slug") == query.company_slug
+def vector_top_k(df: DataFrame, queries: list[Query] | DataFrame, k: int, vector: str = "embedding") -> DataFrame:
+    """Nearest rows by cosine similarity for each query, whole; rows without a vector are skipped."""
+    asked = query_table(df, queries)
+    return df.join(top_k(df, asked, k, vector, _company_filter(df, asked)), "id")
 
 
 def search_knowledge(
-    knowledge: DataFrame, queries: list[Query], k: int = 5, domain: str | None = None, category: str | None = None
+    knowledge: DataFrame, queries: list[Query] | DataFrame, k: int = 5, domain: str | None = None, category: str | None = None
 ) -> DataFrame:
-    """Nearest knowledge entries within an optional domain and category."""
+    """Nearest knowledge entries within an optional domain and category.
+
+    These may be given for all queries, or by columns ``domain`` and ``category`` of the table of queries (null: any).
+    """
     wanted = knowledge
     if domain is not None:
         wanted = wanted.filter(F.col("domain") == domain)
     if category is not None:
         wanted = wanted.filter(F.col("category") == category)
-    return vector_top_k(wanted, queries, k).withColumnRenamed("score", "similarity")
+    asked = query_table(knowledge, queries)
+    own = {c: c for c in ("domain", "category") if c in asked.columns}
+    return wanted.join(top_k(wanted, asked, k, filters=own), "id").withColumnRenamed("score", "similarity")
 
 
 def search_knowledge_text(
@@ -111,73 +341,102 @@ def search_knowledge_text(
     return wanted.filter(hit).orderBy("id").limit(k)
 
 
-def _words(content: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)[^\w]+"))
+def knowledge_texts(knowledge: DataFrame) -> DataFrame:
+    """Titles and contents as texts to search or to post (id, part, text, domain, category)."""
+    both = F.array(
+        F.struct(F.lit(0).alias("part"), F.col("title").alias("text")), F.struct(F.lit(1).alias("part"), F.col("content").alias("text"))
+    )
+    return knowledge.select("id", "domain", "category", F.explode(both).alias("t")).select("id", "t.part", "t.text", "domain", "category")
+
 
+def search_knowledge_texts(
+    knowledge: DataFrame, queries: DataFrame, k: int = 5, max_terms: int | None = None, index: DataFrame | None = None
+) -> DataFrame:
+    """``search_knowledge_text`` for a table of queries (query_id, text, domain, category; null: any), with ``place``.
 
-def _text_score(words: Column, query: str) -> Column:
-    """Share of the query's distinct words that are among the words of the content."""
-    wanted = sorted(set(query.lower().split()))
-    if not wanted:
-        return F.lit(0.0)
-    return F.size(F.array_intersect(F.array(*[F.lit(w) for w in wanted]), words)) / F.lit(float(len(wanted)))
+    ``index`` holds stored posting lists of ``knowledge_texts``. Runs jobs.
+    """
+    words = F.filter(F.split(F.replace("text", F.lit("/"), F.lit(" ")), r"(?U)\s+"), lambda w: w != "")
+    used = words if max_terms is None else F.slice(words, 1, max_terms)
+    terms = queries.select("query_id", F.explode(F.when(F.size(words) > 1, used).otherwise(F.array("text"))).alias("term"))
+    hits = matches(knowledge_texts(knowledge), terms, index, carry=("domain", "category"))
+    wanted = queries.select("query_id", F.col("domain").alias("_domain"), F.col("category").alias("_category"))
+    fits = (F.col("_domain").isNull() | (F.col("_domain") == F.col("domain"))) & (
+        F.col("_category").isNull() | (F.col("_category") == F.col("category"))
+    )
+    first = first_hits(hits.join(wanted, "query_id").filter(fits).select("query_id", "id"), k)
+    return knowledge.join(first, "id")
 
 
 def hybrid_top_k(
-    sections: DataFrame, queries: list[Query], k: int = 10, text_weight: float = 0.3, semantic_weight: float = 0.7
+    sections: DataFrame, queries: list[Query] | DataFrame, k: int = 10, text_weight: float = 0.3, semantic_weight: float = 0.7
+) -> DataFrame:
+    """Sections with a vector by weighted text and vector score, whole."""
+    asked = query_table(sections, queries)
+    return sections.join(top_k(sections, asked, k, filters=_company_filter(sections, asked), weights=(text_weight, semantic_weight)), "id")
+
+
+def section_texts(sections: DataFrame) -> DataFrame:
+    """Contents as texts to search or to post (id, part, text, and slug where there is one)."""
+    own = ["slug"] if "slug" in sections.columns else []
+    return sections.select("id", F.lit(0).alias("part"), F.col("content").alias("text"), *own)
+
+
+def _text_places(sections: DataFrame, asked: DataFrame, k: int, index: DataFrame | None) -> DataFrame:
+    """``query_id``, ``id``, ``place`` of the first sections whose content contains the text of the query."""
+    company = bool(_company_filter(sections, asked))
+    hits = matches(
+        section_texts(sections), asked.select("query_id", F.col("text").alias("term")), index, carry=("slug",) if company else ()
+    )
+    if company:
+        wanted = asked.select("query_id", "company_slug")
+        hits = hits.join(wanted, "query_id").filter(F.col("company_slug").isNull() | (F.col("company_slug") == F.col("slug")))
+    return first_hits(hits.select("query_id", "id"), k)
+
+
+def text_hits(
+    sections: DataFrame, queries: list[Query] | DataFrame, k: int = 10, index: DataFrame | None = None
 ) -> DataFrame:
-    """Sections with a vector by weighted text and vector score."""
-    usable = _with_vector(sections).withColumn("_w", _words(F.col("content")))
-    scores = []
-    for q in queries:
-        if q.vector is None:
-            continue
-        both = text_weight * _text_score(F.col("_w"), q.text) + semantic_weight * _cosine(q.vector)
-        scores.append(_scored(q, F.when(_company(sections, q), both)))
-    return _best(sections, usable, scores, k)
-
-
-def text_hits(sections: DataFrame, queries: list[Query], k: int = 10) -> DataFrame:
-    """First ``k`` sections per query whose content contains the query in any case, with an excerpt."""
-    scores = []
-    for q in queries:
-        hit = F.ilike(F.col("content"), F.lit(f"%{q.text}%")) & _company(sections, q)
-        scores.append(_scored(q, F.when(hit, 0.0)))
-    hits = _best(sections, sections, scores, k)
-    shown = F.lit(None).cast("string")
-    for q in queries:
-        shown = F.when(F.col("query_id") == q.query_id, excerpt(F.col("content"), F.lit(q.text))).otherwise(shown)
-    return hits.withColumn("excerpt", shown)
+    """First ``k`` sections for each query whose content contains the query in any case, whole, with an excerpt.
+
+    ``index`` holds stored posting lists of ``section_texts``. Runs jobs.
+    """
+    asked = query_table(sections, queries)
+    places = _text_places(sections, asked, k, index)
+    whole = sections.join(places, "id").join(asked.select("query_id", F.col("text").alias("_asked")), "query_id")
+    return whole.select(
+        *sections.columns, "query_id", "place", F.lit(0.0).alias("score"), excerpt(F.col("content"), F.col("_asked")).alias("excerpt")
+    )
 
 
 def search_sections(
-    sections: DataFrame, queries: list[Query], k: int = 10, use_hybrid: bool = True, use_vector: bool = True
+    sections: DataFrame, queries: list[Query] | DataFrame, k: int = 10, use_hybrid: bool = True, use_vector: bool = True,
+    index: DataFrame | None = None, lead: int | None = 300,
 ) -> DataFrame:
-    """Hybrid search; a query without hybrid hits goes to vector search, then to text search.
+    """Hybrid search, or vector search without ``use_hybrid``; a query without a hit goes to text search.
 
-    ``sections`` carry ``slug`` when queries name a company. Stages are unioned with at most ``k`` rows per
-    query each, and the first stage with a hit stays.
+    Hybrid and vector search score the same sections, so what finds nothing in the first finds nothing in the second
+    and is not searched for again. ``sections`` carry ``slug`` when queries name a company. The hits of all stages meet
+    as narrow rows and are joined with the sections once; ``lead`` cuts the excerpt of a scored section (None: whole).
+    Runs jobs.
     """
-    with_vector = [q for q in queries if q.vector is not None]
-    stages: list[tuple[int, str, DataFrame]] = []
-    if use_hybrid and with_vector:
-        stages.append((1, "hybrid", hybrid_top_k(sections, with_vector, k)))
-    if (use_hybrid or use_vector) and with_vector:
-        stages.append((2, "semantic", vector_top_k(sections, with_vector, k)))
-    stages.append((3, "text", text_hits(sections, queries, k)))
-    parts = []
-    for stage, name, hits in stages:
-        shown = hits if "excerpt" in hits.columns else hits.withColumn("excerpt", cut(F.col("content"), 300))
-        score = F.lit(None).cast("double") if name == "text" else F.round("score", 3)
-        parts.append(shown.select(
-            "query_id", F.lit(stage).alias("stage"), F.lit(name).alias("search_type"), "place", "id", "period_id",
-            "title", "section_type", "page_number", "excerpt", score.alias("score"),
-        ))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    first = Window.partitionBy("query_id")
-    return union.withColumn("_first", F.min("stage").over(first)).filter("stage = _first").drop("_first", "stage")
+    asked = query_table(sections, queries)
+    scored = sections.limit(0).select(F.lit(0).cast(asked.schema["query_id"].dataType).alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("place"))
+    if use_hybrid or use_vector:
+        weights = (0.3, 0.7) if use_hybrid else None
+        scored = cut_lineage(top_k(sections, asked, k, filters=_company_filter(sections, asked), weights=weights))
+    rest = asked.join(scored.select("query_id").distinct(), "query_id", "left_anti")
+    texts = _text_places(sections, rest, k, index)
+    narrow = scored.withColumn("search_type", F.lit("hybrid" if use_hybrid else "semantic")).unionByName(
+        texts.select("query_id", "id", F.lit(None).cast("double").alias("score"), "place", F.lit("text").alias("search_type"))
+    )
+    whole = sections.join(narrow, "id").join(asked.select("query_id", F.col("text").alias("_asked")), "query_id")
+    head = F.col("content") if lead is None else cut(F.col("content"), lead)
+    shown = F.when(F.col("search_type") == "text", excerpt(F.col("content"), F.col("_asked"))).otherwise(head)
+    return whole.select(
+        "query_id", "search_type", "place", "id", "period_id", "title", "section_type", "page_number", shown.alias("excerpt"),
+        F.round("score", 3).alias("score"),
+    )
 
 
 def with_any_tag(knowledge: DataFrame, tags: list[str]) -> DataFrame:

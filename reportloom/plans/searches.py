@@ -133,6 +133,105 @@ def search_sections_hybrid(v: Views) -> DataFrame:
     return search.search_sections(v["section_vectors"], queries, 10).select("query_id", "search_type", "id", "place", "score")
 
 
+_NEAR = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[]))"
+_OWN = "(q.company_slug IS NULL OR q.company_slug = e.slug)"
+_SHARED = (
+    "len(list_filter(list_distinct(list_filter(string_split_regex(lower(q.words), '\\s+'), lambda w: w <> '')),"
+    " lambda w: list_contains(e.tokens, w))) / CAST(greatest(1, len(list_distinct(list_filter("
+    "string_split_regex(lower(q.words), '\\s+'), lambda w: w <> '')))) AS DOUBLE)"
+)
+_TOKENS = "(SELECT *, string_split_regex(lower(content), '[^\\pL\\pN\\pM_]+') AS tokens FROM {searchable_sections})"
+_HELD = "e.content ILIKE '%' || q.term || '%' ESCAPE '\\'"
+_SHOWN = (
+    "CASE WHEN strpos(lower(e.content), lower(q.term)) = 0 THEN substring(e.content, 1, 200) || '...' ELSE '...' ||"
+    " substring(e.content, greatest(1, strpos(lower(e.content), lower(q.term)) - 100),"
+    " least(length(e.content), strpos(lower(e.content), lower(q.term)) + length(q.term) + 99)"
+    " - greatest(1, strpos(lower(e.content), lower(q.term)) - 100) + 1) || '...' END"
+)
+
+
+def _searches(v: Views, text: str) -> DataFrame:
+    """Every twentieth entry as a search of its own."""
+    return v["searches"].select("query_id", F.col(text).alias("text"), "vector", "company_slug", "domain", "category")
+
+
+@query(f"""
+SELECT query_id, id, place, round(similarity, 6) AS similarity FROM (
+  SELECT q.query_id, e.id, {_NEAR} AS similarity,
+         CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {_NEAR} DESC, e.id) AS INT) AS place
+  FROM {{knowledge}} e JOIN {{searches}} q ON q.vector IS NOT NULL AND (q.domain IS NULL OR q.domain = e.domain)
+   AND (q.category IS NULL OR q.category = e.category)) WHERE place <= 5""")
+def search_knowledge_table(v: Views) -> DataFrame:
+    """Searches as a table, each with its own domain and category."""
+    hits = search.search_knowledge(v["knowledge"], _searches(v, "words"), 5)
+    return hits.select("query_id", "id", "place", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""
+SELECT query_id, id, place, round(score, 6) AS score FROM (
+  SELECT q.query_id, e.id, {_NEAR} AS score,
+         CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {_NEAR} DESC, e.id) AS INT) AS place
+  FROM {{searchable_sections}} e JOIN {{searches}} q ON {_OWN} AND e.embedding IS NOT NULL AND q.vector IS NOT NULL)
+WHERE place <= 10""")
+def semantic_sections_table(v: Views) -> DataFrame:
+    hits = search.vector_top_k(v["searchable_sections"], _searches(v, "words"), 10)
+    return hits.select("query_id", "id", "place", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+SELECT query_id, id, place, round(score, 6) AS score FROM (
+  SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place FROM (
+    SELECT q.query_id, e.id, 0.3 * ({_SHARED}) + 0.7 * {_NEAR} AS score
+    FROM {_TOKENS} e JOIN {{searches}} q ON {_OWN} AND e.embedding IS NOT NULL AND q.vector IS NOT NULL)) WHERE place <= 10""")
+def hybrid_sections_table(v: Views) -> DataFrame:
+    hits = search.hybrid_top_k(v["searchable_sections"], _searches(v, "words"), 10)
+    return hits.select("query_id", "id", "place", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+SELECT query_id, id, place, md5(excerpt) AS excerpt FROM (
+  SELECT q.query_id, e.id, {_SHOWN} AS excerpt,
+         CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY e.id) AS INT) AS place
+  FROM {{searchable_sections}} e JOIN {{searches}} q ON {_OWN} AND {_HELD}) WHERE place <= 10""")
+def text_hits_table(v: Views) -> DataFrame:
+    hits = search.text_hits(v["searchable_sections"], _searches(v, "term"), 10)
+    return hits.select("query_id", "id", "place", F.md5("excerpt").alias("excerpt"))
+
+
+@query(f"""
+SELECT query_id, id, title FROM (
+  SELECT q.query_id, e.id, e.title, row_number() OVER (PARTITION BY q.query_id ORDER BY e.id) AS place
+  FROM {{knowledge}} e JOIN (SELECT *, list_filter(string_split_regex(replace(entry_text, '/', ' '), '\\s+'), lambda w: w <> '') AS terms
+                            FROM {{searches}}) q
+    ON (q.domain IS NULL OR q.domain = e.domain) AND (q.category IS NULL OR q.category = e.category)
+   AND len(list_filter(CASE WHEN len(q.terms) > 1 THEN q.terms ELSE [q.entry_text] END, lambda t:
+        e.title ILIKE '%' || t || '%' ESCAPE '\\' OR e.content ILIKE '%' || t || '%' ESCAPE '\\')) > 0) WHERE place <= 20""")
+def search_knowledge_texts(v: Views) -> DataFrame:
+    hits = search.search_knowledge_texts(v["knowledge"], _searches(v, "entry_text"), 20)
+    return hits.select("query_id", "id", "title")
+
+
+@query(f"""
+SELECT * FROM (WITH scored AS (
+  SELECT q.query_id, e.id, e.content, 0.3 * ({_SHARED}) + 0.7 * {_NEAR} AS score
+  FROM {_TOKENS} e JOIN (SELECT *, term AS words FROM (SELECT * EXCLUDE words FROM {{searches}})) q
+    ON {_OWN} AND e.embedding IS NOT NULL AND q.vector IS NOT NULL
+), texts AS (
+  SELECT q.query_id, e.id, {_SHOWN} AS excerpt FROM {{searchable_sections}} e JOIN {{searches}} q ON {_OWN} AND {_HELD}
+  WHERE q.query_id NOT IN (SELECT query_id FROM scored)
+)
+SELECT query_id, search_type, id, place, round(score, 3) AS score, md5(excerpt) AS excerpt FROM (
+  SELECT query_id, 'hybrid' AS search_type, id, score, CASE WHEN length(content) > 300 THEN substring(content, 1, 300) || '...' ELSE content END AS excerpt,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place FROM scored
+  UNION ALL
+  SELECT query_id, 'text', id, NULL, excerpt, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INT) FROM texts)
+WHERE place <= 10)""")
+def search_sections_table(v: Views) -> DataFrame:
+    """The whole chain; searches without a vector go on to the texts."""
+    hits = search.search_sections(v["searchable_sections"], _searches(v, "term"), 10)
+    return hits.select("query_id", "search_type", "id", "place", "score", F.md5("excerpt").alias("excerpt"))
+
+
 @query("""
 SELECT id, length(title) + 2 + length(content) AS chars, (length(title) + 2 + length(content)) // 4 AS token_estimate
 FROM {section_vectors} WHERE embedding IS NULL""")

@@ -119,6 +119,20 @@ FLAT = {
     "section_vectors": """
         SELECT s.id, s.period_id, s.company_id, s.title, s.page_number, s.section_type, s.content, e.embedding
         FROM {sections} s LEFT JOIN {embeddings} e ON s.id = e.vec_id""",
+    "searchable_sections": """
+        SELECT s.id, s.period_id, s.company_id, s.title, s.page_number, s.section_type, s.content, s.embedding, c.slug
+        FROM {section_vectors} s JOIN {companies} c ON s.company_id = c.id""",
+    "searches": """
+        SELECT e.vec_id AS query_id, substring(d.text, 3, 30) AS words,
+               CASE e.vec_id % 80 WHEN 0 THEN substring(d.text, 4, 4) WHEN 20 THEN upper(substring(d.text, 9, 8))
+                                  WHEN 40 THEN concat('zq', CAST(e.vec_id AS STRING)) ELSE substring(d.text, 1, 2) END AS term,
+               CASE WHEN e.vec_id % 140 <> 0 THEN e.embedding END AS vector,
+               CASE WHEN e.vec_id % 220 = 0 THEN 'nobody' WHEN e.vec_id % 60 = 0 THEN c.slug END AS company_slug,
+               CASE WHEN e.vec_id % 40 = 0 THEN substring(d.text, 4, 6)
+                    ELSE concat(substring(d.text, 4, 3), '/', CAST(e.vec_id % 50 AS STRING)) END AS entry_text,
+               CASE WHEN e.vec_id % 60 = 0 THEN 'bransch' END AS domain, CASE WHEN e.vec_id % 100 = 0 THEN 'c2' END AS category
+        FROM {embeddings} e JOIN {documents} d ON e.vec_id = d.doc_id JOIN {companies} c ON c.id = e.vec_id % 25
+        WHERE e.vec_id % 20 = 0""",
     "chart_points": """
         SELECT period_id, company_id, year, quarter, month, CAST(count(*) AS BIGINT) AS value
         FROM {order_periods} GROUP BY period_id, company_id, year, quarter, month""",

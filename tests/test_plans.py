@@ -19,14 +19,20 @@ def plan(df):
 
 
 # Those of the report engine; the operators of the optional subpackage choose their own style and store steps. The
-# iterative ones run jobs while they are planned.
-LAZY = sorted(set(all_queries()) - {"statement_order", "period_matrix", "unique_sections", "unique_by_title"})
+# iterative ones run jobs while they are planned; searches multiply matrices in Arrow batches.
+ITERATIVE = {"statement_order", "period_matrix", "unique_sections", "unique_by_title"}
+SEARCHES = {
+    "search_knowledge", "search_knowledge_filtered", "search_knowledge_table", "search_knowledge_texts", "semantic_sections",
+    "semantic_sections_table", "hybrid_sections", "hybrid_sections_table", "text_hits", "text_hits_table", "search_sections",
+    "search_sections_hybrid", "search_sections_table",
+}
+LAZY = sorted(set(all_queries()) - ITERATIVE - SEARCHES)
 
 
 @pytest.mark.parametrize("name", LAZY)
 def test_stays_in_the_engine(spark, name):
     text = plan(contract.queries()[name](spark, str(DATA)))
-    for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin", "ExistingRDD"):
+    for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "CartesianProduct", "BroadcastNestedLoopJoin", "ExistingRDD"):
         assert node not in text, node
 
 
@@ -39,6 +45,13 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint,company_id:bigint,quarter:int,year:int>" in text
 
 
+@pytest.mark.parametrize("name", sorted(SEARCHES))
+def test_searches_have_no_cross_join(spark, name):
+    text = plan(contract.queries()[name](spark, str(DATA)))
+    for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in text, node
+
+
 @pytest.mark.parametrize("name", ["search_knowledge", "hybrid_sections", "text_hits", "first_unmatched_rows"])
 def test_rank_limit_before_shuffle(spark, name):
     text = plan(contract.queries()[name](spark, str(DATA)))
