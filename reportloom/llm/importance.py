@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,6 +20,7 @@ from reportloom.functions.scale import ranked
 from reportloom.llm.crc import crc32_spans
 from reportloom.session import cut_lineage
 
+_SLICE = 1 << 22
 _CODES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
 #: After lower-casing: digits, a-z, and every byte of a character beyond ASCII.
@@ -69,14 +71,24 @@ def runs_of(texts: pa.Array, max_run: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield crc32_spans(data, starts[first], starts[last] + lengths[last] - starts[first]), owner[first]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts begin within the same ``_SLICE`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // _SLICE
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, dtype=np.int64)
+    for start, stop in zip(starts, np.append(starts[1:], len(group))):
+        yield batch.slice(start, stop - start)
+
+
 def bucket_counts(docs: DataFrame, buckets: int, max_run: int, text_col: str = "text") -> np.ndarray:
     """Number of runs of all texts in each bucket. Every task adds up its own, so at most ``buckets`` rows each meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for crc, _ in runs_of(batch.column(0), max_run):
-                counts += np.bincount(crc % np.uint32(buckets), minlength=buckets)
+            for part in slices(batch, 0):
+                for crc, _ in runs_of(part.column(0), max_run):
+                    counts += np.bincount(crc % np.uint32(buckets), minlength=buckets)
         hit = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(counts[hit], pa.int64())], ["bucket", "n"])
 
@@ -97,23 +109,27 @@ def bucket_gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def _weighed(gains: np.ndarray, max_run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def weighed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.num_rows
+        words, features, total = (np.zeros(rows, dtype=np.int64) for _ in range(3))
+        for n, (crc, owner) in enumerate(runs_of(batch.column(1), max_run), 1):
+            count = np.bincount(owner, minlength=rows)
+            features += count
+            if n == 1:
+                words = count
+            so_far = np.append(0, np.cumsum(gains[crc % np.uint32(len(gains))]))
+            stop = np.cumsum(count)
+            total += so_far[stop] - so_far[stop - count]
+        weight = np.where(features > 0, total // np.maximum(features, 1), 0)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(a, pa.int64()) for a in (words, features, weight))],
+            [batch.schema.names[0], "n_words", "n_features", "weight"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.num_rows
-            words, features, total = (np.zeros(rows, dtype=np.int64) for _ in range(3))
-            for n, (crc, owner) in enumerate(runs_of(batch.column(1), max_run), 1):
-                count = np.bincount(owner, minlength=rows)
-                features += count
-                if n == 1:
-                    words = count
-                so_far = np.append(0, np.cumsum(gains[crc % np.uint32(len(gains))]))
-                stop = np.cumsum(count)
-                total += so_far[stop] - so_far[stop - count]
-            weight = np.where(features > 0, total // np.maximum(features, 1), 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(a, pa.int64()) for a in (words, features, weight))],
-                [batch.schema.names[0], "n_words", "n_features", "weight"],
-            )
+            for part in slices(batch, 1):
+                yield weighed(part)
 
     return run
 

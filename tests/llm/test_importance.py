@@ -121,3 +121,12 @@ def test_string_ids(spark):
     rows = spark.createDataFrame([(f"u{i}", "a b " * 15) for i in range(12)], "url string, body string")
     got = importance.resample(rows, rows, 50, id_col="url", text_col="body", target_col="body")
     assert sorted(r["rank"] for r in got.collect() if r["rank"]) == [1, 2, 3, 4, 5, 6]
+
+
+def test_batches_are_taken_in_slices(monkeypatch):
+    monkeypatch.setattr(importance, "_SLICE", 10)
+    texts = ["abc", None, "", "d" * 9, "ef", "g" * 50, "h", "i"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(importance.slices(batch, 1))
+    assert [t for part in parts for t in part.column(1).to_pylist()] == texts and len(parts) == 3
+    assert list(importance.slices(batch.slice(0, 0), 1)) == []
