@@ -19,6 +19,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
+def first_places(df: DataFrame, keys: list[str], order: str, count: int) -> DataFrame:
+    """The first ``count`` rows of every key by ``order`` (unique in a key); map tasks send no more than that of a key."""
+    window = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") <= count).drop("_place")
+
+
 def running_total(
     df: DataFrame, keys: list[str], position: str, values: dict[str, str], width: int = 1024
 ) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.functions.classify import mapped_table_type
 from reportloom.functions.labels import row_class, row_key
 from reportloom.functions.naming import sheet_name
-from reportloom.functions.scale import first_per_key, previous_values, ranked, running_total
+from reportloom.functions.scale import first_per_key, first_places, previous_values, ranked, running_total
 from reportloom.functions.text import strip
 from reportloom.session import cut_lineage
 from reportloom.vocabulary import (
@@ -24,76 +28,92 @@ from reportloom.vocabulary import (
 )
 
 _GROUP = ["company_id", "statement"]
-_STEP = "array<struct<a:bigint,b:bigint>>"
-
-
-def _step(a: Column, b: Column) -> Column:
-    return F.array(F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")))
+_AT_ONCE = 1 << 16  # rows of a group that one task orders by itself
 
 
-def statement_order(rows: DataFrame) -> DataFrame:
+def statement_order(rows: DataFrame, at_once: int = _AT_ONCE) -> DataFrame:
     """Order of all row names of a statement over its periods, each name once.
 
     ``rows``: company_id, statement, period_no (0 is the first period), row_no, name. The first period gives
-    the base. A row that is new later goes right after the row before it, else to the end. Inserting after a
-    row makes the new row its child, and of two children the later one comes first, so the list is the
-    preorder of a forest. Neighbouring new rows of one period form a run that is placed as one node; paths of
-    runs are joined by pointer doubling, so the number of rounds is the logarithm of the nesting depth.
-    Runs jobs; no group is gathered in one task.
+    the base. A row that is new later goes right after the row before it, else to the end. Statements of up to
+    ``at_once`` names are ordered by a task each. In larger ones, inserting after a row makes the new row its child, and of
+    two children the later one comes first, so the list is the preorder of a forest: an Euler tour of it is ranked by
+    pointer doubling, two numbers for each name, in as many rounds as the length of the tour has bits. Runs jobs.
     """
     keyed = rows.filter(F.coalesce("name", F.lit("")) != "").withColumn("row_key", row_key(F.col("name")))
-    before = previous_values(
-        keyed, [*_GROUP, "period_no"], "row_no", {"row_key": "prev_key", "row_no": "prev_no"}
-    )
-    nodes = first_per_key(
-        before.select(*_GROUP, "row_key", "period_no", "row_no", "name", "prev_key", "prev_no"),
+    before = previous_values(keyed, [*_GROUP, "period_no"], "row_no", {"row_key": "prev_key"})
+    hangs = (F.col("period_no") > 0) & (F.coalesce("prev_key", F.lit("")) != "")
+    nodes = cut_lineage(first_per_key(
+        before.select(*_GROUP, "row_key", "period_no", "row_no", F.col("name").alias("label"), F.when(hangs, F.col("prev_key")).alias("anchor")),
         [*_GROUP, "row_key"],
         ["period_no", "row_no"],
+    ))
+    sizes = nodes.groupBy(*_GROUP).agg(F.count("*").alias("names"))
+    out = f"{', '.join(f'{c} {nodes.schema[c].dataType.simpleString()}' for c in _GROUP)}, row_key string, label string, position bigint"
+    if sizes.filter(F.col("names") > at_once).isEmpty():
+        return nodes.groupBy(*_GROUP).applyInPandas(_insertion_order, out)
+    sizes = cut_lineage(sizes)
+    small = nodes.join(sizes.filter(F.col("names") <= at_once), _GROUP, "left_semi").groupBy(*_GROUP).applyInPandas(_insertion_order, out)
+    return small.unionByName(_tour_order(nodes.join(sizes.filter(F.col("names") > at_once), _GROUP, "left_semi")))
+
+
+def _insertion_order(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The names of one statement, each put after its anchor or to the end, as a linked list."""
+    nodes = nodes.sort_values(["period_no", "row_no"], kind="stable").reset_index(drop=True)
+    spot = {key: i for i, key in enumerate(nodes["row_key"])}
+    following, first, last = [-1] * len(nodes), 0, -1
+    for i, anchor in enumerate(nodes["anchor"]):
+        at = last if anchor is None or anchor != anchor else spot[anchor]
+        if at >= 0:
+            following[i], following[at] = following[at], i
+        if at == last:
+            last = i
+    order, at = [], first if len(nodes) else -1
+    while at >= 0:
+        order.append(at)
+        at = following[at]
+    placed = nodes.iloc[order].assign(position=range(1, len(order) + 1))
+    return placed[[*_GROUP, "row_key", "label", "position"]]
+
+
+def _tour_order(nodes: DataFrame) -> DataFrame:
+    """Preorder of the forest of anchors by an Euler tour: every node is entered and left, and only entering counts.
+
+    ``spot`` numbers the names of a statement by their first occurrence. The tour goes from a name to its latest child,
+    from the last child back to the parent, and from a root to the next root.
+    """
+    placed = cut_lineage(ranked(nodes, _GROUP, ["period_no", "row_no"], "spot"))
+    parents = placed.select(*_GROUP, F.col("row_key").alias("anchor"), F.col("spot").alias("parent"))
+    linked = placed.join(parents, [*_GROUP, "anchor"], "left")
+    # Children of a name from the latest to the earliest, roots from the earliest to the latest.
+    turned = linked.select(*_GROUP, "spot", "parent", F.coalesce("parent", F.lit(0)).alias("above"),
+                           F.when(F.col("parent").isNull(), F.col("spot")).otherwise(-F.col("spot")).alias("turn"))
+    siblings = cut_lineage(ranked(turned, [*_GROUP, "above"], ["turn"], "place"))
+    after = siblings.select(*_GROUP, "above", (F.col("place") - 1).alias("place"), F.col("spot").alias("next_sibling"))
+    first = siblings.filter("place = 1").select(*_GROUP, F.col("above").alias("spot"), F.col("spot").alias("first_child"))
+    known = siblings.join(after, [*_GROUP, "above", "place"], "left").join(first, [*_GROUP, "spot"], "left")
+
+    def enter(spot: str) -> Column:
+        return F.col(spot) * 2
+
+    def leave(spot: str) -> Column:
+        return F.col(spot) * 2 + 1
+
+    steps = F.array(
+        F.struct(enter("spot").alias("at"), F.coalesce(enter("first_child"), leave("spot")).alias("to"), F.lit(1).cast("bigint").alias("ahead")),
+        F.struct(leave("spot").alias("at"), F.coalesce(enter("next_sibling"), leave("parent")).alias("to"), F.lit(0).cast("bigint").alias("ahead")),
     )
-    hangs = (F.col("period_no") > 0) & (F.coalesce("prev_key", F.lit("")) != "")
-    nodes = nodes.withColumn("anchor", F.when(hangs, F.col("prev_key")))
-    spots = nodes.select(
-        *_GROUP, F.col("row_key").alias("anchor"), F.col("period_no").alias("at_period"), F.col("row_no").alias("at_row")
-    )
-    linked = nodes.join(spots, [*_GROUP, "anchor"], "left")
-    follows = (F.col("at_period") == F.col("period_no")) & (F.col("at_row") == F.col("prev_no"))
-    linked = linked.withColumn("is_head", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
-    numbered = running_total(linked, [*_GROUP, "period_no"], "row_no", {"is_head": "heads_before"})
-    placed = cut_lineage(
-        numbered.withColumn("run_no", F.col("heads_before") + F.col("is_head")).drop("heads_before", "prev_key", "prev_no")
-    )
-
-    run_key = [*_GROUP, "period_no", "run_no"]
-    heads = placed.filter("is_head = 1").select(*run_key, "row_no", "anchor", "at_row")
-    runs_of = placed.select(
-        *_GROUP, F.col("row_key").alias("anchor"), F.col("period_no").alias("up_period"), F.col("run_no").alias("up_run")
-    )
-    root_step = _step(F.col("period_no"), F.col("row_no"))
-    child_step = F.concat(
-        _step(F.lit(0), F.col("at_row")), _step(-F.col("period_no"), -F.col("row_no"))
-    )
-    paths = cut_lineage(
-        heads.join(runs_of, [*_GROUP, "anchor"], "left").select(
-            *run_key, "up_period", "up_run",
-            F.when(F.col("anchor").isNull(), root_step).otherwise(child_step).cast(_STEP).alias("path"),
-        )
+    tour = cut_lineage(known.select(*_GROUP, F.explode(steps).alias("s")).select(*_GROUP, "s.*"))
+    while not tour.filter(F.col("to").isNotNull()).isEmpty():
+        further = tour.select(*_GROUP, F.col("at").alias("to"), F.col("to").alias("_to"), F.col("ahead").alias("_ahead"))
+        tour = cut_lineage(tour.join(further, [*_GROUP, "to"], "left").select(
+            *_GROUP, "at", F.col("_to").alias("to"), (F.col("ahead") + F.coalesce("_ahead", F.lit(0))).alias("ahead")
+        ))
+    entered = tour.filter(F.col("at") % 2 == 0).select(*_GROUP, F.expr("at div 2").alias("spot"), "ahead")
+    totals = placed.groupBy(*_GROUP).agg(F.count("*").alias("names"))
+    return placed.join(entered, [*_GROUP, "spot"]).join(totals, _GROUP).select(
+        *_GROUP, "row_key", "label", (F.col("names") - F.col("ahead") + 1).alias("position")
     )
-    while not paths.filter(F.col("up_run").isNotNull()).isEmpty():
-        upper = paths.select(
-            *_GROUP, F.col("period_no").alias("up_period"), F.col("run_no").alias("up_run"),
-            F.col("up_period").alias("next_period"), F.col("up_run").alias("next_run"), F.col("path").alias("up_path"),
-        )
-        joined = paths.join(upper, [*_GROUP, "up_period", "up_run"], "left")
-        paths = cut_lineage(
-            joined.select(
-                *run_key, F.col("next_period").alias("up_period"), F.col("next_run").alias("up_run"),
-                F.concat(F.coalesce("up_path", F.array().cast(_STEP)), "path").alias("path"),
-            )
-        )
-    full = placed.join(paths.select(*run_key, "path"), run_key)
-    spot = F.concat("path", _step(F.lit(0), F.col("row_no")))
-    out = full.select(*_GROUP, "row_key", F.col("name").alias("label"), spot.alias("path"))
-    return ranked(out, _GROUP, ["path"], "position").drop("path")
 
 
 def period_matrix(rows: DataFrame, order: DataFrame) -> DataFrame:
@@ -195,18 +215,23 @@ def _first_sentence(content: Column) -> Column:
     return F.replace(F.lower(F.substring(F.get(long, F.lit(0)), 1, 100)), F.lit(" "), F.lit(""))
 
 
-def unique_sections(sections: DataFrame) -> DataFrame:
+_BLOCK_WEIGHT = 1 << 18  # sections and bullets that one task settles in a round
+_BY_SECTION = ["company_id", "section_no"]
+
+
+def unique_sections(sections: DataFrame, block_weight: int = _BLOCK_WEIGHT) -> DataFrame:
     """Sections a databook keeps: no earlier kept section has the same title or the same content.
 
     ``sections``: company_id, section_no (order of the company's sections over its periods), title, page, content.
     Contents are the same when they share their first sentence, or min(3, bullets of either) bullets, which is
-    the rule "three in common, or over 70 % of the smaller set". Both conditions are equalities of keys
-    (sentence, bullet pairs and triples), so conflicts are found by grouping, never by comparing pairs. Copies are
-    folded to their first before anything else. Greedy choice runs in rounds: a section without an earlier open
-    rival is kept, its rivals are dropped. Runs jobs.
+    the rule "three in common, or over 70 % of the smaller set". Copies are folded to their first. Then a task for each
+    company settles its earliest sections, up to ``block_weight`` sections and bullets; mostly that is all. What is
+    left of larger companies loses the rivals of the kept ones, which are found through an index of rare bullets; those
+    without any possible earlier rival are kept at once, and the next block follows. Rounds follow the size of what is
+    left over the size of a block, not the length of a chain of rivals. Runs jobs.
     """
     described = sections.filter(F.coalesce("title", F.lit("")) != "").select(
-        "company_id", "section_no", "title", F.coalesce("page", F.lit(999)).alias("page"),
+        *_BY_SECTION, "title", F.coalesce("page", F.lit(999)).alias("page"),
         _bullets(F.coalesce("content", F.lit(""))).alias("bullets"),
         F.coalesce(_first_sentence(F.coalesce("content", F.lit(""))), F.lit("")).alias("sentence"),
     )
@@ -215,100 +240,194 @@ def unique_sections(sections: DataFrame) -> DataFrame:
             F.min("section_no").alias("section_no"), F.min_by("page", "section_no").alias("page")
         )
     )
-    keys = cut_lineage(_conflict_keys(folded))
-    left = folded.select("company_id", "section_no")
-    kept: list[DataFrame] = []
-    while not left.isEmpty():
-        open_keys = keys.join(left, ["company_id", "section_no"], "left_semi")
-        firsts = open_keys.groupBy("company_id", "key").agg(
-            F.min(F.when(F.col("owner"), F.col("section_no"))).alias("first_owner"), F.min("section_no").alias("first_any")
-        )
-        # An owner of a key conflicts with everyone under it, the others only with owners.
-        faced = open_keys.join(firsts, ["company_id", "key"])
-        rival = F.when(F.col("owner"), F.col("first_any")).otherwise(F.col("first_owner"))
-        blocked = faced.filter(rival < F.col("section_no")).select("company_id", "section_no").distinct()
-        chosen = cut_lineage(left.join(blocked, ["company_id", "section_no"], "left_anti"))
-        kept.append(chosen)
-        won = open_keys.join(chosen, ["company_id", "section_no"], "left_semi").groupBy("company_id", "key").agg(
-            F.max("owner").alias("by_owner")
-        )
-        lost = open_keys.join(won, ["company_id", "key"]).filter(F.col("owner") | F.col("by_owner")).select(
-            "company_id", "section_no"
-        ).distinct()
-        left = cut_lineage(left.join(lost, ["company_id", "section_no"], "left_anti").join(
-            chosen, ["company_id", "section_no"], "left_anti"))
-    result = folded.limit(0).select("company_id", "section_no")
-    for part in kept:
-        result = result.unionByName(part)
-    return result.join(folded.select("company_id", "section_no", "title", "page"), ["company_id", "section_no"])
-
-
-def _conflict_keys(folded: DataFrame) -> DataFrame:
-    """Keys two sections share exactly when they conflict; ``owner`` marks those who conflict with all under the key."""
-    base = ["company_id", "section_no"]
-
-    def whole(kind: str, value: str) -> DataFrame:
-        return folded.filter(F.col(value) != "").select(
-            *base, F.concat(F.lit(kind), F.sha2(value, 256)).alias("key"), F.lit(True).alias("owner")
-        )
+    left = cut_lineage(_rarest_first(folded))
+    kept, index = [], None
+    while True:
+        settled = cut_lineage(_settled_blocks(left, block_weight))
+        kept.append(settled.filter("kept").select(*_BY_SECTION))
+        rest = left.join(settled, _BY_SECTION, "left_anti")
+        if rest.isEmpty():
+            break
+        index = cut_lineage(_bullet_index(left)) if index is None else index
+        left = cut_lineage(_without_rivals(rest, left.join(kept[-1], _BY_SECTION, "left_semi"), index))
+        free = cut_lineage(_without_earlier(left, index))
+        kept.append(free.select(*_BY_SECTION))
+        left = cut_lineage(_without_rivals(left.join(free, _BY_SECTION, "left_anti"), free, index))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, kept).join(folded.select(*_BY_SECTION, "title", "page"), _BY_SECTION)
+
+
+def _rarest_first(folded: DataFrame) -> DataFrame:
+    """Sections with their bullets from the rarest in the company to the most frequent, and ``n``, how many."""
+    flat = folded.select(*_BY_SECTION, F.explode("bullets").alias("bullet"))
+    uses = flat.groupBy("company_id", "bullet").agg(F.count("*").alias("uses"))
+    ordered = flat.join(uses, ["company_id", "bullet"]).groupBy(*_BY_SECTION).agg(
+        F.array_sort(F.collect_list(F.struct("uses", "bullet"))).alias("by_uses")
+    )
+    none = F.array().cast("array<struct<uses:bigint,bullet:string>>")
+    return folded.drop("bullets").join(ordered, _BY_SECTION, "left").withColumn(
+        "by_uses", F.coalesce("by_uses", none)
+    ).select(
+        *_BY_SECTION, "title", "sentence", F.transform("by_uses", lambda b: b["bullet"]).alias("bullets"),
+        F.size(F.filter("by_uses", lambda b: b["uses"] == 1)).alias("alone"), F.size("by_uses").alias("n"),
+    )
 
-    flat = folded.filter(F.size("bullets") > 0).select(*base, "bullets", F.size("bullets").alias("n"))
-    # A bullet that occurs in one section only is shared with nobody.
-    flat = flat.withColumn("bullet", F.explode("bullets")).drop("bullets")
-    common = flat.groupBy("company_id", "bullet").agg(F.count("*").alias("uses")).filter("uses > 1").drop("uses")
-    shared = flat.join(common, ["company_id", "bullet"])
-    grouped = shared.groupBy(*base, "n").agg(F.sort_array(F.collect_list("bullet")).alias("bs"))
-    one = grouped.select(*base, "n", "bs", F.posexplode("bs").alias("i", "x"))
-    two = one.select(*base, "n", "bs", "x", F.col("i").alias("i"), F.explode(
-        F.transform("bs", lambda b, j: F.struct(j.alias("j"), b.alias("y")))).alias("p")
-    ).filter(F.col("p.j") > F.col("i"))
-    three = two.filter("n >= 3").select(*base, "n", "x", F.col("p.y").alias("y"), F.col("p.j").alias("j"), F.explode(
-        F.transform("bs", lambda b, k: F.struct(k.alias("k"), b.alias("z")))).alias("q")
-    ).filter(F.col("q.k") > F.col("j"))
-
-    def hashed(kind: str, *parts: str) -> Column:
-        return F.concat(F.lit(kind), F.sha2(F.concat_ws("\n", *parts), 256)).alias("key")
-
-    singles = one.select(*base, hashed("b1:", "x"), (F.col("n") == 1).alias("owner"))
-    pairs = two.filter("n >= 2").select(*base, hashed("b2:", "x", "p.y"), (F.col("n") == 2).alias("owner"))
-    triples = three.select(*base, hashed("b3:", "x", "y", "q.z"), F.lit(True).alias("owner"))
-    return (
-        whole("t:", "title").unionByName(whole("s:", "sentence")).unionByName(singles).unionByName(pairs)
-        .unionByName(triples)
+
+def _settled_blocks(left: DataFrame, block_weight: int) -> DataFrame:
+    """The earliest open sections of each company with the decision on them (company_id, section_no, kept)."""
+    weighed = left.withColumn("weight", F.col("n").cast("bigint") + 1)
+    blocks = running_total(weighed, ["company_id"], "section_no", {"weight": "before"}).filter(F.col("before") < block_weight)
+    types = {c: left.schema[c].dataType.simpleString() for c in _BY_SECTION}
+    return blocks.groupBy("company_id").applyInPandas(
+        _first_wins, f"company_id {types['company_id']}, section_no {types['section_no']}, kept boolean"
+    )
+
+
+def _same_bullets(a: frozenset[str], b: frozenset[str]) -> bool:
+    return len(a & b) >= min(3, len(a), len(b)) > 0
+
+
+def _first_wins(block: pd.DataFrame) -> pd.DataFrame:
+    """Greedy choice over the sections of one block in order.
+
+    Two sections of three bullets or more that share three also share one of all but their two most frequent ones; one
+    with fewer shares its rarest.
+    """
+    block = block.sort_values("section_no")
+    titles: set[str] = set()
+    sentences: set[str] = set()
+    rare, small, anywhere = defaultdict(list), defaultdict(list), defaultdict(list)
+    kept: list[bool] = []
+    for title, sentence, bullets in zip(block["title"], block["sentence"], block["bullets"]):
+        own, ordered = frozenset(bullets), list(bullets)
+        seen = title in titles or (sentence != "" and sentence in sentences)
+        if not seen and ordered:
+            probes = [(rare, ordered[:-2]), (small, ordered)] if len(ordered) >= 3 else [(small, ordered), (anywhere, ordered[:1])]
+            met = {id(other): other for index, keys in probes for key in keys for other in index.get(key, ())}
+            seen = any(_same_bullets(own, other) for other in met.values())
+        kept.append(not seen)
+        if seen:
+            continue
+        titles.add(title)
+        sentences.add(sentence)
+        for key in ordered:
+            anywhere[key].append(own)
+        for key in ordered[:-2] if len(ordered) >= 3 else ordered[:1]:
+            (rare if len(ordered) >= 3 else small)[key].append(own)
+    return block[_BY_SECTION].assign(kept=kept)
+
+
+def _bullet_index(sections: DataFrame) -> DataFrame:
+    """Bullets that occur elsewhere too, and how they are looked up.
+
+    ``rare``: of a section of three or more, not among its two most frequent; ``small``: the rarest one of a section of
+    fewer. Rivals meet under a bullet that is rare in both or small in one of them.
+    """
+    return sections.select(*_BY_SECTION, "n", "alone", F.posexplode("bullets").alias("i", "bullet")).filter(
+        F.col("i") >= F.col("alone")
+    ).select(
+        *_BY_SECTION, "bullet", ((F.col("n") >= 3) & (F.col("i") < F.col("n") - 2)).alias("rare"),
+        ((F.col("n") < 3) & (F.col("i") == 0)).alias("small"),
     )
 
 
-def unique_by_title(sections: DataFrame, threshold: float = 0.8) -> DataFrame:
+def _without_rivals(rest: DataFrame, kept: DataFrame, index: DataFrame) -> DataFrame:
+    """``rest`` without the sections of a title, sentence or bullets of ``kept``."""
+    left = rest.join(kept.select("company_id", "title").distinct(), ["company_id", "title"], "left_anti")
+    said = kept.filter("sentence <> ''").select("company_id", "sentence").distinct()
+    left = cut_lineage(left.join(said, ["company_id", "sentence"], "left_anti"))
+    winners = index.join(kept, _BY_SECTION, "left_semi").select(
+        "company_id", "bullet", F.col("section_no").alias("kept_no"), F.col("rare").alias("kept_rare"), F.col("small").alias("kept_small")
+    )
+    met = index.join(left, _BY_SECTION, "left_semi").join(winners, ["company_id", "bullet"]).filter(
+        (F.col("rare") & F.col("kept_rare")) | F.col("small") | F.col("kept_small")
+    ).select(*_BY_SECTION, "kept_no").distinct()
+    theirs = kept.select("company_id", F.col("section_no").alias("kept_no"), F.col("bullets").alias("kept_bullets"))
+    shared = F.size(F.array_intersect("bullets", "kept_bullets"))
+    lost = met.join(left.select(*_BY_SECTION, "bullets"), _BY_SECTION).join(theirs, ["company_id", "kept_no"]).filter(
+        shared >= F.least(F.lit(3), F.size("bullets"), F.size("kept_bullets"))
+    ).select(*_BY_SECTION).distinct()
+    return left.join(lost, _BY_SECTION, "left_anti")
+
+
+def _without_earlier(left: DataFrame, index: DataFrame) -> DataFrame:
+    """Sections that no earlier open one can be a rival of."""
+    number = F.col("section_no")
+
+    def later(key: str) -> DataFrame:
+        firsts = left.groupBy("company_id", key).agg(F.min("section_no").alias("first"))
+        used = left.filter(F.col(key) != "").select(*_BY_SECTION, key)
+        return used.join(firsts, ["company_id", key]).filter(F.col("first") < number).select(*_BY_SECTION)
+
+    entries = index.join(left, _BY_SECTION, "left_semi")
+    firsts = entries.groupBy("company_id", "bullet").agg(
+        F.min(F.when(F.col("rare"), number)).alias("first_rare"), F.min(F.when(F.col("small"), number)).alias("first_small"),
+        F.min(number).alias("first"),
+    )
+    behind = entries.join(firsts, ["company_id", "bullet"]).filter(
+        (F.col("rare") & (F.col("first_rare") < number)) | (F.col("first_small") < number) | (F.col("small") & (F.col("first") < number))
+    ).select(*_BY_SECTION)
+    blocked = later("title").unionByName(later("sentence")).unionByName(behind).distinct()
+    return left.join(blocked, _BY_SECTION, "left_anti")
+
+
+def unique_by_title(sections: DataFrame, threshold: float = 0.8, block: int = 256) -> DataFrame:
     """Sections of a title without near copies among the earlier kept ones.
 
     ``sections``: company_id, title, section_no, content. Two texts are near copies when over ``threshold`` of
-    the first one's leading characters occur in the other. Equal leads are folded first; then every round keeps
-    the earliest open text of each title and drops what it covers, so work per round is linear in what is left.
-    Runs jobs.
+    the first one's leading characters occur in the other. Only how often a lead has each character matters, so leads of
+    the same characters are folded to their first. Then every round settles the ``block`` earliest open leads of each
+    title in a task, and the rest meets the kept ones of the block as one row of its title. Runs jobs.
     """
     lead = F.replace(F.lower(F.substring(F.coalesce("content", F.lit("")), 1, 200)), F.lit(" "), F.lit(""))
-    leads = sections.select("company_id", "title", "section_no", lead.alias("lead"))
-    empty = leads.filter(F.col("lead") == "").select("company_id", "title", "section_no")
+    leads = sections.select(*_BY_TITLE, "section_no", F.array_join(F.array_sort(F.split(lead, "")), "").alias("lead"))
+    if threshold >= 1:  # nothing is a near copy
+        return leads.select(*_BY_TITLE, "section_no")
+    empty = leads.filter(F.col("lead") == "").select(*_BY_TITLE, "section_no")
     left = cut_lineage(
-        leads.filter(F.col("lead") != "").groupBy("company_id", "title", "lead").agg(F.min("section_no").alias("section_no"))
+        leads.filter(F.col("lead") != "").groupBy(*_BY_TITLE, "lead").agg(F.min("section_no").alias("section_no"))
     )
+    schema = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in (*_BY_TITLE, "section_no", "lead")) + ", kept boolean"
     kept = [empty]
     while not left.isEmpty():
-        chosen = cut_lineage(left.groupBy("company_id", "title").agg(
-            F.min("section_no").alias("kept_no"), F.min_by("lead", "section_no").alias("kept_lead")
+        earliest = first_places(left, _BY_TITLE, "section_no", block)
+        settled = cut_lineage(earliest.groupBy(*_BY_TITLE).applyInPandas(_uncovered(threshold), schema))
+        kept.append(settled.filter("kept").select(*_BY_TITLE, "section_no"))
+        # One row for each title, of at most ``block`` leads; stored, so that a frequent title can be split in the join.
+        covers = cut_lineage(settled.groupBy(*_BY_TITLE).agg(
+            F.max("section_no").alias("done"),
+            F.collect_list(F.when(F.col("kept"), F.struct(F.array_join(F.array_distinct(F.split("lead", "")), "").alias("has"), F.length("lead").alias("size")))).alias("covers"),
         ))
-        kept.append(chosen.select("company_id", "title", F.col("kept_no").alias("section_no")))
-        common = F.size(F.filter(F.split("lead", ""), lambda c: F.contains(F.col("kept_lead"), c)))
-        share = common / F.greatest(F.length("lead"), F.length("kept_lead"))
+        signs = F.split("lead", "")
+        covered = F.exists("covers", lambda k: F.size(F.filter(signs, lambda c: F.contains(k["has"], c))) > threshold * F.greatest(F.length("lead"), k["size"]))
         left = cut_lineage(
-            left.join(chosen, ["company_id", "title"])
-            .filter((F.col("section_no") != F.col("kept_no")) & (share <= threshold))
-            .select("company_id", "title", "lead", "section_no")
+            left.join(covers, _BY_TITLE).filter((F.col("section_no") > F.col("done")) & ~covered).select(*_BY_TITLE, "lead", "section_no")
         )
-    out = kept[0]
-    for part in kept[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, kept)
+
+
+_BY_TITLE = ["company_id", "title"]
+
+
+def _uncovered(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Greedy choice over the leads of one title in order."""
+
+    def choose(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("section_no")
+        chosen: list[tuple[set[str], int]] = []
+        kept = []
+        for lead in block["lead"]:
+            counts = Counter(lead)
+            stays = not any(
+                sum(n for c, n in counts.items() if c in has) > threshold * max(len(lead), size) for has, size in chosen
+            )
+            kept.append(stays)
+            if stays:
+                chosen.append((set(counts), len(lead)))
+        return block[[*_BY_TITLE, "section_no", "lead"]].assign(kept=kept)
+
+    return choose
 
 
 def chart_rows(charts: DataFrame) -> DataFrame:

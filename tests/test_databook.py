@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from reportloom.functions.scale import previous_values, ranked, running_total
@@ -27,13 +29,13 @@ def by_hand_order(periods):
     return names
 
 
-def ordered(spark, groups):
+def ordered(spark, groups, **limits):
     rows = [
         (company, "s", p, r, name)
         for company, periods in groups.items() for p, names in enumerate(periods) for r, name in enumerate(names)
     ]
     df = spark.createDataFrame(rows, "company_id int, statement string, period_no int, row_no int, name string")
-    out = databook.statement_order(df).orderBy("company_id", "position").collect()
+    out = databook.statement_order(df, **limits).orderBy("company_id", "position").collect()
     return {c: [r["label"] for r in out if r["company_id"] == c] for c in groups}
 
 
@@ -52,9 +54,26 @@ def test_statement_order(spark):
         ]
     want = {c: by_hand_order(p) for c, p in groups.items()}
     assert ordered(spark, groups) == want
+    assert ordered(spark, groups, at_once=0) == want and ordered(spark, groups, at_once=9) == want
     assert want[0] == ["A", "X", "B", "C"] and want[1] == ["A", "X", "B", "C", "Z"]
 
 
+@pytest.mark.parametrize("kind", ["line", "turned"])
+def test_a_long_chain_is_ranked_in_few_rounds(spark, monkeypatch, kind):
+    """Every name hangs on the one before it, as deep as a forest can be."""
+    count = 20_000
+    if kind == "line":  # the second period goes down from the first row
+        periods = [["n0"], [f"n{i}" for i in range(count)]]
+    else:  # each period puts a name right after the same row
+        periods = [["n0"]] + [["n0", f"n{i}"] for i in range(1, 300)]
+    stored = []
+    cut = databook.cut_lineage
+    monkeypatch.setattr(databook, "cut_lineage", lambda df: stored.append(1) or cut(df))
+    want = by_hand_order(periods)
+    assert ordered(spark, {1: periods}, at_once=100)[1] == want
+    assert len(stored) < 25
+
+
 def test_every_row_once(spark):
     out = ordered(spark, {0: [["A", "B"], ["b", "A", "C (MSEK)"], ["c"]]})
     assert [x.lower() for x in out[0]] == ["a", "c (msek)", "b"] or sorted(x.lower() for x in out[0]) == ["a", "b", "c (msek)"]
@@ -82,6 +101,47 @@ def same_content(a, b):
     return bool(sentence(a)) and sentence(a) == sentence(b)
 
 
+def first_wins(rows):
+    want, titles, contents = set(), {}, {}
+    for company, number, title, _, content in sorted(rows, key=lambda r: r[:2]):
+        if any(same_content(content, c) for c in contents.setdefault(company, [])):
+            continue
+        if title and title not in titles.setdefault(company, set()):
+            titles[company].add(title)
+            contents[company].append(content)
+            want.add((company, number))
+    return want
+
+
+def unique(spark, rows, **limits):
+    df = spark.createDataFrame(rows, "company_id int, section_no int, title string, page int, content string")
+    return {(r["company_id"], r["section_no"]) for r in databook.unique_sections(df, **limits).collect()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_unique_sections_over_several_blocks(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for company in range(6):
+        for number in range(80):
+            picked = draw.sample(range(24), draw.choice([0, 1, 1, 2, 2, 3, 4, 6, 9]))
+            lead = f"Mening {draw.randint(0, 40)} som är lång nog för att räknas som en mening i texten."
+            lines = [f"• punkt {i * i}" for i in picked] + ([lead] if draw.random() < 0.4 else [])
+            rows.append((company, number * 3, f"t{draw.randint(0, 120)}", number % 9, "\n".join(lines)))
+    want = first_wins(rows)
+    assert unique(spark, rows, block_weight=60) == want == unique(spark, rows)
+
+
+def test_a_chain_of_sections_and_many_shared_bullets(spark):
+    """Each section is the rival of the next one only; two more share a thousand bullets."""
+    rows = [(1, i, f"t{i}", 1, f"• länk {i}\n• länk {i + 1}\n• a{i // 2}\n• b{(i + 1) // 2}\n• c{i // 2}\n• d{(i + 1) // 2}\n• e{i // 2}\n• f{(i + 1) // 2}") for i in range(3000)]
+    shared = "\n".join(f"• gemensam punkt {i}" for i in range(1000))
+    rows += [(2, 1, "first", 1, shared), (2, 2, "second", 1, shared + "\n• egen"), (2, 3, "third", 1, "• gemensam punkt 7\n• ny"), (2, 4, "fourth", 1, "• gemensam punkt 7")]
+    want = {(1, i) for i in range(0, 3000, 2)} | {(2, 1), (2, 3)}
+    assert unique(spark, rows) == want
+    assert unique(spark, rows, block_weight=9000) == want
+
+
 def test_unique_sections(spark):
     draw = random.Random(3)
     rows = []
@@ -126,8 +186,10 @@ def test_unique_by_title(spark):
             group.append(content)
             want.add((company, number))
     df = spark.createDataFrame(rows, "company_id int, title string, section_no int, content string")
-    got = {(r["company_id"], r["section_no"]) for r in databook.unique_by_title(df).collect()}
-    assert got == want
+    for limits in ({}, {"block": 1}, {"block": 3}):
+        got = {(r["company_id"], r["section_no"]) for r in databook.unique_by_title(df, **limits).collect()}
+        assert got == want, limits
+    assert databook.unique_by_title(df, threshold=1.0).count() == len(rows)
 
 
 def test_table_dump(spark):
