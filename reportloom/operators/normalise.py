@@ -100,11 +100,10 @@ def parse_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def file_plan(files: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """Rename plan for report files (folder, name, text of the first pages).
+def named_files(files: DataFrame) -> DataFrame:
+    """Company, period, language and canonical name of each report file (folder, name, text of the first pages).
 
-    Action: keep (already canonical), rename, collision (the new name is taken or wanted twice), or failed. ``others``
-    (folder, name) are further names that are taken.
+    ``settled``: keep (already canonical) or failed (no name found); null where the file is to be renamed.
     """
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
     facts = F.struct(
@@ -119,20 +118,31 @@ def file_plan(files: DataFrame, others: DataFrame | None = None) -> DataFrame:
         "folder", "name", "canonical", "company", "p.quarter", "p.year", "language",
         naming.report_file_name(F.col("company"), F.col("p.year"), F.col("p.quarter"), F.col("language")).alias("new_name"),
     )
+    settled = F.when(F.col("canonical"), "keep").when(F.col("new_name").isNull(), "failed").when(
+        F.col("new_name") == F.col("name"), "keep"
+    )
+    return named.withColumn("settled", settled)
+
+
+def file_plan(files: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Rename plan for report files (folder, name, text of the first pages).
+
+    Action: keep (already canonical), rename, collision (the new name is taken or wanted twice), or failed. ``others``
+    (folder, name) are further names that are taken.
+    """
+    named = named_files(files)
     # Counts by aggregation, not by a window: a folder or name with very many files is reduced on the map side.
     moving = named.filter(~F.col("canonical") & F.col("new_name").isNotNull())
     wanted = moving.groupBy("folder", "new_name").agg(F.count("*").alias("_wanted"))
     names = files.select("folder", "name")
     names = names if others is None else names.union(others.select("folder", "name"))
     taken = names.select("folder", F.col("name").alias("new_name"), F.lit(True).alias("_taken")).distinct()
-    action = (
-        F.when(F.col("canonical"), "keep").when(F.col("new_name").isNull(), "failed")
-        .when(F.col("new_name") == F.col("name"), "keep")
-        .when((F.col("_wanted") > 1) | F.col("_taken").isNotNull(), "collision").otherwise("rename")
+    action = F.coalesce(
+        "settled", F.when((F.col("_wanted") > 1) | F.col("_taken").isNotNull(), "collision").otherwise("rename")
     )
     return (
         named.join(wanted, ["folder", "new_name"], "left").join(taken, ["folder", "new_name"], "left")
-        .withColumn("action", action).drop("_wanted", "_taken")
+        .withColumn("action", action).drop("_wanted", "_taken", "settled")
     )
 
 

@@ -29,6 +29,8 @@ from reportloom.sources.payloads import (
 )
 
 _PARTITION = ["year", "quarter"]
+#: Last batch of each stream of vectors that a stored period has counted.
+_COUNTED, _COUNTED_TYPE = "vector_batches", "map<string,bigint>"
 MANDATORY = ["financial_data", "sections", "report_tables"]
 OPTIONAL = ["charts"]
 
@@ -73,7 +75,11 @@ def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children
     keys = cut_lineage(periods.select(F.col("id").alias("period_id"), *same))
     touched = _touched(keys)
 
+    if _COUNTED not in periods.columns:
+        periods = periods.withColumn(_COUNTED, F.lit(None).cast(_COUNTED_TYPE))
     old = read_or_empty(spark, f"{root}/periods", periods.schema).filter(touched)
+    # A period that comes again keeps what it has counted, so an older batch that runs again stays without effect.
+    periods = periods.drop(_COUNTED).join(old.select("id", _COUNTED), "id", "left").select(periods.columns)
     replaced = old.join(keys.select(*same), same, "left_semi").select(F.col("id").alias("period_id"))
     gone = cut_lineage(replaced.unionByName(keys.select("period_id")).distinct())
     merged = old.join(keys.select(*same), same, "left_anti").unionByName(periods)
@@ -133,5 +139,38 @@ def ingest(spark: SparkSession, root: str, raw: DataFrame, companies: DataFrame)
     replace_periods(spark, root, periods.drop("payload"), children)
 
 
+def add_vector_counts(spark: SparkSession, root: str, counts: DataFrame, stream: str, batch: int) -> None:
+    """Adds ``embeddings_count`` (period_id) of a numbered batch to the stored periods; a batch counts once. Runs jobs.
+
+    Only the partitions of the counted periods are read whole and rewritten. Every changed row notes the batch, so a
+    run that ended between two partitions can be repeated. Periods that are not stored have no row.
+    """
+    try:
+        stored = spark.read.parquet(f"{root}/periods")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    counts = cut_lineage(counts.select("period_id", F.col("embeddings_count").cast("bigint").alias("_more")))
+    places = stored.select(F.col("id").alias("period_id"), *_PARTITION).join(counts, "period_id", "left_semi")
+    touched = _touched(places)
+    names = [*stored.columns, *([] if _COUNTED in stored.columns else [_COUNTED])]
+    types = {f.name: f.dataType.simpleString() for f in stored.schema.fields} | {_COUNTED: _COUNTED_TYPE}
+    rows = read_or_empty(spark, f"{root}/periods", ", ".join(f"`{n}` {types[n]}" for n in names)).filter(touched)
+    last = F.coalesce(F.try_element_at(_COUNTED, F.lit(stream)), F.lit(-1))
+    due = F.col("_more").isNotNull() & (last < batch)
+    others = F.map_filter(F.coalesce(_COUNTED, F.create_map().cast(_COUNTED_TYPE)), lambda name, _: name != stream)
+    noted = F.map_concat(others, F.create_map(F.lit(stream), F.lit(batch).cast("bigint")))
+    changed = {
+        "embeddings_count": F.when(due, F.coalesce("embeddings_count", F.lit(0)) + F.col("_more")).otherwise(F.col("embeddings_count")).cast(types["embeddings_count"]),
+        _COUNTED: F.when(due, noted).otherwise(F.col(_COUNTED)),
+    }
+    stage = f"{root}/_staging/{uuid.uuid4().hex}"
+    joined = rows.join(counts, rows["id"] == counts["period_id"], "left")
+    joined.select(*[changed[n].alias(n) if n in changed else F.col(n) for n in names]).write.partitionBy(*_PARTITION).parquet(f"{stage}/periods")
+    _publish(spark, f"{stage}/periods", f"{root}/periods", rows, touched)
+    _remove(spark, stage)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
