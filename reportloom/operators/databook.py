@@ -457,7 +457,8 @@ def sheet_plan(
     """Sheets of every company's databook (company_id, block, spot, tie, sheet), in order of block, spot and tie.
 
     Number sheets by table type where the company has tables, else legacy statement sheets; then charts; then
-    one text sheet per kept section (texts: company_id, section_no, title, page), first title wins a name clash. Names
+    one text sheet per kept section (texts: company_id, section_no, title, page), first title wins a name clash. Tables
+    of a type without a sheet of its own are on ``Övrigt``. Names
     are whole unless ``name_limit`` cuts them, as a spreadsheet does at 31 characters; a cut makes more names clash.
     Every source is reduced to flags per period in one pass; the flags of all sources meet in one aggregate.
     """
@@ -473,7 +474,7 @@ def sheet_plan(
 
     typed = tables.select("period_id", kind.alias("kind"))
     sources = [
-        flagged(typed, {"has_tables": F.lit(True), **{k: F.col("kind") == k for k in kinds}}),
+        flagged(typed, {"has_tables": F.lit(True), **{k: F.col("kind") == k for k in kinds}, "other": (F.col("kind") == "other") | ~F.col("kind").isin(kinds)}),
         flagged(charts, {"has_charts": F.lit(True)}),
         flagged(financial, {k: F.col("statement_type") == k for k in legacy}),
     ]

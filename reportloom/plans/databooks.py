@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from reportloom.functions.naming import SPREADSHEET_LIMIT
-from reportloom.operators import databook
+from reportloom.operators import databook, export
 from reportloom.plans.catalog import double, query
 from reportloom.plans.views import Views
 
@@ -15,9 +15,9 @@ _STATEMENT_ROWS = """
          brand_no * (1 + ((year - 1995) * 4 + quarter - 1) % 5) % 29 AS row_no, p_brand AS name, lower(p_brand) AS row_key,
          'Q' || quarter || ' ' || year AS period, CAST(value AS DOUBLE) AS value
   FROM {brand_values}"""
-_ORDERED = f"""
+_ORDER = """
   WITH RECURSIVE r AS (
-    SELECT *, lag(row_key) OVER (PARTITION BY company_id, statement, period_no ORDER BY row_no) AS prev FROM ({_STATEMENT_ROWS})),
+    SELECT *, lag(row_key) OVER (PARTITION BY company_id, statement, period_no ORDER BY row_no) AS prev FROM (%s)),
   f AS (SELECT *, CASE WHEN period_no > 0 THEN prev END AS anchor FROM (
           SELECT *, row_number() OVER (PARTITION BY company_id, statement, row_key ORDER BY period_no, row_no) AS rn FROM r)
         WHERE rn = 1),
@@ -29,6 +29,7 @@ _ORDERED = f"""
     FROM f JOIN t ON t.company_id = f.company_id AND t.statement = f.statement AND t.row_key = f.anchor)
   SELECT company_id, statement, row_key, name AS label,
          row_number() OVER (PARTITION BY company_id, statement ORDER BY path) AS position FROM t"""
+_ORDERED = _ORDER % _STATEMENT_ROWS
 
 
 def _statement_rows(v: Views) -> DataFrame:
@@ -120,18 +121,18 @@ _NUMBERED = """
                          || '• punkt 3 ' || id % 5 || chr(10) || '• punkt 4 ' || id % 7 ELSE '' END AS content
   FROM {sections}"""
 _LINES = "list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
-_DESCRIBED = f"""
+_DESCRIPTION = f"""
   SELECT company_id, section_no, title, page, row_number() OVER (PARTITION BY company_id ORDER BY section_no) AS rn,
          list_distinct(list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^[•*–-] ')),
                                                   lambda x: trim(lower(substring(x, 3, 50)))), lambda x: x <> '')) AS b,
          coalesce(replace(lower(substring(list_filter(ls, lambda x: length(x) > 50 AND regexp_matches(x, '[.•]'))[1], 1, 100)),
                           ' ', ''), '') AS s
-  FROM (SELECT *, {_LINES} AS ls FROM ({_NUMBERED})) WHERE title <> ''"""
+  FROM (SELECT *, {_LINES} AS ls FROM (%s)) WHERE title <> ''"""
 
 
-@query(f"""
+_FIRST_WINS = f"""
 SELECT company_id, section_no, title, page FROM (
-  WITH RECURSIVE d AS (SELECT *, {{{{'b': b, 's': s}}}} AS c FROM ({_DESCRIBED})),
+  WITH RECURSIVE d AS (SELECT *, {{{{'b': b, 's': s}}}} AS c FROM ({_DESCRIPTION})),
   g AS (
     SELECT company_id, rn, section_no, title, page, TRUE AS kept, [title] AS titles, [c] AS contents FROM d WHERE rn = 1
     UNION ALL
@@ -141,17 +142,20 @@ SELECT company_id, section_no, title, page FROM (
                    (len(x.b) > 0 AND len(d.b) > 0 AND len(list_intersect(x.b, d.b)) >= least(3, len(x.b), len(d.b)))
                    OR (x.s <> '' AND x.s = d.s))) = 0 AS ok
           FROM g JOIN d ON d.company_id = g.company_id AND d.rn = g.rn + 1))
-  SELECT * FROM g) WHERE kept""".replace("{{", "{").replace("}}", "}"))
+  SELECT * FROM g) WHERE kept""".replace("{{", "{").replace("}}", "}")
+
+
+@query(_FIRST_WINS % _NUMBERED)
 def unique_sections(v: Views) -> DataFrame:
     """Greedy choice over sections in order."""
     return databook.unique_sections(_company_sections(v)).select("company_id", "section_no", "title", "page")
 
 
-@query(f"""
+_BY_TITLE = """
 SELECT company_id, title, section_no FROM (
   WITH RECURSIVE d AS (
     SELECT company_id, title, section_no, replace(lower(substring(content, 1, 200)), ' ', '') AS a,
-           row_number() OVER (PARTITION BY company_id, title ORDER BY section_no) AS rn FROM ({_NUMBERED})),
+           row_number() OVER (PARTITION BY company_id, title ORDER BY section_no) AS rn FROM (%s)),
   g AS (
     SELECT company_id, title, section_no, rn, TRUE AS kept, [a] AS leads FROM d WHERE rn = 1
     UNION ALL
@@ -159,7 +163,10 @@ SELECT company_id, title, section_no FROM (
     FROM (SELECT d.*, g.leads, len(list_filter(g.leads, lambda x: x <> '' AND d.a <> '' AND
                    len(list_filter(string_split(d.a, ''), lambda c: contains(x, c))) > 0.8 * greatest(length(d.a), length(x)))) = 0 AS ok
           FROM g JOIN d ON d.company_id = g.company_id AND d.title = g.title AND d.rn = g.rn + 1))
-  SELECT * FROM g) WHERE kept""")
+  SELECT * FROM g) WHERE kept"""
+
+
+@query(_BY_TITLE % _NUMBERED)
 def unique_by_title(v: Views) -> DataFrame:
     """Greedy choice within a title."""
     return databook.unique_by_title(_company_sections(v))
@@ -234,3 +241,98 @@ def sheet_plan(v: Views) -> DataFrame:
 def short_sheet_plan(v: Views) -> DataFrame:
     """With names as short as a spreadsheet wants them."""
     return _sheets(v, SPREADSHEET_LIMIT)
+
+
+_PLACED = """
+  SELECT id AS period_id, company_id, 'Q' || quarter || ' ' || year AS period,
+         row_number() OVER (PARTITION BY company_id ORDER BY year, quarter) - 1 AS period_no FROM {periods} %s"""
+_SPOTS = (
+    "CASE sheet_type WHEN 'income_statement' THEN 1 WHEN 'balance_sheet' THEN 2 WHEN 'cash_flow' THEN 3 WHEN 'kpi' THEN 4 ELSE 6 END"
+)
+_CELL_COLUMNS = [
+    "company_id", "block", "spot", "period_no", "part_id", "row_no", "cell_no", "sheet", "period", "part", "label", "header", "number", "text"
+]
+
+
+def _export_sql(scope: str) -> str:
+    """All cells of an export; companies other than 11 have report tables."""
+    placed = _PLACED % scope
+    texts = f"""
+      SELECT p.company_id, p.period_no * 4294967296 + s.id AS section_no, s.title, s.page_number AS page, p.period, p.period_no, s.id,
+             s.content || CASE WHEN s.id % 3 = 0 THEN chr(10) || '• punkt 1 ' || s.id % 2 || chr(10) || '• punkt 2 ' || s.id % 3 || chr(10)
+                       || '• punkt 3 ' || s.id % 5 || chr(10) || '• punkt 4 ' || s.id % 7 ELSE '' END AS content
+      FROM {{sections}} s JOIN ({placed}) p ON s.period_id = p.period_id
+      WHERE p.company_id <> 11"""
+    statements = f"""
+      SELECT f.company_id, CASE statement_type WHEN 'resultatrakning' THEN 1 WHEN 'balansrakning' THEN 2 ELSE 3 END AS statement,
+             p.period_no, f.row_order AS row_no, f.row_name AS name, lower(f.row_name) AS row_key, p.period, f.value
+      FROM {{financial_data}} f JOIN ({placed}) p ON f.period_id = p.period_id WHERE f.company_id = 11"""
+    return f"""
+SELECT * FROM (WITH texts AS ({texts}), kept AS ({_FIRST_WINS % "SELECT * FROM texts"}),
+named AS (
+  SELECT company_id, section_no, title, coalesce(page, 999) AS page,
+         trim(regexp_replace(regexp_replace(title, '[/\\\\*?:\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g')) AS sheet FROM kept),
+sheets AS (
+  SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY company_id, sheet ORDER BY page, section_no) = 1),
+by_title AS ({_BY_TITLE % "SELECT t.* FROM texts t JOIN sheets s ON s.company_id = t.company_id AND s.title = t.title"}),
+lines AS (
+  SELECT *, row_number() OVER (PARTITION BY company_id, section_no ORDER BY n) AS seq FROM (
+    SELECT t.company_id, t.section_no, t.title, t.page, t.period, t.period_no, t.id, s.sheet, s.page AS spot,
+           generate_subscripts(string_split(t.content, chr(10)), 1) - 1 AS n, unnest(string_split(t.content, chr(10))) AS line
+    FROM texts t JOIN by_title b ON b.company_id = t.company_id AND b.section_no = t.section_no
+      JOIN sheets s ON s.company_id = t.company_id AND s.title = t.title))
+SELECT company_id, 1 AS block, spot, period_no, CAST(id AS VARCHAR) AS part_id, n AS row_no, 0 AS cell_no, sheet, period,
+       title || CASE WHEN page <> 0 THEN ' (s. ' || page || ')' ELSE '' END AS part, NULL AS label, NULL AS header, NULL AS number,
+       regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text
+FROM lines WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> ''
+UNION ALL
+SELECT DISTINCT company_id, 1, -1, NULL, NULL, NULL, NULL, '═ TEXT ═', NULL, NULL, NULL, NULL, NULL, '═ TEXT ═' FROM kept
+  WHERE company_id IN (SELECT company_id FROM {{tables}} JOIN ({placed}) USING (period_id, company_id))
+UNION ALL
+SELECT company_id, 0, {_SPOTS}, period_no, CAST(id AS VARCHAR), row_no, cell_no,
+       CASE {_SPOTS} WHEN 1 THEN 'Resultaträkning' WHEN 2 THEN 'Balansräkning' WHEN 3 THEN 'Kassaflöde' WHEN 4 THEN 'Nyckeltal' ELSE 'Övrigt' END,
+       period, table_title, label, header, NULL, value
+FROM (SELECT d.*, 0 AS cell_no FROM ({_DUMPED}) d UNION ALL
+      SELECT * EXCLUDE (n_values) REPLACE (NULL AS header, 'n' AS value), n_values, 1 FROM ({_DUMPED}) WHERE n_values = 3) c
+  JOIN (SELECT id AS table_id, period_id FROM {{tables}}) t ON t.table_id = c.id JOIN ({placed}) p ON p.period_id = t.period_id
+WHERE p.company_id <> 11
+UNION ALL
+SELECT DISTINCT company_id, 0, 0, NULL, NULL, NULL, NULL, '═ SIFFROR & GRAFER ═', NULL, NULL, NULL, NULL, NULL, '═ SIFFROR & GRAFER ═'
+  FROM {{tables}} JOIN ({placed}) USING (period_id, company_id) WHERE company_id <> 11
+UNION ALL
+SELECT company_id, 0, 100, period_no, CAST(period_id AS VARCHAR), row_number() OVER (PARTITION BY period_id ORDER BY month) - 1, 0, 'Grafer',
+       period, 'Orders ' || year, CAST(month AS VARCHAR), period || CASE WHEN quarter <> 3 THEN ' | antal' ELSE '' END
+         || CASE WHEN quarter % 2 = 0 THEN ' | Uppskattade värden' ELSE ' | Exakta värden' END, CAST(value AS DOUBLE), NULL
+FROM {{chart_points}} JOIN ({placed}) USING (period_id, company_id)
+WHERE company_id IN (SELECT company_id FROM {{tables}} JOIN ({placed}) USING (period_id, company_id) WHERE company_id <> 11)
+UNION ALL
+SELECT o.company_id, 0, o.statement, 0, NULL, o.position, r.period_no,
+       CASE o.statement WHEN 1 THEN 'Resultaträkning' WHEN 2 THEN 'Balansräkning' ELSE 'Kassaflöde' END, r.period, NULL, o.label, r.period,
+       CAST(r.value AS DOUBLE), NULL
+FROM ({_ORDER % statements}) o JOIN ({statements}) r
+  ON r.company_id = o.company_id AND r.statement = o.statement AND r.row_key = o.row_key
+UNION ALL
+SELECT DISTINCT 11, 0, 0, NULL, NULL, NULL, NULL, '═ SIFFROR ═', NULL, NULL, NULL, NULL, NULL, '═ SIFFROR ═' FROM ({statements})
+  WHERE statement < 3)"""
+
+
+def _export(v: Views, labels: list[str] | None = None) -> DataFrame:
+    """Sections stand in their period by their id; company 11 has only legacy statements."""
+    texts = _company_sections(v).select(F.col("section_no").alias("id"), "content")
+    sections = v["sections"].drop("content").join(texts, "id").withColumn("position", F.col("id"))
+    reports = export.Reports(
+        v["periods"], v["financial_data"], v["report_tables"].filter("company_id <> 11"), v["charts"], sections
+    )
+    cells = export.databook_cells(reports, labels)
+    return cells.select(*[double("number") if c == "number" else F.col(c) for c in _CELL_COLUMNS])
+
+
+@query(_export_sql(""))
+def export_cells(v: Views) -> DataFrame:
+    """Databooks of all companies over all periods."""
+    return _export(v)
+
+
+@query(_export_sql("WHERE 'Q' || quarter || ' ' || year IN ('Q2 1996', 'Q3 1996', 'Q1 1998')"))
+def export_some_periods(v: Views) -> DataFrame:
+    return _export(v, ["Q2 1996", "Q3 1996", "Q1 1998"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.naming import slug
 from reportloom.functions.periods import label_quarter, label_year
@@ -126,8 +126,9 @@ def period_rows(parsed: DataFrame, companies: DataFrame) -> DataFrame:
     """Readable payloads as period rows with their counts; of two for one period the later (seq) wins.
 
     ``parsed`` has seq and pdf_hash besides the parsed columns. Of equal seq, the smaller pdf_hash wins, then the
-    smaller digest of the text. The payload stays on the row for the child tables. A company that is not in ``companies``
-    gives no row: add ``new_companies`` first, as ``store.ingest`` does.
+    smaller digest of the text, of equal rows any one. Only these keys are compared; the winner fetches its payload by a
+    join on them, so payloads are never in the buffer of an aggregate. The payload stays on the row for the child tables.
+    A company that is not in ``companies`` gives no row: add ``new_companies`` first, as ``store.ingest`` does.
     """
     head = parsed.filter(F.col("repair").isNotNull()).select(
         "seq", "pdf_hash", "payload", F.sha2("raw", 256).alias("raw_hash"),
@@ -137,7 +138,15 @@ def period_rows(parsed: DataFrame, companies: DataFrame) -> DataFrame:
     ).filter(F.col("quarter").isNotNull())
     owned = head.join(companies.select(F.col("id").alias("company_id"), "slug"), "slug")
     keyed = owned.withColumn("id", F.sha2(F.concat_ws("|", "company_id", "year", "quarter"), 256))
-    newest = first_per_key(keyed, ["id"], [-F.col("seq"), "pdf_hash", "raw_hash"])
+    first = first_per_key(keyed.select("id", "seq", "pdf_hash", "raw_hash"), ["id"], [-F.col("seq"), "pdf_hash", "raw_hash"])
+    wins = keyed["id"].eqNullSafe(F.col("_id")) & (keyed["raw_hash"] == F.col("_raw"))
+    for column, won in (("seq", "_seq"), ("pdf_hash", "_pdf")):
+        wins &= keyed[column].eqNullSafe(F.col(won))
+    fetched = keyed.join(
+        first.select(F.col("id").alias("_id"), F.col("seq").alias("_seq"), F.col("pdf_hash").alias("_pdf"), F.col("raw_hash").alias("_raw")), wins
+    )
+    alike = Window.partitionBy("id", "seq", "pdf_hash", "raw_hash").orderBy(F.lit(0))
+    newest = fetched.withColumn("_copy", F.row_number().over(alike)).filter("_copy = 1")
     meta = F.col("payload._pipeline_info")
 
     def size(kind: str) -> Column:

@@ -20,7 +20,7 @@ def plan(df):
 
 # Those of the report engine; the operators of the optional subpackage choose their own style and store steps. The
 # iterative ones run jobs while they are planned; searches multiply matrices in Arrow batches.
-ITERATIVE = {"statement_order", "period_matrix", "unique_sections", "unique_by_title"}
+ITERATIVE = {"statement_order", "period_matrix", "unique_sections", "unique_by_title", "export_cells", "export_some_periods"}
 SEARCHES = {
     "search_knowledge", "search_knowledge_filtered", "search_knowledge_table", "search_knowledge_texts", "semantic_sections",
     "semantic_sections_table", "hybrid_sections", "hybrid_sections_table", "text_hits", "text_hits_table", "search_sections",
