@@ -36,6 +36,7 @@ def _load() -> None:
         searches,
         sources,
         statistics,
+        stored,
         windows,
     )
 

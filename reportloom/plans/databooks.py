@@ -254,9 +254,10 @@ _CELL_COLUMNS = [
 ]
 
 
-def _export_sql(scope: str) -> str:
+def export_sql(labels: list[str] | None = None) -> str:
     """All cells of an export; companies other than 11 have report tables."""
-    placed = _PLACED % scope
+    names = ", ".join(f"'{x}'" for x in labels or [])
+    placed = _PLACED % (f"WHERE 'Q' || quarter || ' ' || year IN ({names})" if labels else "")
     texts = f"""
       SELECT p.company_id, p.period_no * 4294967296 + s.id AS section_no, s.title, s.page_number AS page, p.period, p.period_no, s.id,
              s.content || CASE WHEN s.id % 3 = 0 THEN chr(10) || '• punkt 1 ' || s.id % 2 || chr(10) || '• punkt 2 ' || s.id % 3 || chr(10)
@@ -316,23 +317,26 @@ SELECT DISTINCT 11, 0, 0, NULL, NULL, NULL, NULL, '═ SIFFROR ═', NULL, NULL,
   WHERE statement < 3)"""
 
 
-def _export(v: Views, labels: list[str] | None = None) -> DataFrame:
+def export_reports(v: Views) -> export.Reports:
     """Sections stand in their period by their id; company 11 has only legacy statements."""
     texts = _company_sections(v).select(F.col("section_no").alias("id"), "content")
     sections = v["sections"].drop("content").join(texts, "id").withColumn("position", F.col("id"))
-    reports = export.Reports(
+    return export.Reports(
         v["periods"], v["financial_data"], v["report_tables"].filter("company_id <> 11"), v["charts"], sections
     )
-    cells = export.databook_cells(reports, labels)
+
+
+def _export(v: Views, labels: list[str] | None = None) -> DataFrame:
+    cells = export.databook_cells(export_reports(v), labels)
     return cells.select(*[double("number") if c == "number" else F.col(c) for c in _CELL_COLUMNS])
 
 
-@query(_export_sql(""))
+@query(export_sql())
 def export_cells(v: Views) -> DataFrame:
     """Databooks of all companies over all periods."""
     return _export(v)
 
 
-@query(_export_sql("WHERE 'Q' || quarter || ' ' || year IN ('Q2 1996', 'Q3 1996', 'Q1 1998')"))
+@query(export_sql(["Q2 1996", "Q3 1996", "Q1 1998"]))
 def export_some_periods(v: Views) -> DataFrame:
     return _export(v, ["Q2 1996", "Q3 1996", "Q1 1998"])

@@ -207,7 +207,7 @@ def company_slugs(v: Views) -> DataFrame:
     )
 
 
-@query("""
+FILE_PLAN = """
 SELECT folder, name, CASE form WHEN 0 THEN 'keep' WHEN 1 THEN CASE WHEN year < 2000 THEN 'failed' ELSE 'rename' END
                      WHEN 2 THEN CASE WHEN year < 2000 THEN 'failed' ELSE 'collision' END ELSE 'failed' END AS action,
        CASE WHEN form IN (1, 2) AND year >= 2000 THEN 'bolag-' || company_id || '-' || year || '-q' || quarter || '-sv.pdf' END AS new_name
@@ -220,9 +220,11 @@ FROM (SELECT company_id AS folder, company_id, year, quarter, form,
       JOIN (VALUES (''), (' copy')) s(s) ON p.form = 2 OR s.s = '') WHERE form <> 0
 UNION ALL
 SELECT company_id, 'bolag-' || company_id || '-' || year || '-q' || quarter || '-en.pdf', 'keep', NULL
-FROM {periods} WHERE (id + company_id) % 4 = 0""")
-def file_plan(v: Views) -> DataFrame:
-    """Rename plan of report files of four naming styles; the third has a copy, so it collides."""
+FROM {periods} WHERE (id + company_id) % 4 = 0"""
+
+
+def report_files(v: Views) -> DataFrame:
+    """Report files of four naming styles; the third has a copy, so it collides."""
     form = (F.col("id") + F.col("company_id")) % 4
     c, y, q = (F.col(n).cast("string") for n in ("company_id", "year", "quarter"))
     name = (
@@ -233,8 +235,13 @@ def file_plan(v: Views) -> DataFrame:
     )
     files = v["periods"].select(F.col("company_id").alias("folder"), name.alias("name"), F.lit("").alias("text"), form.alias("form"))
     copies = files.filter("form = 2").withColumn("name", F.regexp_replace("name", r"\.pdf$", " copy.pdf"))
-    plan = normalise.file_plan(files.unionByName(copies).drop("form"))
-    return plan.select("folder", "name", "action", "new_name")
+    return files.unionByName(copies).drop("form")
+
+
+@query(FILE_PLAN)
+def file_plan(v: Views) -> DataFrame:
+    """Rename plan of the report files."""
+    return normalise.file_plan(report_files(v)).select("folder", "name", "action", "new_name")
 
 
 @query("""
