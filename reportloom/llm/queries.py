@@ -141,11 +141,12 @@ SQL: dict[str, str] = {
         WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
             ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
         tags AS (
-            SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url LIKE '%://%'
+            SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'),
+                '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url LIKE '%://%'
         ), links AS (
             SELECT DISTINCT url, replace(target, '&amp;', '&') AS target FROM (
-                SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags
-                WHERE regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b')
+                SELECT url, regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags
+                WHERE regexp_matches(tag, '(?is)^<link\b[^>]*\srel\s*=\s*(?:canonical\b|["''][^"'']*\bcanonical\b)')
                 UNION ALL
                 SELECT url, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
                 WHERE regexp_matches(tag, '(?is)^<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b')
@@ -156,8 +157,8 @@ SQL: dict[str, str] = {
                 regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
             FROM (SELECT url FROM pages WHERE url LIKE '%://%' UNION SELECT target FROM links)
         ), nodes AS (
-            SELECT u.*, CASE WHEN u.host <> '' THEN regexp_replace(u.host, '^(www|m)\.', '')
-                     || regexp_replace(u.path, '(/index)?(\.html?)?/*$', '') END AS address,
+            SELECT u.*, CASE WHEN u.host <> '' THEN regexp_replace(u.host, '^www\.', '') || regexp_replace(u.path, '/$', '')
+                     || regexp_extract(u.url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) END AS address,
                    (SELECT max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path))
                     FROM rules r WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)) AS best
             FROM urls u

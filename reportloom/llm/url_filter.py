@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reportloom.llm.common import ascii_lower
 from reportloom.llm.components import components
+from reportloom.llm.tags import opening_tags
 from reportloom.session import cut_lineage
 
 _BROADCAST_RULES = 100_000
@@ -53,50 +56,59 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def query_of(url: Column) -> Column:
-    """After the first ``?`` that follows the host, up to ``#`` or the end; empty without one."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
+    """``?`` and what follows it after the host, up to ``#`` or the end; empty without one."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
 
 
 def canonical(url: Column) -> Column:
-    """The URL without what names no other page: scheme, ``www.``, last slash, fragment and a query without any ``=``."""
+    """The URL without what names no other page: scheme, ``www.``, last slash of the path, fragment."""
     bare = F.regexp_replace(host_of(url), r"^www\.", "")
-    query = F.when(F.contains(query_of(url), F.lit("=")), F.concat(F.lit("?"), query_of(url))).otherwise("")
-    return F.concat(bare, F.regexp_replace(path_of(url), r"/\z", ""), query)
-
-
-def declared_targets(html: Column) -> Column:
-    """URLs, absolute or relative, that a page names as its canonical address or redirects to at once."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    link = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"))
-    refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b"))
-    found = F.concat(
-        F.transform(link, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-        F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-    )
-    found = F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda u: u != "")
+    return F.concat(bare, F.regexp_replace(path_of(url), r"/\z", ""), query_of(url))
+
+
+_REFRESH = re.compile(r"url\s*=\s*[\"']?\s*([^\"'\s>]+)", re.I)
+
 
+_TAGS = frozenset("base link meta".split())
 
-def _join(url: str, base: str, target: str) -> str | None:
-    try:
-        return urljoin(urljoin(url, base), target)
-    except ValueError:
-        return None
 
+def targets_of(url: str, page: str) -> set[str]:
+    """Absolute URLs that a page names as its canonical address or redirects to at once.
 
-def _resolved(url: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([_join(*each) for each in zip(url, base, target)], dtype=object)
+    A relative target starts from ``<base href>`` or the page's URL; what resolves to no URL is left out.
+    """
+    base, targets = "", []
+    for name, given in opening_tags(page, _TAGS):
+        if name == "base":
+            base = base or given.get("href", "")
+        elif name == "link" and "canonical" in given.get("rel", "").lower().split():
+            targets.append(given.get("href", ""))
+        elif name == "meta" and given.get("http-equiv", "").lower() == "refresh":
+            refresh = _REFRESH.search(given.get("content", ""))
+            targets.append(refresh.group(1) if refresh else "")
+    found = set()
+    for target in filter(None, targets):
+        try:
+            whole = target if re.match(r"[a-z][a-z0-9+.-]*://", target, re.I) else urljoin(urljoin(url, base), target)
+        except ValueError:
+            continue
+        if "://" in whole:
+            found.add(whole)
+    return found
 
 
 def declared_links(pages: DataFrame, url: Column, html: Column) -> DataFrame:
-    """Distinct ``url`` and ``target``, both absolute; a relative target starts from ``<base href>`` or the page's URL."""
-    found = pages.select(url.alias("url"), html.alias("html")).filter("url like '%://%'")
-    found = found.select("url", declared_targets(F.col("html")).alias("targets"), "html").filter("size(targets) > 0")
-    base = F.coalesce(F.regexp_extract("html", r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
-    links = cut_lineage(found.select("url", base.alias("base"), F.explode("targets").alias("target")).distinct())
-    whole = F.col("target").rlike(r"(?i)^[a-z][a-z0-9+.-]*://")
-    relative = links.filter(~whole).select("url", F.pandas_udf(_resolved, "string")("url", "base", "target").alias("target"))
-    return links.filter(whole).select("url", "target").union(relative.filter("target like '%://%'")).distinct()
+    """Distinct ``url`` and ``target``, both absolute. Only pages that speak of a canonical address or a refresh are parsed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pairs = [(u, t) for u, page in zip(frame["url"], frame["html"]) for t in targets_of(u, page)]
+            yield pd.DataFrame(pairs, columns=["url", "target"])
+
+    found = pages.select(url.alias("url"), html.alias("html")).filter("url like '%://%'").filter(
+        F.col("html").rlike(r"(?i)canonical|refresh|&#")
+    )
+    return found.mapInPandas(run, "url string, target string").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -104,7 +116,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     A rule of the page's own decides. Otherwise the page is blocked if an alias is: aliases are the pages and targets in
     one connected component of spellings of one URL (``canonical``) and of canonical or refresh links in the HTML, relative
-    ones too. URLs that differ in a query with a value, in ``.html``, ``/index`` or ``m.`` are pages of their own.
+    ones too. URLs that differ in a query, in ``.html``, ``/index`` or ``m.`` are pages of their own.
     An allow rule protects the page it fits and is not handed on; pages that nothing blocks are allowed. A null or
     hostless URL has no alias. Repeated URLs share a verdict, every row is returned. Runs jobs.
     """
