@@ -12,6 +12,7 @@ import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+"
 _PYTHON_ONLY_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _CACHED = 1 << 18
+_LONG_FRAGMENT = 200  # symbols from which a heap is faster than looking through all ranks
 _ROWS = 256  # the ids of a batch weigh several times its text
 
 
@@ -73,6 +75,8 @@ class Bpe:
         """Ids of one fragment: the leftmost pair of lowest rank is merged until none is left."""
         none, rank_of, merged = len(self.merged), self.rank_of.get, self.merged
         parts = [self.ids[s] for s in symbols]
+        if len(parts) > _LONG_FRAGMENT:
+            return self.long_fragment(parts)
         ranks = [rank_of(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks and (rank := min(ranks)) != none:
             at = ranks.index(rank)
@@ -84,6 +88,30 @@ class Bpe:
                 ranks[at] = rank_of(parts[at] << 32 | parts[at + 1], none)
         return parts
 
+    def long_fragment(self, parts: list[int]) -> list[int]:
+        """The same merges from a heap of pairs over a linked list, in n log n steps."""
+        size, none, rank_of, merged = len(parts), len(self.merged), self.rank_of.get, self.merged
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        # Rank and place in one number, so that of equal ranks the leftmost pair comes first.
+        heap = [rank << 32 | i for i in range(size - 1) if (rank := rank_of(parts[i] << 32 | parts[i + 1], none)) != none]
+        heapify(heap)
+        while heap:
+            pair = heappop(heap)
+            rank, at = pair >> 32, pair & 0xFFFFFFFF
+            right = after[at]
+            if parts[at] < 0 or right >= size or rank_of(parts[at] << 32 | parts[right], none) != rank:
+                continue  # one of the two has been merged since
+            parts[at], parts[right] = merged[rank], -1
+            after[at] = right = after[right]
+            if right < size:
+                before[right] = at
+                if (rank := rank_of(parts[at] << 32 | parts[right], none)) != none:
+                    heappush(heap, rank << 32 | at)
+            left = before[at]
+            if left >= 0 and (rank := rank_of(parts[left] << 32 | parts[at], none)) != none:
+                heappush(heap, rank << 32 | left)
+        return [i for i in parts if i >= 0]
+
     def fragments(self, word: str) -> list[tuple[str, ...]]:
         """The word's byte symbols, cut at every pair that no token holds."""
         symbols = list(word) if word.isascii() and word.isprintable() else [self.bytes[b] for b in word.encode("utf-8")]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ import pandas as pd
 
 from pyspark.sql import DataFrame
 
+from reportloom.llm.tags import OPENING, TagEnds
+
 # Frequent words of the languages, in no particular role but that.
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their there "
@@ -55,7 +58,6 @@ _NAMES = re.compile(
 _NOT_MAIN = re.compile(r"^(ads?|advert|adverts|advertisements?|sponsor|sponsors|sponsored|promos?|comments?|reply|replies|related|recommended)$")
 _BESIDE = frozenset("site page main top bottom bar area list box block body links buttons posts".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 # What says so for certain; a nested article or main resets the other marks.
@@ -113,23 +115,42 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    def text(raw: str) -> None:
+        nonlocal linked
+        parts.append(raw)
+        if in_link:
+            linked += len(raw)
+
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()  # skipped tags that are not closed any more
+    at, end, ends, last = 0, len(page), TagEnds(page), page.rfind(">")
     while at < end:
-        match = _TOKEN.match(page, at)
-        at = match.end()
-        raw = match.group(0)
-        tag = match.group(2)
-        if tag is None:
-            if raw[0] != "<" or raw == "<":
-                parts.append(raw)
-                if in_link:
-                    linked += len(raw)
+        if page[at] != "<":
+            stop = page.find("<", at)
+            text(page[at : stop if stop >= 0 else end])
+            at = stop if stop >= 0 else end
+            continue
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if page[at + 1 : at + 2] in ("!", "?") and at < last:
+            at = page.find(">", at) + 1
+            continue
+        match = OPENING.match(page, at)
+        behind = ends.after(match.end()) if match and at < last else -1
+        if behind < 0:
+            text("<")
+            at += 1
             continue
-        tag, closing, attributes = tag.lower(), match.group(1), match.group(3)
+        tag, closing, attributes, at = match.group(2).lower(), match.group(1), page[match.end() : behind - 1], behind
         if tag in _SKIPPED and not closing:
             if not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else (end if tag in ("script", "style") else at)
+                found = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                stop = page.find(">", found.end()) if found else -1
+                if stop < 0:
+                    unclosed.add(tag)
+                at = stop + 1 if stop >= 0 else (end if tag in ("script", "style") else at)
             if tag not in _INLINE:
                 parts.append(" ")
             continue
@@ -142,11 +163,12 @@ def blocks_of(page: str) -> list[Block]:
             in_link = 0
         if tag in _CONTAINERS and tag not in _VOID:
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                     if stack[i][0] == tag:
                         if tag in _INLINE and (stack[i][2] != boilerplate):
                             close()
                         _, main, boilerplate, place = stack[i]
+                        open_tags.subtract(gone[0] for gone in stack[i:])
                         del stack[i:]
                         break
             elif not attributes.endswith("/"):
@@ -156,6 +178,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in _INLINE:
                     close()
                 stack.append((tag, main, boilerplate, place))
+                open_tags[tag] += 1
                 if tag in _MAIN or marked:
                     places += 1
                     place = places

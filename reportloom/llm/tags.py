@@ -8,7 +8,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 _PLAIN = re.compile(r"[^>\"']*")
-_OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = ("script", "style")
 
@@ -65,7 +65,7 @@ def opening_tags(page: str, wanted: frozenset[str]) -> Iterator[tuple[str, dict[
             stop = page.find("-->", at + 4)
             at = stop + 3 if stop >= 0 else size
             continue
-        match = _OPENING.match(page, at)
+        match = OPENING.match(page, at)
         end = ends.after(match.end()) if match else -1
         if end < 0:
             at += 1
