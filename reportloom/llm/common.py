@@ -27,23 +27,34 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inne
     return rows.join(cut_lineage(groups), keys, how)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def told_apart(docs: DataFrame, id_col: str, nulls_first: bool) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column without nulls or repeats, in the order of the ids.
 
     That is ``id_col`` itself where it has neither. Else all rows are sorted by id, then by a digest of the whole row, and
-    stored once with their number ``_row``, so that every row is decided on its own. Runs jobs.
+    stored once with their number in a column of a name that is free, so that every row is decided on its own. Runs jobs.
     """
     unfit = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null")
     if unfit.isEmpty():
         return docs, id_col
     by_id = F.col(id_col).asc_nulls_first() if nulls_first else F.col(id_col).asc_nulls_last()
     ordered = docs.orderBy(by_id, F.sha2(F.to_json(F.struct(*docs.columns)), 256))
-    return cut_lineage(ordered.withColumn("_row", F.monotonically_increasing_id())), "_row"
+    number = free_name(docs, "_row")
+    return cut_lineage(ordered.withColumn(number, F.monotonically_increasing_id())), number
 
 
 def without_rows(docs: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the rows of ``docs`` whose ``key`` is not in the column ``_gone`` of ``gone``."""
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti").select(*columns)
+    """``columns`` of the rows of ``docs`` whose ``key`` is not in the only column of ``gone``."""
+    name = free_name(docs, "_gone")
+    named = gone.toDF(name)
+    return docs.join(named, docs[key] == named[name], "left_anti").select(*columns)
 
 
 def unit_interval(seed: int, *parts: Column) -> Column:

@@ -81,5 +81,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and other texts of their id are not touched. Runs jobs.
     """
     rows, key = told_apart(docs, id_col, nulls_first=True)
-    gone = duplicate_groups(rows, key, text_col).filter("not kept").select(F.col(key).alias("_gone"))
+    gone = duplicate_groups(rows, key, text_col).filter("not kept").select(key)
     return without_rows(rows, key, gone, docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reportloom.llm.common import unit_interval
+from reportloom.llm.common import free_name, unit_interval
 from reportloom.session import cut_lineage
 
 _PIECE = 16.0  # a larger mean is the sum of draws of this mean at most, so exp(-mean) keeps its precision
@@ -67,14 +67,15 @@ def mix_sources(
     every partition. Runs jobs to size the sources.
     """
     kept = [c for c in docs.columns if c not in ("copy", "copies", "order_key")]
+    its_source, its_rate = free_name(docs, "_mix_source"), free_name(docs, "_mix_rate")
     rates = cut_lineage(source_rates(docs, weights, power, budget, source_col, text_col)).select(
-        F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")
+        F.col("source").alias(its_source), F.col("rate").alias(its_rate)
     )
     if rates.count() <= _BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rated = docs.join(rates, docs[source_col].eqNullSafe(F.col("_mix_source")))
-    draws = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / F.lit(_PIECE))).cast("int")
-    mean = F.col("_mix_rate") / draws
+    rated = docs.join(rates, docs[source_col].eqNullSafe(F.col(its_source)))
+    draws = F.greatest(F.lit(1), F.ceil(F.col(its_rate) / F.lit(_PIECE))).cast("int")
+    mean = F.col(its_rate) / draws
     count = F.aggregate(
         F.sequence(F.lit(1), draws), F.lit(0).cast("bigint"),
         lambda total, draw: total + poisson(mean, unit_interval(seed, docs[id_col], draw)),

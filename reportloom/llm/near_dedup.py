@@ -215,4 +215,4 @@ def without_near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_c
     """
     rows, key = told_apart(docs, id_col, nulls_first=False)
     decided = near_duplicates(rows, percent, width, id_col=key, text_col=text_col)
-    return without_rows(rows, key, decided.filter("not kept").select(F.col(key).alias("_gone")), docs.columns)
+    return without_rows(rows, key, decided.filter("not kept").select(key), docs.columns)

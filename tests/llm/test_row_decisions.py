@@ -2,7 +2,7 @@
 
 import collections
 
-from reportloom.llm import exact_dedup, language_id, near_dedup
+from reportloom.llm import exact_dedup, language_id, mixing, near_dedup
 
 SCHEMA = "doc_id bigint, text string, source string"
 COPY = "one two three four five six seven eight nine ten eleven twelve"
@@ -38,3 +38,19 @@ def test_language_rejects_rows_not_ids(spark):
     stays = language_id.in_known_language(docs, parsers)
     assert stays.columns == docs.columns
     assert left(stays) == collections.Counter({(None, "ab"): 1, (1, "ba"): 2})
+
+
+def test_columns_of_any_name_keep_their_data(spark):
+    """Names that the stages might want for themselves, with null and shared ids."""
+    names = ["_row", "_gone", "_GONE2", "_mix_source", "_mix_rate", "__row"]
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(None, "a", "s"), (None, "b", "s"), (1, "A", "t"), (2, "x", "s"), (2, "y", None), (3, COPY, "s"), (4, COPY.replace("one", "zero"), "s")]
+    docs = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], schema)
+    whole = {tuple(r) for r in docs.collect()}
+    for stage, count in (
+        (exact_dedup.without_copies(docs), 6), (near_dedup.without_near_copies(docs, percent=70), 5),
+        (exact_dedup.without_copies(docs.filter("doc_id is not null and text <> 'y'")), 4),
+    ):
+        assert stage.columns == docs.columns and {tuple(r) for r in stage.collect()} <= whole and stage.count() == count
+    mixed = mixing.mix_sources(docs, budget=3.0).select(*docs.columns).collect()
+    assert mixed and {tuple(r) for r in mixed} <= whole
