@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reportloom.functions.labels import row_key, seed_canonical
 from reportloom.functions.numbers import loose_number
 from reportloom.functions.periods import period_label
-from reportloom.functions.scale import first_per_key
+from reportloom.functions.scale import first_per_key, ranked
 from reportloom.functions.text import strip
 
 
@@ -85,7 +85,10 @@ def compare_companies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def unmatched_rows(rows: DataFrame, pairs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows of side 1 of each pair that found no partner, repeats of a label included; with ``limit`` the first of them."""
+    """Rows of side 1 of each pair that found no partner, repeats of a label included; with ``limit`` the first of them.
+
+    Without a limit the places are numbered over ranges, not in a task for each pair, which runs a job.
+    """
     firsts = _first_rows(rows).select("period_id", "canonical", *[F.col(c).alias(f"f_{c}") for c in _ROW_ORDER])
     side1 = (
         rows.filter((F.col("canonical") != "") & (F.coalesce("label_en", F.lit("")) != ""))
@@ -103,9 +106,14 @@ def unmatched_rows(rows: DataFrame, pairs: DataFrame, limit: int | None = None)
         .join(other, ["period_2", "canonical"], "left")
         .filter(repeat | F.col("found").isNull())
     )
+    if limit is None:
+        last = candidates.withColumn("_pageless", F.col("page_number").isNull())
+        return ranked(last, ["pair_id"], ["_pageless", "page_number", "table_id", "row_no"], "place").select(
+            "pair_id", F.col("place").cast("int").alias("place"), "label_en"
+        )
     order = Window.partitionBy("pair_id").orderBy(F.col("page_number").asc_nulls_last(), "table_id", "row_no")
     placed = candidates.withColumn("place", F.row_number().over(order)).select("pair_id", "place", "label_en")
-    return placed if limit is None else placed.filter(F.col("place") <= limit)
+    return placed.filter(F.col("place") <= limit)
 
 
 def compare_periods(rows: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -269,7 +269,7 @@ def export_sql(labels: list[str] | None = None) -> str:
              p.period_no, f.row_order AS row_no, f.row_name AS name, lower(f.row_name) AS row_key, p.period, f.value
       FROM {{financial_data}} f JOIN ({placed}) p ON f.period_id = p.period_id WHERE f.company_id = 11"""
     return f"""
-SELECT * FROM (WITH texts AS ({texts}), kept AS ({_FIRST_WINS % "SELECT * FROM texts"}),
+SELECT * REPLACE (CAST(spot AS BIGINT) AS spot, CAST(cell_no AS INT) AS cell_no) FROM (WITH texts AS ({texts}), kept AS ({_FIRST_WINS % "SELECT * FROM texts"}),
 named AS (
   SELECT company_id, section_no, title, coalesce(page, 999) AS page,
          trim(regexp_replace(regexp_replace(title, '[/\\\\*?:\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g')) AS sheet FROM kept),

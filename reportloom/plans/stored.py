@@ -45,7 +45,7 @@ def _stored_periods(v: Views, root: str) -> None:
 SELECT p.id, CASE WHEN p.quarter = 2 THEN 'replaced' ELSE p.source_file END AS source_file,
        coalesce(CASE WHEN p.quarter = 2 THEN f.income ELSE f.n END, 0) AS statements,
        coalesce(s.n, 0) AS sections, CASE WHEN p.quarter = 2 THEN 0 ELSE coalesce(t.n, 0) END AS tables,
-       CASE WHEN p.quarter = 2 THEN 0 ELSE 1 END AS charts
+       CAST(CASE WHEN p.quarter = 2 THEN 0 ELSE 1 END AS BIGINT) AS charts
 FROM {periods} p
 LEFT JOIN (SELECT period_id, count(*) AS n, count(*) FILTER (WHERE statement_type = 'resultatrakning') AS income
            FROM {financial_data} GROUP BY period_id) f ON f.period_id = p.id
@@ -157,7 +157,7 @@ def sorted_labels(v: Views) -> DataFrame:
     return ranked(in_order, [], ["_at"], "place").select("period", "place")
 
 
-@query("SELECT page_id // 5 AS doc_id, count(*) * 0.001 AS cost_usd FROM {pages} GROUP BY page_id // 5")
+@query("SELECT page_id // 5 AS doc_id, CAST(count(*) * 0.001 AS DOUBLE) AS cost_usd FROM {pages} GROUP BY page_id // 5")
 def ocr_costs(v: Views) -> DataFrame:
     pages = v["pages"].groupBy(F.expr("page_id div 5").alias("doc_id")).agg(F.count("*").alias("pages"))
     return pages.select("doc_id", stats.ocr_cost_usd(F.col("pages")).alias("cost_usd")).select("doc_id", double("cost_usd"))

@@ -20,7 +20,8 @@ def plan(df):
 
 # Those of the report engine; the operators of the optional subpackage choose their own style and store steps. The
 # iterative ones and those that store run jobs while they are planned; searches multiply matrices in Arrow batches.
-ITERATIVE = {"statement_order", "period_matrix", "unique_sections", "unique_by_title", "export_cells", "export_some_periods"}
+ITERATIVE = {"statement_order", "period_matrix", "unique_sections", "unique_by_title", "export_cells", "export_some_periods",
+             "unmatched_rows"}
 SEARCHES = {
     "search_knowledge", "search_knowledge_filtered", "search_knowledge_table", "search_knowledge_texts", "semantic_sections",
     "semantic_sections_table", "hybrid_sections", "hybrid_sections_table", "text_hits", "text_hits_table", "search_sections",
@@ -28,7 +29,7 @@ SEARCHES = {
 }
 STORED = {
     "replaced_periods", "added_vector_counts", "streamed_file_plan", "streamed_first_events", "file_hashes", "loaded_knowledge", "sorted_labels",
-    "empty_tables", "stored_export",
+    "stored_export",
 }
 LAZY = sorted(set(all_queries()) - ITERATIVE - SEARCHES - STORED)
 
