@@ -196,14 +196,18 @@ def unlisted(text: str) -> bool:
 
 
 def stop_word_density(text: str) -> float:
-    words = text.lower().split()
+    """Share of stop words in the words; bars, dashes and the like between them are none."""
+    words = [w for w in text.lower().split() if len(w) > 1 or w.isalnum()]
     return sum(w.strip(".,;:!?()%*#$&\"'") in STOP_WORDS for w in words) / max(1, len(words))
 
 
 def first_pass(block: Block, foreign: bool = False) -> str:
-    """``good``, ``bad``, ``near`` (doubtful) or ``short``.
+    """``good``, ``bad``, ``near`` (doubtful) or ``short`` (says too little by itself).
 
-    On a ``foreign`` page no list of stop words fits, so length and links decide; a wide letter counts as two.
+    Links make a block bad, many stop words in a long one good. Few stop words make a long block bad and a shorter one
+    no more than ``short``, as the few words of a single paragraph may well hold none. In the main part such a block is
+    ``near``: code and tables have few stop words too. On a ``foreign`` page no list of stop words fits, so length and
+    links decide; a wide letter counts as two.
     """
     length = len(block.text)
     if block.boilerplate or block.linked / length > LINK_DENSITY:
@@ -219,7 +223,7 @@ def first_pass(block: Block, foreign: bool = False) -> str:
         return "good"
     if density >= SOME_STOP_WORDS or block.main:
         return "near"
-    return "bad"
+    return "bad" if length > LONG else "short"
 
 
 def foreign_page(blocks: list[Block]) -> bool:
@@ -228,6 +232,31 @@ def foreign_page(blocks: list[Block]) -> bool:
     return stop_word_density(text) < SOME_STOP_WORDS and unlisted(text)
 
 
+def best_run(blocks: list[Block], kinds: list[str], foreign: bool = False) -> list[str]:
+    """The kinds, with the best run of undecided blocks made good on a page that has no good block.
+
+    A run is what lies between two bad blocks or two parts of the page. The one with the most stop words is the best,
+    then the longest, then the first; its ``near`` blocks become good, or all if it has none. A run with few stop words is
+    no text, so all of them may be passed over.
+    """
+    if "good" in kinds:
+        return kinds
+    best, span, start = (0, 0), range(0), 0
+    for i in range(1, len(blocks) + 1):
+        same = i < len(blocks) and blocks[i].place == blocks[start].place and kinds[i] != "bad"
+        if same and kinds[start] != "bad":
+            continue
+        if kinds[start] != "bad":
+            text = " ".join(b.text for b in blocks[start:i])
+            density = stop_word_density(text)
+            worth = (round(density * len(text.split())), len(text))
+            if worth > best and (foreign or density >= SOME_STOP_WORDS):
+                best, span = worth, range(start, i)
+        start = i
+    wanted = "near" if any(kinds[i] == "near" for i in span) else "short"
+    return ["good" if i in span and kind == wanted else kind for i, kind in enumerate(kinds)]
+
+
 def second_pass(blocks: list[Block], kinds: list[str]) -> list[bool]:
     """Whether each block is kept.
 
@@ -258,7 +287,8 @@ def main_text(page: str | None) -> str:
     """Kept blocks joined by a line feed; empty for a null, empty or text-free page."""
     blocks = blocks_of(page or "")
     foreign = foreign_page(blocks)
-    kept = second_pass(blocks, [first_pass(b, foreign) for b in blocks])
+    kinds = best_run(blocks, [first_pass(b, foreign) for b in blocks], foreign)
+    kept = second_pass(blocks, kinds)
     return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
