@@ -196,45 +196,75 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray,
     return Scorer(weights, float(bias))
 
 
-def label_model(docs: DataFrame, text_col: str = "text") -> tuple[float, np.ndarray]:
-    """Expectation-maximisation over the vote patterns of all texts; at most 3^8 patterns are collected. Runs a job."""
+def _hashed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Texts, null as empty, and their hash."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(text.alias("text")).withColumn("hash", F.xxhash64("text"))
+
+
+def vote_patterns(docs: DataFrame, text_col: str = "text") -> pd.DataFrame:
+    """``pattern``, ``n`` (its texts) and ``hash`` (the least of them) of all texts, at most 3^8 rows. Runs a job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"pattern": [pattern(votes(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"pattern": [pattern(votes(t)) for t in batch["text"]], "hash": batch["hash"]})
+
+    voted = _hashed(docs, text_col).mapInPandas(run, "pattern int, hash bigint")
+    found = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.min("hash").alias("hash")).orderBy("pattern").collect()
+    return pd.DataFrame([tuple(r) for r in found], columns=["pattern", "n", "hash"])
+
 
-    voted = docs.selectExpr(f"cast(`{text_col}` as string) as text").mapInPandas(run, "pattern int")
-    found = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
-    return expectation_maximisation(np.array([r["pattern"] for r in found], int), np.array([r["n"] for r in found], float))
+def label_model(found: pd.DataFrame) -> tuple[float, np.ndarray]:
+    """Expectation-maximisation over the counts of ``vote_patterns``."""
+    return expectation_maximisation(found["pattern"].to_numpy(int), found["n"].to_numpy(float))
 
 
-def fit(docs: DataFrame, train_rows: int = 4000, text_col: str = "text") -> tuple[Scorer, tuple[float, np.ndarray]]:
-    """Label model of all texts, and the scorer trained on about ``train_rows`` texts chosen by their hash. Runs jobs."""
-    model = label_model(docs, text_col)
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = texts.count()
-    share = min(1.0, train_rows / max(1, total))
-    place = (F.xxhash64("text").cast("double") / F.lit(float(1 << 63)) + 1.0) / 2.0
+def heaviest(index: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` greatest values with their buckets, ties to the smaller bucket, in the order of the buckets."""
+    if index.size <= most:
+        return index, value
+    keep = np.sort(np.lexsort((index, -value))[:most])
+    return index[keep], value[keep]
+
+
+def fit(
+    docs: DataFrame, train_rows: int = 4000, text_col: str = "text", train_features: int = 2048
+) -> tuple[Scorer, tuple[float, np.ndarray]]:
+    """Label model of all texts, and the scorer trained on a bounded sample of distinct texts. Runs jobs.
+
+    The sample has about ``train_rows`` distinct texts of the smallest hash, and for each vote pattern the text of its
+    smallest hash (at most 3^8), so that a text copied many times or a rare kind of text is learned too. A sampled text
+    gives its ``train_features`` heaviest features to the training.
+    """
+    found = vote_patterns(docs, text_col)
+    model = label_model(found)
+    texts = _hashed(docs, text_col)
+    distinct = texts.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
+    share = min(1.0, train_rows / max(1, distinct))
+    most = min(2**63 - 1, int((2 * share - 1) * 2.0**63))
+    firsts = F.col("hash").isin([int(h) for h in found["hash"]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [features(t) for t in batch["text"]]
+            kept = [heaviest(*features(t), train_features) for t in batch["text"]]
             yield pd.DataFrame({
-                "place": batch["place"], "pattern": [pattern(votes(t)) for t in batch["text"]],
-                "index": [i.tolist() for i, _ in found], "value": [v.tolist() for _, v in found],
+                "hash": batch["hash"], "pattern": [pattern(votes(t)) for t in batch["text"]],
+                "index": [i.astype("<u2").tobytes() for i, _ in kept], "value": [v.astype("<f4").tobytes() for _, v in kept],
             })
 
-    chosen = texts.withColumn("place", place).filter(F.col("place") <= share).distinct()  # copies count once
-    rows = chosen.mapInPandas(run, "place double, pattern int, index array<int>, value array<double>").collect()
-    rows.sort(key=lambda r: r["place"])
+    chosen = texts.filter((F.col("hash") <= most) | firsts).distinct()  # copies count once
+    rows = chosen.mapInPandas(run, "hash bigint, pattern int, index binary, value binary").collect()
+    rows.sort(key=lambda r: r["hash"])
     targets = posteriors(np.array([r["pattern"] for r in rows], int), *model) if rows else np.empty(0)
-    return train_scorer([(np.array(r["index"]), np.array(r["value"])) for r in rows], targets), model
+    sampled = [(np.frombuffer(r["index"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in rows]
+    return train_scorer(sampled, targets), model
 
 
 def classify(docs: DataFrame, train_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1, 1 is good), ``posterior`` of its votes and ``kept`` (score of a half or more).
 
-    A null text counts as empty; equal texts have equal scores; repeated rows stay repeated. Runs jobs to learn.
+    A null text counts as empty; equal texts have equal scores; repeated rows stay repeated; texts are scored whole,
+    however long. Runs jobs to learn.
     """
     scorer, model = fit(docs, train_rows, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((scorer, model))
