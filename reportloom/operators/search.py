@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.text import cut, excerpt
-from reportloom.operators.text_search import first_hits, matches
+from reportloom.operators.text_search import first_matches
 from reportloom.session import cut_lineage
 
 Vector = Sequence[float]
@@ -358,14 +358,11 @@ def search_knowledge_texts(
     """
     words = F.filter(F.split(F.replace("text", F.lit("/"), F.lit(" ")), r"(?U)\s+"), lambda w: w != "")
     used = words if max_terms is None else F.slice(words, 1, max_terms)
-    terms = queries.select("query_id", F.explode(F.when(F.size(words) > 1, used).otherwise(F.array("text"))).alias("term"))
-    hits = matches(knowledge_texts(knowledge), terms, index, carry=("domain", "category"))
-    wanted = queries.select("query_id", F.col("domain").alias("_domain"), F.col("category").alias("_category"))
-    fits = (F.col("_domain").isNull() | (F.col("_domain") == F.col("domain"))) & (
-        F.col("_category").isNull() | (F.col("_category") == F.col("category"))
+    terms = queries.select(
+        "query_id", "domain", "category", F.explode(F.when(F.size(words) > 1, used).otherwise(F.array("text"))).alias("term")
     )
-    first = first_hits(hits.join(wanted, "query_id").filter(fits).select("query_id", "id"), k)
-    return knowledge.join(first, "id")
+    own = {"domain": "domain", "category": "category"}
+    return knowledge.join(first_matches(knowledge_texts(knowledge), terms, k, index, own), "id")
 
 
 def hybrid_top_k(
@@ -384,14 +381,9 @@ def section_texts(sections: DataFrame) -> DataFrame:
 
 def _text_places(sections: DataFrame, asked: DataFrame, k: int, index: DataFrame | None) -> DataFrame:
     """``query_id``, ``id``, ``place`` of the first sections whose content contains the text of the query."""
-    company = bool(_company_filter(sections, asked))
-    hits = matches(
-        section_texts(sections), asked.select("query_id", F.col("text").alias("term")), index, carry=("slug",) if company else ()
-    )
-    if company:
-        wanted = asked.select("query_id", "company_slug")
-        hits = hits.join(wanted, "query_id").filter(F.col("company_slug").isNull() | (F.col("company_slug") == F.col("slug")))
-    return first_hits(hits.select("query_id", "id"), k)
+    own = _company_filter(sections, asked)
+    terms = asked.select("query_id", F.col("text").alias("term"), *own)
+    return first_matches(section_texts(sections), terms, k, index, own)
 
 
 def text_hits(

@@ -2,15 +2,20 @@
 
 Every text is posted under each run of one, two and three characters it holds. A term needs all of its own runs, so the
 lists of its rarest ones, intersected rarest first, leave few texts to look into. ``postings`` can be stored once and
-used by many searches; the work of a search then falls with the rarity of its terms.
+used by many searches; the work of a search then falls with the rarity of its terms. ``first_matches`` wants few hits of
+each query only: it reads the texts in ranges of ids, and a query that has its hits is not looked for any further.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,6 +26,10 @@ _PIECE = 1 << 20  # characters of a text taken at once
 _PASSED_ON = 1 << 20  # wanted runs that travel with the tasks, 8 MB; more are joined
 _EVERY = 0  # the run of the empty term, posted for every text
 _BUCKETS = 256
+_TERM_BYTES = 1 << 25  # searches that travel with the tasks
+_FIRST = 1 << 12  # texts of the first range of ids
+_GROWTH = 32  # times as many texts in the next one
+_SLOTS = 1 << 18  # marks of the runs in question
 
 
 def _runs(text: str, shorter: bool) -> np.ndarray:
@@ -99,7 +108,8 @@ def stored_postings(lists: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _pattern(term: Column) -> Column:
-    return F.concat(F.lit("%"), F.lower(term), F.lit("%"))
+    """Of neighbouring ``%`` one is left: matching tries all ways to part a text among them."""
+    return F.regexp_replace(F.concat(F.lit("%"), F.lower(term), F.lit("%")), r"(?s)((?:[^%\\]|\\.)*+)%+", r"$1%")
 
 
 def term_runs(terms: DataFrame) -> DataFrame:
@@ -163,6 +173,211 @@ def matches(
     return hits.filter(contains_term(F.col("text"), F.col("term"))).select("query_id", "id", *carry).distinct()
 
 
+def _as_regex(term: str) -> re.Pattern[str]:
+    """The term with ``%`` and ``_`` as ``contains_term`` reads it, matched from the start of a text.
+
+    Each plain piece is taken where it stands first and not tried again, so the time is linear in the text.
+    """
+    pieces = [""]
+    for sign in re.findall(r"(?s)\\.|.", f"%{term}%"):
+        if sign == "%":
+            pieces.append("")
+        else:
+            pieces[-1] += "." if sign == "_" else re.escape(sign[-1])
+    end = rf".*{pieces[-1]}\Z" if pieces[-1] else ""
+    return re.compile("".join(f"(?>.*?{p})" for p in pieces[:-1] if p) + end, re.DOTALL)
+
+
+class _Searches:
+    """Searches of a task: the terms under one run each, and who asks for a term under which values of the filters."""
+
+    def __init__(self, table: pa.Table, anchors: dict[str, int], filters: list[str]) -> None:
+        columns = {name: table[name].to_pylist() for name in table.column_names}
+        given = list(zip(*[columns[f] for f in filters])) if filters else [()] * len(table)
+        self.askers: dict[str, dict[tuple[int, ...], dict[tuple, list[int]]]] = {}
+        for i, (terms, values) in enumerate(zip(columns["terms"], given)):
+            pattern = tuple(j for j, v in enumerate(values) if v is not None)
+            key = tuple(values[j] for j in pattern)
+            for term in terms:
+                self.askers.setdefault(term, {}).setdefault(pattern, {}).setdefault(key, []).append(i)
+        self.ids = columns["query_id"]
+        self.regexes = {t: _as_regex(t) for t in self.askers if re.search(r"[%_\\]", t)}
+        self.under: dict[int, list[str]] = {}
+        for term in self.askers:
+            self.under.setdefault(anchors[term], []).append(term)
+        runs = np.array(sorted(self.under), dtype=np.int64)
+        # Runs of one, two and three characters, each with marks of the slots they fall into.
+        self.kinds = []
+        for n, low, high in ((1, 1, 1 << 21), (2, 1 << 21, 1 << 42), (3, 1 << 42, 1 << 63)):
+            own = np.array([r for r in runs.tolist() if low <= r < high], dtype=np.int64)
+            if len(own):
+                marks = np.zeros(_SLOTS, dtype=bool)
+                marks[_slots(own)] = True
+                self.kinds.append((n, own, marks))
+
+    def terms_in(self, text: str) -> Iterator[str]:
+        """The terms whose run the text holds, and those without one."""
+        found: set[int] = {_EVERY}
+        for start in range(0, len(text), _PIECE):
+            c = np.frombuffer(text[start : start + _PIECE + _RUN - 1].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) + 1
+            for n, own, marks in self.kinds:
+                runs = c if n == 1 else (c[:-1] << 21) | c[1:] if n == 2 else (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+                runs = runs[marks[_slots(runs)]]
+                at = np.minimum(np.searchsorted(own, runs), len(own) - 1)
+                found.update(own[at[own[at] == runs]].tolist())
+        for run in found:
+            yield from self.under.get(run, ())
+
+    def holds(self, text: str, term: str) -> bool:
+        regex = self.regexes.get(term)
+        return term in text if regex is None else regex.match(text) is not None
+
+
+def _slots(runs: np.ndarray) -> np.ndarray:
+    return ((runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+
+def _ranges(ids: DataFrame, first: int, growth: int) -> Iterator[Column]:
+    """Conditions that cut the ids into ranges in order, the next one about ``growth`` times as long.
+
+    Only where the cuts lie comes from a sample; the ranges hold every id.
+    """
+    low, every = None, 1
+    while True:
+        sample = ids if every == 1 else ids.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+        end = sample.orderBy("id").limit(first).agg(F.max("id").alias("high"), F.count("*").alias("n")).first()
+        last = end["n"] < first
+        above = F.col("id").isNotNull() if low is None else F.col("id") > F.lit(low)
+        if last or low is None or end["high"] > low:
+            yield above if last else above & (F.col("id") <= F.lit(end["high"]))
+            low = end["high"]
+        if last:
+            return
+        every *= growth
+
+
+def first_matches(
+    texts: DataFrame, terms: DataFrame, k: int, index: DataFrame | None = None, filters: dict[str, str] | None = None,
+    term_bytes: int = _TERM_BYTES, first: int = _FIRST, growth: int = _GROWTH,
+) -> DataFrame:
+    """``query_id``, ``id``, ``place`` of the first ``k`` ids by order whose texts contain a term of the query.
+
+    ``texts`` and ``terms`` as in ``matches``; ``filters`` maps a column of the terms, the same in all terms of a query, to
+    one of the texts: where it is not null, only equal rows count. Queries that ask the same are one. The texts are read
+    in ranges of ids, each ``growth`` times as long as the one before, and a query with ``k`` hits is not asked in the
+    next, so what is left is the rarer the more texts there are to read. A text is looked into for the terms whose
+    rarest run it holds; a task sends at most ``k`` ids of a query. After the first range stored posting lists
+    (``index``) serve the rest. Up to ``term_bytes`` of queries travel with the tasks; more are taken in blocks of that
+    size, one after the other. Runs jobs.
+    """
+    filters = filters or {}
+    names = [f"f{i}" for i in range(len(filters))]
+    given = terms.filter(F.col("term").isNotNull()).select(
+        "query_id", F.lower("term").alias("term"), *[F.col(c).cast("string").alias(n) for n, c in zip(names, filters)]
+    )
+    queries = cut_lineage(given.groupBy("query_id", *names).agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    distinct = cut_lineage(queries.groupBy("terms", *names).agg(F.min("query_id").alias("query_id")))
+    own = texts.filter(F.col("text").isNotNull()).select(
+        "id", F.col("part").cast("int").alias("part"), F.col("text"), *[F.col(c).cast("string").alias(n) for n, c in zip(names, filters.values())]
+    )
+    size = distinct.agg(F.sum(F.aggregate("terms", F.lit(64).cast("bigint"), lambda n, t: n + 64 + F.octet_length(t))).alias("n")).first()["n"] or 0
+    ranges, blocks = list(_ranges(own.select("id"), first, growth)) if size else [], max(1, -(-size // term_bytes))
+    parts = []
+    for block in range(blocks):
+        some = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        parts += _first_of_block(own, some, k, ranges, index, names)
+    if not parts:
+        return queries.limit(0).crossJoin(texts.limit(0)).select("query_id", "id", F.lit(0).alias("place"))
+    found = first_hits(reduce(DataFrame.unionByName, parts), k).withColumnRenamed("query_id", "_as")
+    same = [queries[n].eqNullSafe(distinct[n]) for n in names]
+    asked = queries.join(distinct.withColumnRenamed("query_id", "_as"), reduce(Column.__and__, same, queries["terms"] == distinct["terms"]))
+    return asked.select("query_id", "_as").join(found, "_as").select("query_id", "id", "place")
+
+
+def _first_of_block(
+    texts: DataFrame, asked: DataFrame, k: int, ranges: list[Column], index: DataFrame | None, names: list[str]
+) -> list[DataFrame]:
+    """Hits of each range (query_id, id), up to ``k`` of a query."""
+    table, found = asked.toArrow(), []
+    terms = sorted({t for own in table["terms"].to_pylist() for t in own})
+    if not terms:
+        return []
+    anchors = _rarest_runs(texts.filter(ranges[0]), terms)
+    for i, inside in enumerate(ranges):
+        if i == 1 and index is not None:
+            left = texts.sparkSession.createDataFrame(table) if len(table) else asked.limit(0)
+            found.append(_indexed(texts, left, index, names, ~ranges[0]))
+            break
+        hits = cut_lineage(first_hits(_look(texts.filter(inside), table, anchors, k, names), k).drop("place"))
+        found.append(hits)
+        if i == len(ranges) - 1:
+            break
+        done = reduce(DataFrame.unionByName, found).groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+        full = done.select("query_id").toArrow()["query_id"]
+        table = table.filter(pc.invert(pc.is_in(table["query_id"], value_set=full)))
+        if not len(table):
+            break
+    return found
+
+
+def _indexed(texts: DataFrame, asked: DataFrame, index: DataFrame, names: list[str], inside: Column) -> DataFrame:
+    """All hits of the queries by stored posting lists."""
+    hits = matches(texts.filter(inside), asked.select("query_id", F.explode("terms").alias("term")), index, carry=tuple(names))
+    wanted = asked.select("query_id", *[F.col(n).alias(f"_{n}") for n in names])
+    fits = [F.col(f"_{n}").isNull() | (F.col(f"_{n}") == F.col(n)) for n in names]
+    return hits.join(wanted, "query_id").filter(reduce(Column.__and__, fits, F.lit(True))).select("query_id", "id")
+
+
+def _rarest_runs(sample: DataFrame, terms: list[str]) -> dict[str, int]:
+    """For each term the run of it that the fewest texts of the sample hold; only the speed follows from the sample."""
+    spark = sample.sparkSession
+    numbered = spark.createDataFrame(pa.table({"query_id": pa.array(range(len(terms)), pa.int64()), "term": terms}))
+    needed = cut_lineage(term_runs(numbered).select("query_id", "gram"))
+    uses = postings(sample, needed).groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = needed.join(uses, "gram", "left").groupBy("query_id").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), -F.col("gram"))).alias("gram")
+    ).toArrow()
+    return {terms[i]: gram for i, gram in zip(ranked["query_id"].to_pylist(), ranked["gram"].to_pylist())}
+
+
+def _look(texts: DataFrame, table: pa.Table, anchors: dict[str, int], k: int, names: list[str]) -> DataFrame:
+    """``query_id`` and ``id`` of hits, of each task the first ``k`` of a query."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    kept = {t: anchors[t] for own in table["terms"].to_pylist() for t in own}
+    shared = texts.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), kept))
+    id_type = texts.schema["id"].dataType
+    schema = f"query_id {texts.sparkSession.createDataFrame(table.slice(0, 0)).schema['query_id'].dataType.simpleString()}, id {id_type.simpleString()}"
+    arrow = texts.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, runs = shared.value
+        searches = _Searches(pa.ipc.open_stream(data).read_all(), runs, names)
+        best: dict[int, list] = {}
+        for batch in batches:
+            ids, texts_of = batch.column(0).to_pylist(), batch.column(1)
+            values = list(zip(*[batch.column(2 + j).to_pylist() for j in range(len(names))])) if names else [()] * len(ids)
+            for i, own_id in enumerate(ids):
+                text = texts_of[i].as_py()
+                for term in searches.terms_in(text):
+                    open_for = [
+                        q for pattern, by_key in searches.askers[term].items() for q in by_key.get(tuple(values[i][j] for j in pattern), ())
+                        if len(best.get(q, ())) < k or own_id < best[q][-1]
+                    ]
+                    if not open_for or not searches.holds(text, term):
+                        continue
+                    for q in open_for:
+                        own = best.setdefault(q, [])
+                        if own_id not in own:
+                            insort(own, own_id)
+                            del own[k:]
+        at, found = [q for q, own in best.items() for _ in own], [x for own in best.values() for x in own]
+        yield pa.RecordBatch.from_arrays([pa.array([searches.ids[q] for q in at], arrow.field("query_id").type), pa.array(found, arrow.field("id").type)], schema=arrow)
+
+    return texts.select("id", F.lower("text").alias("text"), *names).mapInArrow(run, schema).distinct()
+
+
 def first_hits(hits: DataFrame, k: int) -> DataFrame:
     """The first ``k`` hits of each query by id, numbered in ``place``."""
     order = Window.partitionBy("query_id").orderBy("id")
