@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -378,7 +379,8 @@ def unique_by_title(sections: DataFrame, threshold: float = 0.8, block: int = 25
     ``sections``: company_id, title, section_no, content. Two texts are near copies when over ``threshold`` of
     the first one's leading characters occur in the other. Only how often a lead has each character matters, so leads of
     the same characters are folded to their first. Then every round settles the ``block`` earliest open leads of each
-    title in a task, and the rest meets the kept ones of the block as one row of its title. Runs jobs.
+    title, many titles in a batch, and the rest of longer ones meets the kept ones of the block as one row of its title.
+    Runs jobs.
     """
     lead = F.replace(F.lower(F.substring(F.coalesce("content", F.lit("")), 1, 200)), F.lit(" "), F.lit(""))
     leads = sections.select(*_BY_TITLE, "section_no", F.array_join(F.array_sort(F.split(lead, "")), "").alias("lead"))
@@ -388,46 +390,55 @@ def unique_by_title(sections: DataFrame, threshold: float = 0.8, block: int = 25
     left = cut_lineage(
         leads.filter(F.col("lead") != "").groupBy(*_BY_TITLE, "lead").agg(F.min("section_no").alias("section_no"))
     )
-    schema = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in (*_BY_TITLE, "section_no", "lead")) + ", kept boolean"
+    types = {c: left.schema[c].dataType.simpleString() for c in left.columns}
+    schema = f"company_id {types['company_id']}, title string, done {types['section_no']}, more boolean, kept array<{types['section_no']}>, covers array<struct<has:string,size:int>>"
+    choose = _uncovered(threshold, block, sections.sparkSession.createDataFrame([], schema).toArrow().schema)
     kept = [empty]
-    while not left.isEmpty():
-        earliest = first_places(left, _BY_TITLE, "section_no", block)
-        settled = cut_lineage(earliest.groupBy(*_BY_TITLE).applyInPandas(_uncovered(threshold), schema))
-        kept.append(settled.filter("kept").select(*_BY_TITLE, "section_no"))
+    while True:
         # One row for each title, of at most ``block`` leads; stored, so that a frequent title can be split in the join.
-        covers = cut_lineage(settled.groupBy(*_BY_TITLE).agg(
-            F.max("section_no").alias("done"),
-            F.collect_list(F.when(F.col("kept"), F.struct(F.array_join(F.array_distinct(F.split("lead", "")), "").alias("has"), F.length("lead").alias("size")))).alias("covers"),
-        ))
+        earliest = first_places(left, _BY_TITLE, "section_no", block).groupBy(*_BY_TITLE).agg(
+            F.array_sort(F.collect_list(F.struct("section_no", "lead"))).alias("leads")
+        )
+        settled = cut_lineage(earliest.select(*_BY_TITLE, "leads.section_no", "leads.lead").mapInArrow(choose, schema))
+        kept.append(settled.select(*_BY_TITLE, F.explode("kept").alias("section_no")))
+        covers = settled.filter("more").select(*_BY_TITLE, "done", "covers")
+        if covers.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
         signs = F.split("lead", "")
         covered = F.exists("covers", lambda k: F.size(F.filter(signs, lambda c: F.contains(k["has"], c))) > threshold * F.greatest(F.length("lead"), k["size"]))
         left = cut_lineage(
             left.join(covers, _BY_TITLE).filter((F.col("section_no") > F.col("done")) & ~covered).select(*_BY_TITLE, "lead", "section_no")
         )
-    return reduce(DataFrame.unionByName, kept)
 
 
 _BY_TITLE = ["company_id", "title"]
 
 
-def _uncovered(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Greedy choice over the leads of one title in order."""
+def _uncovered(threshold: float, block: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Greedy choice over the leads of each title in order, many titles in a batch; ``more`` where a title may go on."""
 
-    def choose(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("section_no")
-        chosen: list[tuple[set[str], int]] = []
-        kept = []
-        for lead in block["lead"]:
+    def choose(leads: list[str]) -> list[tuple[int, set[str], int]]:
+        chosen: list[tuple[int, set[str], int]] = []
+        for i, lead in enumerate(leads):
             counts = Counter(lead)
-            stays = not any(
-                sum(n for c, n in counts.items() if c in has) > threshold * max(len(lead), size) for has, size in chosen
-            )
-            kept.append(stays)
-            if stays:
-                chosen.append((set(counts), len(lead)))
-        return block[[*_BY_TITLE, "section_no", "lead"]].assign(kept=kept)
-
-    return choose
+            if not any(sum(n for c, n in counts.items() if c in has) > threshold * max(len(lead), size) for _, has, size in chosen):
+                chosen.append((i, set(counts), len(lead)))
+        return chosen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, more, kept, covers = [], [], [], []
+            for numbers, leads in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                last = len(leads) < block
+                chosen = choose(leads) if len(leads) > 1 or not last else None
+                done.append(numbers[-1])
+                more.append(not last)
+                kept.append(numbers if chosen is None else [numbers[i] for i, _, _ in chosen])
+                covers.append([] if last else [{"has": "".join(has), "size": size} for _, has, size in chosen])
+            rest = [pa.array(values, schema.field(i + 2).type) for i, values in enumerate((done, more, kept, covers))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema.field(0).type), batch.column(1).cast(schema.field(1).type), *rest], schema=schema)
+
+    return run
 
 
 def chart_rows(charts: DataFrame) -> DataFrame:
