@@ -18,6 +18,7 @@ from reportloom.vocabulary import CHART_SHEET, LEGACY_SHEETS, SHEET_ORDER
 PLACE = ["company_id", "block", "spot", "tie", "period_no", "part_id", "row_no", "cell_no"]
 CELL = [*PLACE, "sheet", "period", "part", "label", "header", "number", "text", "kind"]
 _POSITIONS = 1 << 32
+_PASSED_ON = 1 << 12  # periods of a scope that travel with the plan
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,10 @@ def databook_cells(reports: Reports, labels: list[str] | None = None, name_limit
         (F.row_number().over(within) - 1).cast("bigint").alias("period_no"),
     ))
 
+    if placed.limit(_PASSED_ON + 1).count() <= _PASSED_ON:
+        # Rows of known size, so Catalyst can keep texts and tables where they are read instead of dealing them by period.
+        placed = placed.sparkSession.createDataFrame(placed.toArrow(), placed.schema)
+
     def of_scope(rows: DataFrame) -> DataFrame:
         return rows.drop("company_id", "period", "period_no").join(placed, "period_id")
 

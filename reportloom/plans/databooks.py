@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.functions.naming import SPREADSHEET_LIMIT
 from reportloom.operators import databook, export
@@ -101,16 +101,20 @@ def clipped_table_dump(v: Views) -> DataFrame:
     return databook.table_dump(_dumped(v), known_types_only=True, clip=True).select(*_DUMP_COLUMNS)
 
 
-def _company_sections(v: Views) -> DataFrame:
-    """Sections of each company in order, some with bullet lines derived from the id."""
+def _bulleted() -> Column:
+    """Contents of sections, some with bullet lines derived from the id."""
     number = F.col("id")
     bullets = F.concat(*[
         x for k, m in ((1, 2), (2, 3), (3, 5), (4, 7))
         for x in (F.lit(f"\n• punkt {k} "), (number % m).cast("string"))
     ])
-    content = F.when(number % 3 == 0, F.concat("content", bullets)).otherwise(F.col("content"))
+    return F.when(number % 3 == 0, F.concat("content", bullets)).otherwise(F.col("content"))
+
+
+def _company_sections(v: Views) -> DataFrame:
+    """Sections of each company in order."""
     return v["sections"].select(
-        "company_id", number.alias("section_no"), "title", F.col("page_number").alias("page"), content.alias("content")
+        "company_id", F.col("id").alias("section_no"), "title", F.col("page_number").alias("page"), _bulleted().alias("content")
     )
 
 
@@ -319,8 +323,7 @@ SELECT DISTINCT 11, 0, 0, NULL, NULL, NULL, NULL, '═ SIFFROR ═', NULL, NULL,
 
 def export_reports(v: Views) -> export.Reports:
     """Sections stand in their period by their id; company 11 has only legacy statements."""
-    texts = _company_sections(v).select(F.col("section_no").alias("id"), "content")
-    sections = v["sections"].drop("content").join(texts, "id").withColumn("position", F.col("id"))
+    sections = v["sections"].withColumns({"content": _bulleted(), "position": F.col("id")})
     return export.Reports(
         v["periods"], v["financial_data"], v["report_tables"].filter("company_id <> 11"), v["charts"], sections
     )
