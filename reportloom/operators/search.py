@@ -22,7 +22,7 @@ from reportloom.session import cut_lineage
 
 Vector = Sequence[float]
 
-_CELLS = 1 << 22  # scores computed at once, 32 MB
+_CELLS = 1 << 20  # scores computed at once, 8 MB and as much for each step between
 _QUERY_BYTES = 1 << 25  # queries that travel with the tasks
 _ROW_BYTES = 1 << 26  # rows that one task holds against a block of queries
 
