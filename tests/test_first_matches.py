@@ -67,3 +67,13 @@ def test_many_wildcards_in_a_row_are_fast():
     start = time.time()
     assert not text_search._as_regex("%%%% of%%%% x%%% y%%").match("f of " * 40000)
     assert text_search._as_regex("%%%% of%%%% f%%").match("f of " * 40000) and time.time() - start < 5
+
+
+def test_frequent_terms_of_entries_are_not_joined_with_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(text_search, "matches", None)  # the step that makes every hit
+    entries = spark.range(600, numPartitions=3).select(
+        "id", F.lit("d").alias("domain"), F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("category"), F.lit("entry 7").alias("title"), F.lit("text").alias("content")
+    )
+    queries = spark.createDataFrame([(1, "try/7", None, None), (2, "text", "d", "c1"), (3, "text", "e", None)], "query_id int, text string, domain string, category string")
+    got = found(search.search_knowledge_texts(entries, queries, 2))
+    assert got == {1: [0, 1], 2: [1, 3]}
