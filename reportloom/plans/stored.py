@@ -29,12 +29,9 @@ def _ended(stream: StreamingQuery) -> None:
         raise stream.exception()
 
 
-def _children(v: Views, keep: str = "true") -> dict[str, DataFrame]:
-    periods = v["periods"].filter(keep).select(F.col("id").alias("period_id"))
-    return {
-        name: v[view].drop("company_id", "year", "quarter").join(periods, "period_id", "left_semi")
-        for name, view in (("financial_data", "financial_data"), ("sections", "sections"), ("report_tables", "report_tables"), ("charts", "charts"))
-    }
+def _children(v: Views) -> dict[str, DataFrame]:
+    """Rows of all periods; the store takes those of the periods it is given."""
+    return {name: v[name].drop("company_id", "year", "quarter") for name in ("financial_data", "sections", "report_tables", "charts")}
 
 
 def _stored_periods(v: Views, root: str) -> None:
@@ -54,9 +51,10 @@ LEFT JOIN (SELECT period_id, count(*) AS n FROM {tables} GROUP BY period_id) t O
 def replaced_periods(v: Views) -> DataFrame:
     """All periods stored, those of second quarters replaced: fewer statements, no tables, charts that cannot be written."""
     root = _folder(v)
+    v.keep("period_counts", "financial_data", "chart_points")  # few rows a period, from all lines and orders
     _stored_periods(v, root)
     again = v["periods"].filter("quarter = 2").withColumn("source_file", F.lit("replaced"))
-    children = _children(v, "quarter = 2")
+    children = _children(v)
     children["financial_data"] = children["financial_data"].filter("statement_type = 'resultatrakning'")
     children["report_tables"] = children["report_tables"].filter("false")
     children["charts"] = children["charts"].withColumn("title", F.raise_error(F.col("title")).cast("string"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportloom.schemas import EXTRACTION_META
+from reportloom.session import cut_lineage
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -217,6 +218,11 @@ class Views:
                 self._made[name] = getattr(self, f"_{name}")()
         return self._made[name]
 
+    def keep(self, *names: str) -> None:
+        """Store the rows of these views, so what is derived from them later does not compute them again. Runs jobs."""
+        for name in names:
+            self._made[name] = cut_lineage(self[name])
+
     def _report_tables(self) -> DataFrame:
         """Nested tables; a table has at most six rows here, one per part type."""
         text = F.lit(None).cast("string")

@@ -31,6 +31,7 @@ from reportloom.sources.payloads import (
 _PARTITION = ["year", "quarter"]
 #: Last batch of each stream of vectors that a stored period has counted.
 _COUNTED, _COUNTED_TYPE = "vector_batches", "map<string,bigint>"
+_PASSED_ON = 1 << 12  # keys of periods that travel with the plan
 MANDATORY = ["financial_data", "sections", "report_tables"]
 OPTIONAL = ["charts"]
 
@@ -64,15 +65,24 @@ def _remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _passed_on(keys: DataFrame) -> DataFrame:
+    """Stored rows; while they are few as rows of known size, so Catalyst brings them to the children where these are read."""
+    keys = cut_lineage(keys)
+    if keys.limit(_PASSED_ON + 1).count() > _PASSED_ON:
+        return keys
+    return keys.sparkSession.createDataFrame(keys.toArrow(), keys.schema)
+
+
 def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children: dict[str, DataFrame]) -> None:
     """Replace periods by (company, quarter, year) together with all their children.
 
     A failing mandatory child leaves the stored tables as they were; failing charts only warn, and the charts of the
-    replaced periods are gone. Running it again with the same input changes nothing. Runs jobs.
+    replaced periods are gone. Running it again with the same input changes nothing. The periods are computed once. Runs jobs.
     """
     stage = f"{root}/_staging/{uuid.uuid4().hex}"
     same = ["company_id", *_PARTITION]
-    keys = cut_lineage(periods.select(F.col("id").alias("period_id"), *same))
+    periods = cut_lineage(periods)
+    keys = _passed_on(periods.select(F.col("id").alias("period_id"), *same))
     touched = _touched(keys)
 
     if _COUNTED not in periods.columns:
@@ -81,7 +91,7 @@ def replace_periods(spark: SparkSession, root: str, periods: DataFrame, children
     # A period that comes again keeps what it has counted, so an older batch that runs again stays without effect.
     periods = periods.drop(_COUNTED).join(old.select("id", _COUNTED), "id", "left").select(periods.columns)
     replaced = old.join(keys.select(*same), same, "left_semi").select(F.col("id").alias("period_id"))
-    gone = cut_lineage(replaced.unionByName(keys.select("period_id")).distinct())
+    gone = _passed_on(replaced.unionByName(keys.select("period_id")).distinct())
     merged = old.join(keys.select(*same), same, "left_anti").unionByName(periods)
     merged.write.mode("overwrite").partitionBy(*_PARTITION).parquet(f"{stage}/periods")
 
