@@ -362,7 +362,7 @@ def search_knowledge_texts(
         "query_id", "domain", "category", F.explode(F.when(F.size(words) > 1, used).otherwise(F.array("text"))).alias("term")
     )
     own = {"domain": "domain", "category": "category"}
-    return knowledge.join(first_matches(knowledge_texts(knowledge), terms, k, index, own), "id")
+    return knowledge.join(first_matches(knowledge_texts(knowledge), terms, k, index, own, ids=knowledge.select("id")), "id")
 
 
 def hybrid_top_k(

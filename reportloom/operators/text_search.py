@@ -258,7 +258,7 @@ def _ranges(ids: DataFrame, first: int, growth: int) -> Iterator[Column]:
 
 def first_matches(
     texts: DataFrame, terms: DataFrame, k: int, index: DataFrame | None = None, filters: dict[str, str] | None = None,
-    term_bytes: int = _TERM_BYTES, first: int = _FIRST, growth: int = _GROWTH,
+    term_bytes: int = _TERM_BYTES, first: int = _FIRST, growth: int = _GROWTH, ids: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id``, ``id``, ``place`` of the first ``k`` ids by order whose texts contain a term of the query.
 
@@ -268,7 +268,7 @@ def first_matches(
     next, so what is left is the rarer the more texts there are to read. A text is looked into for the terms whose
     rarest run it holds; a task sends at most ``k`` ids of a query. After the first range stored posting lists
     (``index``) serve the rest. Up to ``term_bytes`` of queries travel with the tasks; more are taken in blocks of that
-    size, one after the other. Runs jobs.
+    size, one after the other. ``ids`` (id), where they can be had without the texts, place the cuts of the ranges. Runs jobs.
     """
     filters = filters or {}
     names = [f"f{i}" for i in range(len(filters))]
@@ -281,11 +281,15 @@ def first_matches(
         "id", F.col("part").cast("int").alias("part"), F.col("text"), *[F.col(c).cast("string").alias(n) for n, c in zip(names, filters.values())]
     )
     size = distinct.agg(F.sum(F.aggregate("terms", F.lit(64).cast("bigint"), lambda n, t: n + 64 + F.octet_length(t))).alias("n")).first()["n"] or 0
-    ranges, blocks = list(_ranges(own.select("id"), first, growth)) if size else [], max(1, -(-size // term_bytes))
+    ranges, blocks = list(_ranges((texts if ids is None else ids).select("id"), first, growth)) if size else [], max(1, -(-size // term_bytes))
     parts = []
-    for block in range(blocks):
+    if ranges:
+        # Few bytes but every query is asked here: dealt out to all cores, or one task would look for all of them.
+        cores = texts.sparkSession.sparkContext.defaultParallelism
+        head = cut_lineage(own.filter(ranges[0]).repartition(cores, "id"))
+    for block in range(blocks if ranges else 0):
         some = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        parts += _first_of_block(own, some, k, ranges, index, names)
+        parts += _first_of_block(own, head, some, k, ranges, index, names)
     if not parts:
         return queries.limit(0).crossJoin(texts.limit(0)).select("query_id", "id", F.lit(0).alias("place"))
     found = first_hits(reduce(DataFrame.unionByName, parts), k).withColumnRenamed("query_id", "_as")
@@ -295,20 +299,20 @@ def first_matches(
 
 
 def _first_of_block(
-    texts: DataFrame, asked: DataFrame, k: int, ranges: list[Column], index: DataFrame | None, names: list[str]
+    texts: DataFrame, head: DataFrame, asked: DataFrame, k: int, ranges: list[Column], index: DataFrame | None, names: list[str]
 ) -> list[DataFrame]:
-    """Hits of each range (query_id, id), up to ``k`` of a query."""
+    """Hits of each range (query_id, id), up to ``k`` of a query; ``head`` holds the texts of the first range."""
     table, found = asked.toArrow(), []
     terms = sorted({t for own in table["terms"].to_pylist() for t in own})
     if not terms:
         return []
-    anchors = _rarest_runs(texts.filter(ranges[0]), terms)
+    anchors = _rarest_runs(head, terms)
     for i, inside in enumerate(ranges):
         if i == 1 and index is not None:
             left = texts.sparkSession.createDataFrame(table) if len(table) else asked.limit(0)
             found.append(_indexed(texts, left, index, names, ~ranges[0]))
             break
-        hits = cut_lineage(first_hits(_look(texts.filter(inside), table, anchors, k, names), k).drop("place"))
+        hits = cut_lineage(first_hits(_look(texts.filter(inside) if i else head, table, anchors, k, names), k).drop("place"))
         found.append(hits)
         if i == len(ranges) - 1:
             break

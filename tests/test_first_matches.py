@@ -7,8 +7,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from check_queries import DATA
 from reportloom.operators import search, text_search
-from test_search_tables import TERMS, TEXTS
+from reportloom.plans.views import Views
+from test_search_tables import TERMS, TEXTS, plan_text
 
 
 def plain(spark, texts, asked, k):
@@ -77,3 +79,21 @@ def test_frequent_terms_of_entries_are_not_joined_with_all_texts(spark, monkeypa
     queries = spark.createDataFrame([(1, "try/7", None, None), (2, "text", "d", "c1"), (3, "text", "e", None)], "query_id int, text string, domain string, category string")
     got = found(search.search_knowledge_texts(entries, queries, 2))
     assert got == {1: [0, 1], 2: [1, 3]}
+
+
+def test_ranges_of_entries_are_cut_without_their_texts(spark, monkeypatch):
+    plans, ranges = [], text_search._ranges
+    monkeypatch.setattr(text_search, "_ranges", lambda ids, *a: plans.append(plan_text(ids)) or ranges(ids, *a))
+    v = Views(spark, str(DATA))
+    assert search.search_knowledge_texts(v["knowledge"], v["searches"].withColumnRenamed("entry_text", "text"), 20).count()
+    assert len(plans) == 1 and "ReadSchema" in plans[0] and "text:string" not in plans[0]
+
+
+def test_the_first_range_is_not_one_task(spark, monkeypatch):
+    """Every query is asked in the first range, so its few bytes must not lie in one partition."""
+    tasks, look = [], text_search._look
+    monkeypatch.setattr(text_search, "_look", lambda texts, *a: tasks.append(texts.select(F.spark_partition_id()).distinct().count()) or look(texts, *a))
+    texts = spark.range(400, numPartitions=1).select("id", F.lit(0).alias("part"), F.lit("a needle").alias("text"))
+    terms = spark.createDataFrame([(1, "needle"), (2, "a n")], "query_id int, term string")
+    assert found(text_search.first_matches(texts, terms, 2)) == {1: [0, 1], 2: [0, 1]}
+    assert tasks == [spark.sparkContext.defaultParallelism]
