@@ -6,7 +6,8 @@
    others over all buckets. Every class is linked to the pivot it shares most bands with and to its most central one, if
    the full sets confirm it. Most groups are one component after that.
 4. Buckets that still hold several components compare their sketches block by block across components; pairs above the
-   estimate are confirmed on the full sets. Pairs inside a component need no test, so nothing is lost.
+   estimate are confirmed on the full sets. Pairs inside a component need no test, so nothing is lost. Their components
+   are then the nodes that are linked on.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _features(docs: DataFrame, width: int, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full shingle sets reach the threshold. Runs jobs.
+    """The pairs (``a``, ``b``) whose full shingle sets reach the threshold, all columns as they were. Runs jobs.
 
     Only the texts that a pair names leave their place: up to two million ids are broadcast to find them, more are joined.
     """
@@ -72,7 +73,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
     if wanted.count() <= _BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "id", "left_semi")
-    kind = docs.schema["id"].dataType.simpleString()
+    columns, schema = pairs.columns, pairs.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -86,11 +87,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
                     a, b = sets[i], sets[j]
                     both = shared(a, b)
                     linked.append(100 * both >= percent * (a.size + b.size - both) and both > 0)
-                yield batch.loc[linked, ["a", "b"]]
+                yield batch.loc[linked, columns]
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut_lineage(both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}"))
+    return cut_lineage(both.select(*columns, "text_a", "text_b").mapInPandas(run, schema))
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -114,6 +115,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[s
 def _across(members: DataFrame, size: int, rows: int, estimate: float) -> DataFrame:
     """Pairs of one bucket and different components whose sketches agree enough; each in its first common band only.
 
+    Gives ``a`` and ``b``, the lesser id first, with their components ``of_a`` and ``of_b``.
     ``members`` has ``key``, ``band``, ``id``, ``component``, ``n`` (rows of the bucket) and ``sketch``. A bucket is dealt
     into blocks of about 1024 rows, a task group is two blocks at most.
     """
@@ -146,10 +148,13 @@ def _across(members: DataFrame, size: int, rows: int, estimate: float) -> DataFr
                     continue
                 same = (sketches[x] == sketches[y])[:, : bands * rows].reshape(-1, bands, rows).all(axis=2)
                 first = same.argmax(axis=1) == g["band"][0]
-                a, b = g["id"][x][first], g["id"][y][first]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                x, y = x[first], y[first]
+                lesser = g["id"][x] <= g["id"][y]
+                a, b = np.where(lesser, x, y), np.where(lesser, y, x)
+                yield pd.DataFrame({"a": g["id"][a], "b": g["id"][b], "of_a": g["component"][a], "of_b": g["component"][b]})
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, f"a {kind}, b {kind}")
+    schema = ", ".join(f"{c} {kind}" for c in ("a", "b", "of_a", "of_b"))
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, schema)
 
 
 def near_duplicates(
@@ -196,10 +201,12 @@ def near_duplicates(
     open_members = attach(placed, open_buckets.filter("least <> most").select("key", "n"), ["key"])
     sketched = open_members.join(classes.select("id", "sketch"), "id")
     pairs = _across(sketched, size, rows, least_estimate(percent, size)).distinct()
-    found = components(links.union(_confirmed(pairs, plain, percent, width)))
+    across = _confirmed(pairs, plain, percent, width)
+    merged = components(across.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).toDF("component", "whole")
 
     labels = classes.select("signature", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    labels = labels.select("signature", F.coalesce("component", "id").alias("component"))
+    labels = attach(labels.select("signature", F.coalesce("component", "id").alias("component")), merged, ["component"], "left")
+    labels = labels.select("signature", F.coalesce("whole", "component").alias("component"))
     linked = attach(features.filter(linkable).drop("sketch"), labels, ["signature"])
     alone = features.filter(~linkable | F.col("id").isNull()).select("id", "n", F.col("id").alias("component"))
     return linked.select("id", "n", "component").union(alone).select(

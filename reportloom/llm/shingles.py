@@ -47,7 +47,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, np.append(0, ends_of_texts)))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, batch_bytes: int = 1 << 21) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = 5, batch_bytes: int = 1 << 18) -> list[np.ndarray]:
     """Sorted distinct hashes of the runs of ``width`` words; a shorter text is one run, an empty or null one has none."""
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     out: list[np.ndarray] = []
