@@ -5,7 +5,7 @@ import tracemalloc
 
 import pytest
 
-from reportloom.llm import components, near_dedup
+from reportloom.llm import common, components, near_dedup
 from reportloom.llm.shingles import shingle_sets
 
 
@@ -54,3 +54,17 @@ def test_memory_of_a_batch():
     held, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert len(sets) == 2000 and peak - held < 40 << 20
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_rows_that_go(spark, monkeypatch, most):
+    """A few keys that go are brought to the rows, whose texts are not dealt out; many are joined, with the same rows."""
+    monkeypatch.setattr(common, "_BROADCAST_KEYS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).selectExpr("id", "cast(id as string) as text")
+        left = common.without_rows(rows, "id", spark.range(0, 1000, 3).toDF("x"), ["id", "text"])
+        assert sorted(r.id for r in left.collect()) == [i for i in range(1000) if i % 3]
+        assert ("Exchange hashpartitioning" in left._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
