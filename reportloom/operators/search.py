@@ -22,9 +22,12 @@ from reportloom.session import cut_lineage
 
 Vector = Sequence[float]
 
-_CELLS = 1 << 20  # scores computed at once, 8 MB and as much for each step between
+_CELLS = 1 << 20  # scores computed at once, 4 MB and as much for each step between
+_TILE = 512  # queries of them
+_SPARSE = 256  # a word that a larger part of the pairs share is counted by a product
 _QUERY_BYTES = 1 << 25  # queries that travel with the tasks
 _ROW_BYTES = 1 << 26  # rows that one task holds against a block of queries
+_HITS = 1 << 20  # hits whose ids travel to the sections, 8 MB
 
 
 @dataclass(frozen=True)
@@ -59,47 +62,136 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Positions and unit vectors of each length; a zero vector or one with a null is not a number."""
+    """Positions and unit vectors of each length; a zero vector, one with a null or no finite component is left out."""
     lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     found = {}
     for n in np.unique(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == n)
-        found[int(n)] = at, _unit_rows(_matrix(vectors.take(pa.array(at))))
+        unit = _unit_rows(_matrix(vectors.take(pa.array(at))))
+        finite = np.isfinite(unit).all(axis=1)
+        found[int(n)] = (at, unit) if finite.all() else (at[finite], unit[finite])
     return found
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _longest(unit: np.ndarray) -> float:
+    """At least 1: unit vectors of very small numbers may be longer."""
+    return max(1.0, float(np.sqrt((unit * unit).sum(axis=1).max(initial=0))))
+
+
 class _Best:
     """The best ``k`` rows of each query so far: higher score first, then smaller id."""
 
     def __init__(self, queries: int, k: int) -> None:
-        self.k, self.floor = k, np.full(queries, -np.inf)
-        self.query, self.score, self.id = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object)
+        self.k = max(1, k)
+        self._scores, self._ids = np.empty((queries, 0)), np.empty((queries, 0), dtype=object)
+
+    def floor(self, queries: np.ndarray) -> np.ndarray:
+        """The score that a row needs at least."""
+        return self._scores[queries, -1] if self._scores.shape[1] == self.k else np.full(len(queries), -np.inf)
 
     def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of ``queries`` by ``ids``; what is not a finite number is no hit."""
-        hit = np.isfinite(scores) & (scores >= self.floor[queries][:, None])
-        if scores.shape[1] > self.k:
-            low = np.partition(np.where(hit, scores, -np.inf), -self.k, axis=1)[:, -self.k]
-            hit &= scores >= low[:, None]
-        q, r = np.nonzero(hit)
-        if not len(q):
+        """Pairs of a query and a row; what is not a finite number is no hit. Only the queries of these pairs are sorted anew."""
+        floor = self.floor(queries)
+        hit = np.isfinite(scores) & (scores >= floor)
+        level = np.flatnonzero(hit & (scores == floor))
+        hit[level] = ids[level] < self._ids[queries[level], -1] if len(level) else False
+        if not hit.any():
             return
-        query = np.concatenate([self.query, queries[q]])
-        score = np.concatenate([self.score, scores[q, r]])
-        ids = np.concatenate([self.id, ids[r]])
+        touched, at = np.unique(queries[hit], return_inverse=True)
+        if ids.dtype != self._ids.dtype:
+            self._ids = self._ids.astype(object if self._ids.shape[1] else ids.dtype)
+        old = self._scores[touched]
+        held = np.isfinite(old)
+        query = np.concatenate([np.nonzero(held)[0], at])
+        score = np.concatenate([old[held], scores[hit]])
+        ids = np.concatenate([self._ids[touched][held], ids[hit]])
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
         start = np.append(True, query[1:] != query[:-1])
         place = np.arange(len(query)) - np.flatnonzero(start)[np.cumsum(start) - 1]
         stays = place < self.k
-        full = place == self.k - 1
-        self.floor[query[full]] = score[full]
-        self.query, self.score, self.id = query[stays], score[stays], ids[stays]
+        query, score, ids, place = query[stays], score[stays], ids[stays], place[stays]
+        more = int(place.max()) + 1 - self._scores.shape[1]
+        if more > 0:
+            self._scores = np.pad(self._scores, ((0, 0), (0, more)), constant_values=-np.inf)
+            self._ids = np.pad(self._ids, ((0, 0), (0, more)))
+        self._scores[touched] = -np.inf
+        self._scores[touched[query], place] = score
+        self._ids[touched[query], place] = ids
+
+    @property
+    def query(self) -> np.ndarray:
+        return np.nonzero(np.isfinite(self._scores))[0]
+
+    @property
+    def score(self) -> np.ndarray:
+        return self._scores[np.isfinite(self._scores)]
+
+    @property
+    def id(self) -> np.ndarray:
+        return self._ids[np.isfinite(self._scores)]
+
+
+class _Words:
+    """Which of some owners hold which words, word by word."""
+
+    def __init__(self, code: np.ndarray, owner: np.ndarray) -> None:
+        order = np.argsort(code, kind="stable")
+        self.owner = owner[order]
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.bounds = np.append(first, len(code))
+
+    def shared(self, rows: _Words, height: int, width: int) -> np.ndarray | None:
+        """How many words each of ``height`` owners shares with each of ``width`` rows; None where nobody shares any.
+
+        Words of many pairs are a product of two matrices of zeros and ones, of the others each pair is counted on its own.
+        """
+        if not len(self.codes) or not len(rows.codes):
+            return None
+        mine, theirs = _both(rows.codes, self.codes)[1], _both(self.codes, rows.codes)[1]
+        if not len(mine):
+            return None
+        at, own = self.bounds[mine], self.bounds[mine + 1] - self.bounds[mine]
+        row_at, held = rows.bounds[theirs], rows.bounds[theirs + 1] - rows.bounds[theirs]
+        many = own * held * _SPARSE > height * width
+        number = int(many.sum())
+        if number:
+            left, right = np.zeros((height, number), dtype=np.float32), np.zeros((number, width), dtype=np.float32)
+            left[self.owner[_spans(at[many], own[many])], np.repeat(np.arange(number), own[many])] = 1
+            right[np.repeat(np.arange(number), held[many]), rows.owner[_spans(row_at[many], held[many])]] = 1
+            counts = left @ right
+        else:
+            counts = np.zeros((height, width), dtype=np.float32)
+        at, own, row_at, held = at[~many], own[~many], row_at[~many], held[~many]
+        ends, first = np.cumsum(own * held), 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _CELLS, "right")))
+            part = slice(first, last)
+            sizes = np.repeat(held[part], own[part])
+            owner = np.repeat(self.owner[_spans(at[part], own[part])], sizes)
+            row = rows.owner[_spans(np.repeat(row_at[part], own[part]), sizes)]
+            np.add.at(counts.reshape(-1), owner * width + row, np.float32(1))
+            first = last
+        return counts
+
+
+class _Part:
+    """Some queries under the same filters, with vectors of one length."""
+
+    def __init__(self, at: np.ndarray, unit: np.ndarray, weight: float, words: _Words | None) -> None:
+        self.at, self.unit, self.words = at, unit, words
+        self.single, self.longest = (unit * weight).astype(np.float32), _longest(unit)
 
 
 class _Queries:
@@ -109,79 +201,94 @@ class _Queries:
         table = table.combine_chunks()
         columns = {name: table[name].combine_chunks() for name in table.column_names}
         self.ids, self.filters, self.weights = columns["query_id"], filters, weights
-        self.vectors = _by_length(columns["vector"])
         groups: dict[tuple[int, ...], dict[tuple, list[int]]] = {}
         given = list(zip(*[columns[f].to_pylist() for f in filters])) if filters else [()] * len(table)
         for i, values in enumerate(given):
             pattern = tuple(j for j, v in enumerate(values) if v is not None)
             groups.setdefault(pattern, {}).setdefault(tuple(values[j] for j in pattern), []).append(i)
-        self.groups = {p: {key: np.array(at) for key, at in by_key.items()} for p, by_key in groups.items()}
         if weights is not None:
             words = columns["words"]
-            self.counts = np.maximum(1, words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            self.counts = np.maximum(1, sizes)
             flat = words.flatten().dictionary_encode()
-            owner = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(code, kind="stable")
-            self.vocabulary, self.holders = flat.dictionary, owner[order]
-            self.bounds = np.searchsorted(code[order], np.arange(len(flat.dictionary) + 1))
+            self.vocabulary, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+        self.groups: dict[tuple[int, ...], dict[tuple, dict[int, list[_Part]]]] = {}
+        vectors = _by_length(columns["vector"])
+        for pattern, by_key in groups.items():
+            for key, own in by_key.items():
+                parts = self.groups.setdefault(pattern, {}).setdefault(key, {})
+                for n, (with_vector, unit) in vectors.items():
+                    at, spot = _both(np.array(own), with_vector)
+                    for start in range(0, len(at), _TILE):
+                        some, held = at[start : start + _TILE], None
+                        if weights is not None:
+                            held = _Words(codes[_spans(first[some], sizes[some])], np.repeat(np.arange(len(some)), sizes[some]))
+                        part = _Part(some, unit[spot[start : start + _TILE]], weights[1] if weights else 1.0, held)
+                        parts.setdefault(n, []).append(part)
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def shared_words(self, words: pa.Array) -> np.ndarray:
-        """How many of a query's words each text has, queries by rows."""
-        rows = len(words)
-        counts = np.zeros(len(self) * rows, dtype=np.int64)
-        code = pc.index_in(words.flatten(), value_set=self.vocabulary)
-        row = np.repeat(np.arange(rows), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        known = code.is_valid().to_numpy(zero_copy_only=False)
-        code, row = code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), row[known]
-        size = self.bounds[code + 1] - self.bounds[code]
-        ends = np.cumsum(size)
-        first = 0
-        while first < len(code):
-            done = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, done + _CELLS, "right")))
-            own = size[first:last]
-            within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-            holder = self.holders[np.repeat(self.bounds[code[first:last]], own) + within]
-            np.add.at(counts, holder * rows + np.repeat(row[first:last], own), 1)
-            first = last
-        return counts.reshape(len(self), rows)
-
     def meet(self, batch: pa.RecordBatch | pa.Table, best: _Best) -> None:
         """Scores of all rows of a batch (id, v, words, filters) go into ``best``, a block of rows at a time."""
-        height = max(1, _CELLS // max(1, len(self)))
+        height = max(1, _CELLS // max(1, min(_TILE, len(self))))
         for start in range(0, batch.num_rows, height):
             part = batch.slice(start, height)
             columns = {n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in zip(part.schema.names, part.columns)}
-            ids = np.array(columns["id"].to_pylist(), dtype=object)
-            shared = self.shared_words(columns["words"]) if self.weights is not None else None
+            ids = columns["id"]
+            if pa.types.is_integer(ids.type) and not ids.null_count:
+                ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+            else:
+                ids = np.array([*ids.to_pylist(), None], dtype=object)[:-1]
+            if self.weights is not None:
+                sizes = columns["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                code = pc.index_in(columns["words"].flatten(), value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+                first = np.cumsum(sizes) - sizes
             rows_of = _by_length(columns["v"])
             given = [columns[f].to_pylist() for f in self.filters]
             for pattern, by_key in self.groups.items():
                 for key, rows in _grouped(given, pattern, by_key, len(ids)):
-                    self._score(by_key[key], rows, rows_of, shared, ids, best)
-
-    def _score(
-        self, queries: np.ndarray, rows: np.ndarray | None, rows_of: dict[int, tuple[np.ndarray, np.ndarray]],
-        shared: np.ndarray | None, ids: np.ndarray, best: _Best,
-    ) -> None:
-        """One product for each length of vectors; ``rows`` None takes all rows."""
-        for n, (at, unit) in rows_of.items():
-            if n not in self.vectors:
-                continue
-            with_vector, query_unit = self.vectors[n]
-            q, from_q = _both(queries, with_vector)
-            r, from_r = (at, np.arange(len(at))) if rows is None else _both(rows, at)
-            if not len(q) or not len(r):
-                continue
-            scores = query_unit[from_q] @ unit[from_r].T
+                    for n, (at, unit) in rows_of.items():
+                        r, spot = (at, slice(None)) if rows is None else _both(rows, at)
+                        parts = by_key[key].get(n, [])
+                        if not len(r) or not parts:
+                            continue
+                        held = None
+                        if self.weights is not None:
+                            own = code[_spans(first[r], sizes[r])].astype(np.int64)
+                            held = _Words(own[own >= 0], np.repeat(np.arange(len(r)), sizes[r])[own >= 0])
+                        self._score(parts, unit[spot], held, ids[r], best)
+
+    def _score(self, parts: list[_Part], unit: np.ndarray, held: _Words | None, ids: np.ndarray, best: _Best) -> None:
+        """Single precision finds the pairs that may be among the best, with room for its errors; these are scored in double.
+
+        A pair's score is a sum over its own two vectors, so equal vectors score the same wherever they stand.
+        """
+        text, cosine = self.weights or (0.0, 1.0)
+        (rows, n), single, longest = unit.shape, unit.astype(np.float32), _longest(unit)
+        for part in parts:
+            near = part.single @ single.T
+            shared = part.words.shared(held, len(part.at), rows) if held is not None else None
             if shared is not None:
-                text = shared[np.ix_(q, r)] / self.counts[q][:, None]
-                scores = self.weights[0] * text + self.weights[1] * scores
-            best.add(q, ids[r], scores)
+                near += shared * (text / self.counts[part.at]).astype(np.float32)[:, None]
+            # Twice the bound of rounding in a sum of n products, which is n / 2 ulps of the lengths.
+            room = (n + 16) * 2.0**-23 * (abs(cosine) * part.longest * longest + abs(text))
+            floor = best.floor(part.at)
+            low = (floor - room).astype(np.float32)
+            open_ = np.flatnonzero(np.isneginf(floor))
+            if len(open_) and rows > best.k:
+                low[open_] = np.partition(near[open_], rows - best.k, axis=1)[:, rows - best.k] - np.float32(2 * room)
+            pairs = np.flatnonzero(near >= low[:, None])
+            q, r = np.divmod(pairs, rows)
+            scores, step = np.empty(len(pairs)), max(1, _CELLS // n)
+            for start in range(0, len(pairs), step):
+                some = slice(start, start + step)
+                scores[some] = (part.unit[q[some]] * unit[r[some]]).sum(axis=1)
+            if self.weights is not None:
+                common = 0 if shared is None else shared.reshape(-1)[pairs].astype(np.float64)
+                scores = text * (common / self.counts[part.at[q]]) + cosine * scores
+            best.add(part.at[q], ids[r], scores)
 
     def result(self, best: _Best, schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -192,6 +299,8 @@ class _Queries:
 
 def _both(wanted: np.ndarray, sorted_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of ``wanted`` that occur in ``sorted_at``, and where."""
+    if not len(sorted_at):
+        return wanted[:0], np.empty(0, dtype=np.int64)
     spot = np.minimum(np.searchsorted(sorted_at, wanted), len(sorted_at) - 1)
     found = sorted_at[spot] == wanted
     return wanted[found], spot[found]
@@ -409,20 +518,23 @@ def search_sections(
 
     Hybrid and vector search score the same sections, so what finds nothing in the first finds nothing in the second
     and is not searched for again. ``sections`` carry ``slug`` when queries name a company. The hits of all stages meet
-    as narrow rows and are joined with the sections once; ``lead`` cuts the excerpt of a scored section (None: whole).
+    as narrow rows, stored, and are joined with the sections once; ``lead`` cuts the excerpt of a scored section (None: whole).
     Runs jobs.
     """
-    asked = query_table(sections, queries)
+    # Stored: every stage asks again, and the table may come from texts as long as the sections.
+    asked = cut_lineage(query_table(sections, queries))
     scored = sections.limit(0).select(F.lit(0).cast(asked.schema["query_id"].dataType).alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("place"))
     if use_hybrid or use_vector:
         weights = (0.3, 0.7) if use_hybrid else None
         scored = cut_lineage(top_k(sections, asked, k, filters=_company_filter(sections, asked), weights=weights))
     rest = asked.join(scored.select("query_id").distinct(), "query_id", "left_anti")
     texts = _text_places(sections, rest, k, index)
-    narrow = scored.withColumn("search_type", F.lit("hybrid" if use_hybrid else "semantic")).unionByName(
+    narrow = cut_lineage(scored.withColumn("search_type", F.lit("hybrid" if use_hybrid else "semantic")).unionByName(
         texts.select("query_id", "id", F.lit(None).cast("double").alias("score"), "place", F.lit("text").alias("search_type"))
-    )
-    whole = sections.join(narrow, "id").join(asked.select("query_id", F.col("text").alias("_asked")), "query_id")
+    ))
+    # A million ids travel to the sections, so that texts without a hit are not dealt out.
+    shown_only = sections.join(F.broadcast(narrow.select("id")), "id", "left_semi") if narrow.count() <= _HITS else sections
+    whole = shown_only.join(narrow, "id").join(asked.select("query_id", F.col("text").alias("_asked")), "query_id")
     head = F.col("content") if lead is None else cut(F.col("content"), lead)
     shown = F.when(F.col("search_type") == "text", excerpt(F.col("content"), F.col("_asked"))).otherwise(head)
     return whole.select(

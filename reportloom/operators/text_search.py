@@ -189,52 +189,130 @@ def _as_regex(term: str) -> re.Pattern[str]:
 
 
 class _Searches:
-    """Searches of a task: the terms under one run each, and who asks for a term under which values of the filters."""
+    """Searches of a task: who asks for which terms under which values of the filters, and where texts hold these terms."""
 
     def __init__(self, table: pa.Table, anchors: dict[str, int], filters: list[str]) -> None:
         columns = {name: table[name].to_pylist() for name in table.column_names}
         given = list(zip(*[columns[f] for f in filters])) if filters else [()] * len(table)
-        self.askers: dict[str, dict[tuple[int, ...], dict[tuple, list[int]]]] = {}
+        self.askers: dict[tuple[int, ...], dict[tuple, dict[str, list[int]]]] = {}
         for i, (terms, values) in enumerate(zip(columns["terms"], given)):
             pattern = tuple(j for j, v in enumerate(values) if v is not None)
-            key = tuple(values[j] for j in pattern)
+            own = self.askers.setdefault(pattern, {}).setdefault(tuple(values[j] for j in pattern), {})
             for term in terms:
-                self.askers.setdefault(term, {}).setdefault(pattern, {}).setdefault(key, []).append(i)
-        self.ids = columns["query_id"]
-        self.regexes = {t: _as_regex(t) for t in self.askers if re.search(r"[%_\\]", t)}
-        self.under: dict[int, list[str]] = {}
-        for term in self.askers:
-            self.under.setdefault(anchors[term], []).append(term)
-        runs = np.array(sorted(self.under), dtype=np.int64)
-        # Runs of one, two and three characters, each with marks of the slots they fall into.
-        self.kinds = []
-        for n, low, high in ((1, 1, 1 << 21), (2, 1 << 21, 1 << 42), (3, 1 << 42, 1 << 63)):
-            own = np.array([r for r in runs.tolist() if low <= r < high], dtype=np.int64)
-            if len(own):
-                marks = np.zeros(_SLOTS, dtype=bool)
-                marks[_slots(own)] = True
-                self.kinds.append((n, own, marks))
-
-    def terms_in(self, text: str) -> Iterator[str]:
-        """The terms whose run the text holds, and those without one."""
-        found: set[int] = {_EVERY}
-        for start in range(0, len(text), _PIECE):
-            c = np.frombuffer(text[start : start + _PIECE + _RUN - 1].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) + 1
-            for n, own, marks in self.kinds:
-                runs = c if n == 1 else (c[:-1] << 21) | c[1:] if n == 2 else (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-                runs = runs[marks[_slots(runs)]]
-                at = np.minimum(np.searchsorted(own, runs), len(own) - 1)
-                found.update(own[at[own[at] == runs]].tolist())
-        for run in found:
-            yield from self.under.get(run, ())
+                own.setdefault(term, []).append(i)
+        self.ids, self.anchors = columns["query_id"], anchors
+        self.regexes = {t: _as_regex(t) for t in {t for own in columns["terms"] for t in own} if re.search(r"[%_\\]", t)}
+        self.groups: set[tuple] | None = None
+
+    def candidates(self, texts: pa.Array, values: list[tuple]) -> Iterator[tuple[int, str, str, list[int]]]:
+        """Row, text, term and who asks of each term that a row may hold; terms asked of no row here are not looked for."""
+        found = [{k: self.askers[p].get(k) for k in {tuple(v[j] for j in p) for v in values}} for p in self.askers]
+        groups = {(p, k) for p, by_key in zip(self.askers, found) for k, own in by_key.items() if own is not None}
+        if groups != self.groups:
+            terms = sorted({t for p, k in groups for t in self.askers[p][k]})
+            self.groups, self.terms = groups, _Terms(terms, self.anchors, self.regexes)
+        asked = [[own for p, by_key in zip(self.askers, found) if (own := by_key[tuple(v[j] for j in p)]) is not None] for v in values]
+        last, text = -1, ""
+        for row, term in self.terms.found_in(texts):
+            for own in asked[row]:
+                if term in own:
+                    if row != last:
+                        last, text = row, texts[row].as_py()
+                    yield row, text, term, own[term]
 
     def holds(self, text: str, term: str) -> bool:
         regex = self.regexes.get(term)
         return term in text if regex is None else regex.match(text) is not None
 
 
-def _slots(runs: np.ndarray) -> np.ndarray:
-    return ((runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+class _Terms:
+    """Finds terms in the bytes of many texts at once: each by up to four bytes of its run, then by its first eight."""
+
+    def __init__(self, terms: list[str], anchors: dict[str, int], regexes: dict[str, re.Pattern[str]]) -> None:
+        self.terms = terms
+        self.always = [i for i, t in enumerate(terms) if anchors[t] == _EVERY]
+        under: dict[bytes, list[int]] = {}
+        self.back, self.size = np.zeros(len(terms), dtype=np.int64), np.zeros(len(terms), dtype=np.int64)
+        self.head, self.mask = np.zeros(len(terms), dtype=np.uint64), np.zeros(len(terms), dtype=np.uint64)
+        for i, term in enumerate(terms):
+            if anchors[term] == _EVERY:
+                continue
+            window = _as_text(anchors[term]).encode("utf-8", "surrogatepass")[:4]
+            under.setdefault(window, []).append(i)
+            whole = term.encode("utf-8", "surrogatepass")
+            if term not in regexes and window in whole:
+                self.back[i], self.size[i] = whole.index(window), len(whole)
+                self.head[i] = int.from_bytes(whole[:8], "little")
+                self.mask[i] = (1 << 8 * min(8, len(whole))) - 1
+        # Windows of one to four bytes, in order, with marks of the slots they fall into and the terms under each.
+        self.kinds = []
+        for n in range(1, 5):
+            own = sorted((int.from_bytes(w, "little"), at) for w, at in under.items() if len(w) == n)
+            if own:
+                codes, marks = np.array([c for c, _ in own], dtype=np.uint32), np.zeros(_SLOTS, dtype=bool)
+                marks[_slots(codes)] = True
+                sizes = np.array([len(at) for _, at in own])
+                self.kinds.append((np.uint32((1 << 8 * n) - 1), codes, marks, np.array([i for _, at in own for i in at]), np.cumsum(sizes) - sizes, sizes))
+
+    def found_in(self, texts: pa.Array) -> Iterator[tuple[int, str]]:
+        """Row and term of each term that a row may hold, rows in order."""
+        texts = texts.cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _PIECE, "right")) - 1)
+            low, high = int(bounds[first]), int(bounds[last])
+            padded = np.zeros(high - low + 8, dtype=np.uint8)
+            if high > low:
+                padded[: high - low] = np.frombuffer(data, dtype=np.uint8, count=high - low, offset=low)
+            pairs = self._pairs(padded, bounds[first : last + 1] - low)
+            if self.always:
+                every = np.arange(last - first)[:, None] * len(self.terms) + np.array(self.always)
+                pairs = np.union1d(pairs, every.reshape(-1))
+            for pair in pairs.tolist():
+                yield first + pair // len(self.terms), self.terms[pair % len(self.terms)]
+            first = last
+
+    def _pairs(self, padded: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Row times number of terms plus term, in order; ``padded`` has eight bytes more than the rows."""
+        length = len(padded) - 8
+        fours = np.ndarray((length,), dtype="<u4", buffer=padded, strides=(1,))
+        eights = np.ndarray((length + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        found = [np.empty(0, dtype=np.int64)]
+        for start in range(0, length, _PIECE):
+            for mask, codes, marks, under, first, sizes in self.kinds:
+                windows = fours[start : start + _PIECE] & mask
+                at = np.flatnonzero(marks[_slots(windows)])
+                code = np.minimum(np.searchsorted(codes, windows[at]), len(codes) - 1)
+                own = codes[code] == windows[at]
+                at, code = at[own] + start, code[own]
+                ends, done = np.cumsum(sizes[code]), 0
+                while done < len(at):
+                    stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _PIECE, "right")))
+                    some = sizes[code[done:stop]]
+                    spans = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+                    term = under[np.repeat(first[code[done:stop]], some) + spans]
+                    where = np.repeat(at[done:stop], some)
+                    row = np.searchsorted(bounds, where, "right") - 1
+                    begin = where - self.back[term]
+                    inside = (begin >= bounds[row]) & (begin + self.size[term] <= bounds[row + 1])
+                    row, term, begin = row[inside], term[inside], begin[inside]
+                    same = (eights[begin] & self.mask[term]) == self.head[term]
+                    found.append(np.unique(row[same] * len(self.terms) + term[same]))
+                    done = stop
+        return np.unique(np.concatenate(found))
+
+
+def _as_text(run: int) -> str:
+    text = ""
+    while run:
+        text, run = chr((run & ((1 << 21) - 1)) - 1) + text, run >> 21
+    return text
+
+
+def _slots(windows: np.ndarray) -> np.ndarray:
+    return (windows * np.uint32(0x9E3779B1)) >> np.uint32(14)
 
 
 def _ranges(ids: DataFrame, first: int, growth: int) -> Iterator[Column]:
@@ -362,20 +440,16 @@ def _look(texts: DataFrame, table: pa.Table, anchors: dict[str, int], k: int, na
         for batch in batches:
             ids, texts_of = batch.column(0).to_pylist(), batch.column(1)
             values = list(zip(*[batch.column(2 + j).to_pylist() for j in range(len(names))])) if names else [()] * len(ids)
-            for i, own_id in enumerate(ids):
-                text = texts_of[i].as_py()
-                for term in searches.terms_in(text):
-                    open_for = [
-                        q for pattern, by_key in searches.askers[term].items() for q in by_key.get(tuple(values[i][j] for j in pattern), ())
-                        if len(best.get(q, ())) < k or own_id < best[q][-1]
-                    ]
-                    if not open_for or not searches.holds(text, term):
-                        continue
-                    for q in open_for:
-                        own = best.setdefault(q, [])
-                        if own_id not in own:
-                            insort(own, own_id)
-                            del own[k:]
+            for i, text, term, asking in searches.candidates(texts_of, values):
+                own_id = ids[i]
+                open_for = [q for q in asking if len(best.get(q, ())) < k or own_id < best[q][-1]]
+                if not open_for or not searches.holds(text, term):
+                    continue
+                for q in open_for:
+                    own = best.setdefault(q, [])
+                    if own_id not in own:
+                        insort(own, own_id)
+                        del own[k:]
         at, found = [q for q, own in best.items() for _ in own], [x for own in best.values() for x in own]
         yield pa.RecordBatch.from_arrays([pa.array([searches.ids[q] for q in at], arrow.field("query_id").type), pa.array(found, arrow.field("id").type)], schema=arrow)
 
