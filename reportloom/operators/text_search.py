@@ -30,6 +30,7 @@ _TERM_BYTES = 1 << 25  # searches that travel with the tasks
 _FIRST = 1 << 12  # texts of the first range of ids
 _GROWTH = 32  # times as many texts in the next one
 _SLOTS = 1 << 18  # marks of the runs in question
+_STEP = 1 << 17  # bytes looked at together
 
 
 def _runs(text: str, shorter: bool) -> np.ndarray:
@@ -245,14 +246,14 @@ class _Terms:
                 self.head[i] = int.from_bytes(whole[:8], "little")
                 self.mask[i] = (1 << 8 * min(8, len(whole))) - 1
         # Windows of one to four bytes, in order, with marks of the slots they fall into and the terms under each.
-        self.kinds = []
+        self.kinds = {}
         for n in range(1, 5):
             own = sorted((int.from_bytes(w, "little"), at) for w, at in under.items() if len(w) == n)
             if own:
                 codes, marks = np.array([c for c, _ in own], dtype=np.uint32), np.zeros(_SLOTS, dtype=bool)
                 marks[_slots(codes)] = True
                 sizes = np.array([len(at) for _, at in own])
-                self.kinds.append((np.uint32((1 << 8 * n) - 1), codes, marks, np.array([i for _, at in own for i in at]), np.cumsum(sizes) - sizes, sizes))
+                self.kinds[n] = codes, marks, np.array([i for _, at in own for i in at]), np.cumsum(sizes) - sizes, sizes
 
     def found_in(self, texts: pa.Array) -> Iterator[tuple[int, str]]:
         """Row and term of each term that a row may hold, rows in order."""
@@ -277,13 +278,17 @@ class _Terms:
     def _pairs(self, padded: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Row times number of terms plus term, in order; ``padded`` has eight bytes more than the rows."""
         length = len(padded) - 8
-        fours = np.ndarray((length,), dtype="<u4", buffer=padded, strides=(1,))
         eights = np.ndarray((length + 1,), dtype="<u8", buffer=padded, strides=(1,))
         found = [np.empty(0, dtype=np.int64)]
-        for start in range(0, length, _PIECE):
-            for mask, codes, marks, under, first, sizes in self.kinds:
-                windows = fours[start : start + _PIECE] & mask
-                at = np.flatnonzero(marks[_slots(windows)])
+        for start in range(0, length, _STEP):
+            signs = padded[start : min(start + _STEP, length) + 3].astype(np.uint32)
+            windows = np.zeros(len(signs) - 3, dtype=np.uint32)
+            for n in range(1, 5):
+                windows |= signs[n - 1 : n - 1 + len(windows)] << 8 * (n - 1)
+                if n not in self.kinds:
+                    continue
+                codes, marks, under, first, sizes = self.kinds[n]
+                at = np.flatnonzero(marks.take(_slots(windows), mode="wrap"))
                 code = np.minimum(np.searchsorted(codes, windows[at]), len(codes) - 1)
                 own = codes[code] == windows[at]
                 at, code = at[own] + start, code[own]
