@@ -27,6 +27,8 @@ _TILE = 512  # queries of them
 _SPARSE = 256  # a word that a larger part of the pairs share is counted by a product
 _QUERY_BYTES = 1 << 25  # queries that travel with the tasks
 _ROW_BYTES = 1 << 26  # rows that one task holds against a block of queries
+_SENT = 1 << 22  # rows that the tasks of a scoring pass may send together
+_WAVES = 4  # tasks a core that a scoring pass has in any case
 _HITS = 1 << 20  # hits whose ids travel to the sections, 8 MB
 
 
@@ -347,8 +349,14 @@ def _scores(
         return block.result(best, arrow)
 
     text_bytes = F.octet_length(F.coalesce("text", F.lit(""))) if weights else F.lit(0)
-    size = queries.filter(F.col("vector").isNotNull()).agg(F.sum(F.size("vector") * 8 + 64 + 2 * text_bytes).alias("n")).first()["n"] or 0
+    total = queries.filter(F.col("vector").isNotNull()).agg(
+        F.sum(F.size("vector") * 8 + 64 + 2 * text_bytes).alias("n"), F.count("*").alias("queries")
+    ).first()
+    size = total["n"] or 0
     if size <= query_bytes:
+        # A task sends k rows of each query, and learns what is good enough anew: the more queries, the fewer and longer tasks.
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        usable = usable.coalesce(max(_WAVES * cores, _SENT // max(1, total["queries"] * k)))
         sink = pa.BufferOutputStream()
         table = asked.toArrow()
         with pa.ipc.new_stream(sink, table.schema) as stream:

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from check_queries import DATA
 from reportloom.operators import search, text_search
 from reportloom.plans.views import Views
@@ -77,3 +79,13 @@ def test_texts_are_read_once_for_the_hits_and_only_hits_are_dealt_out(spark):
     hits = search.search_sections(v["searchable_sections"], v["searches"].withColumnRenamed("term", "text"), 10)
     plan = plan_text(hits)
     assert plan.count("text:string") == 1 and "LeftSemi" in plan
+
+
+def test_many_queries_are_scored_in_few_tasks(spark, monkeypatch):
+    """Each task sends its best rows of each query, so tasks times queries must stay small."""
+    monkeypatch.setattr(search, "_SENT", 60, raising=False)
+    rows = spark.range(300, numPartitions=100).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    queries = spark.range(30).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    scored = search._scores(rows, queries, 2, "embedding", {}, None, 1 << 25, 1 << 26)
+    assert scored.select(F.spark_partition_id()).distinct().count() == 4 * spark.sparkContext.defaultParallelism
+    assert search.top_k(rows, queries, 2).count() == 60
